@@ -5,16 +5,18 @@ Every window of `length` symbols picks one anchor inside it by content alone
 windows that share an anchor is a path, described by the hash of all its symbols.
 
 1. `paths`: every document's paths, as (anchor, path, doc_id, ordinal).
-2. `repeated`: anchors of one document only are dropped. Where all occurrences of an
-   anchor have one path, that path repeats as a whole: nothing else is needed, and
-   every occurrence but those of the least document goes. The other (branching)
-   occurrences are marked.
-3. `windows`: branching paths are opened into single windows, named by 128 bits; a
+2. `repeated`: anchors of one document only are dropped. A path that a smaller
+   document has too goes as a whole. Of each other path only the occurrence in its
+   least document is left; where its anchor has several paths (it branches), that
+   one occurrence is marked to be opened.
+3. `windows`: the marked paths are opened into single windows, named by 128 bits; a
    window goes where a smaller document has it too.
 
-Steps 2 and 3 are aggregations (combined before their shuffle) joined back to what
-they aggregate, so a passage that a third of all documents share is spread by the
-join. The marks of a document are as long as the document at most.
+Both 2 and 3 take one shuffle and one sort. Before it every batch of documents is
+combined: an occurrence that a smaller document of the batch repeats is decided
+there, and travels under a key of its own (its ordinal made negative), so a passage
+that a third of all documents share meets as one row a batch. The marks of a
+document are as long as the document at most.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
@@ -42,25 +44,54 @@ def _ordinals(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))
 
 
+def _decided(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """True where a smaller document of the batch has the same key."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.empty(len(k), bool)
+    out[order] = d > least
+    return out
+
+
+def _rows(batch: pa.RecordBatch, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id of each path's row, and whether it is known."""
+    column = batch.column("doc_id").cast(pa.int64())
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return column.fill_null(0).to_numpy()[row], valid[row]
+
+
+def _own_keys(keys: np.ndarray, decided: np.ndarray, docs: np.ndarray, ordinals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ordinals for the shuffle: decided rows spread by themselves, with -1 - ordinal."""
+    alone = K.mix(docs.view(np.uint64) * np.uint64(K.BASE) + ordinals.astype(np.uint64), 31)
+    return np.where(decided, alone, keys), np.where(decided, -1 - ordinals, ordinals).astype(np.int32)
+
+
 def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
             hashes, firsts = symbols(batch)
             anchor, at, lo, hi, row = K.anchors(hashes, firsts, gram, length)
             whole = K.hash_spans(hashes, lo, hi + length) + K.mix((at - lo).astype(np.uint64), 5)
-            doc = batch.column("doc_id").cast(pa.int64()).take(pa.array(row))
-            out = pa.RecordBatch.from_arrays([K.as_long(anchor), K.as_long(whole), doc, pa.array(_ordinals(row).astype(np.int32))], ["anchor", "path", "doc_id", "ordinal"])
-            yield out.filter(doc.is_valid())
+            doc, known = _rows(batch, row)
+            ordinal = _ordinals(row)
+            anchor, whole, doc, ordinal = anchor[known], whole[known], doc[known], ordinal[known]
+            key, ordinal = _own_keys(anchor, _decided(anchor ^ K.mix(whole, 6), doc), doc, ordinal)
+            yield pa.RecordBatch.from_arrays([K.as_long(key), K.as_long(whole), pa.array(doc), pa.array(ordinal)], ["anchor", "path", "doc_id", "ordinal"])
 
     return source(docs).mapInArrow(run, "anchor long, path long, doc_id long, ordinal int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc_id, marks: 2 * ordinal (+ 1 where the path branches) of every path that goes, or may go in part."""
-    every = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("path").alias("p"), F.max("path").alias("q")).where("lo < hi")
-    every = every.select("anchor", "lo", (F.col("p") != F.col("q")).alias("branches"))
-    kept = found.select("anchor", "doc_id", "ordinal").join(every, "anchor").where("branches or doc_id > lo")
-    return kept.groupBy("doc_id").agg(F.collect_list(F.col("ordinal") * 2 + F.col("branches").cast("int")).alias("marks"))
+    """doc_id, marks: 2 * ordinal of every path that goes, 2 * ordinal + 1 of every path to be opened."""
+    alike, near = Window.partitionBy("anchor", "path"), Window.partitionBy("anchor")
+    seen = found.repartition("anchor").withColumn("least", F.min("doc_id").over(alike))
+    for name, value in (("lo", F.min("doc_id")), ("hi", F.max("doc_id")), ("p", F.min("path")), ("q", F.max("path"))):
+        seen = seen.withColumn(name, value.over(near))
+    o = F.col("ordinal")
+    mark = F.when(o < 0, (-1 - o) * 2).when(F.col("doc_id") > F.col("least"), o * 2).when((F.col("p") != F.col("q")) & (F.col("lo") < F.col("hi")), o * 2 + 1)
+    return seen.select("doc_id", mark.alias("mark")).where("mark is not null").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
 def _marked(batch: pa.RecordBatch, symbols: Symbols, gram: int, length: int) -> tuple:
@@ -89,14 +120,15 @@ def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, leng
             owner = np.repeat(row[open_], counts)
             one = K.hash_spans(hashes, at, at + length)
             two = K.hash_spans(K.mix(hashes, 77), at, at + length)
-            doc = batch.column("doc_id").cast(pa.int64()).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([K.as_long(one), K.as_long(two), doc, pa.array((at - firsts[owner]).astype(np.int32))], ["h1", "h2", "doc_id", "at"])
+            doc, _ = _rows(batch, owner)
+            key, place = _own_keys(one, _decided(one ^ K.mix(two, 6), doc), doc, at - firsts[owner])
+            yield pa.RecordBatch.from_arrays([K.as_long(key), K.as_long(two), pa.array(doc), pa.array(place)], ["h1", "h2", "doc_id", "at"])
 
     some = marks.where(F.exists("marks", lambda m: m % 2 == 1))
     opened = source(docs).join(some, "doc_id").mapInArrow(run, "h1 long, h2 long, doc_id long, at int")
-    least = opened.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    gone = opened.join(least, ["h1", "h2"]).where("doc_id > lo")
-    return gone.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    seen = opened.repartition("h1").withColumn("lo", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+    gone = seen.select("doc_id", F.when(F.col("at") < 0, -1 - F.col("at")).when(F.col("doc_id") > F.col("lo"), F.col("at")).alias("at"))
+    return gone.where("at is not null").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
 
 
 def apply(docs: DataFrame, marks: DataFrame, starts: DataFrame, symbols: Symbols, gram: int, length: int, finish: Callable, schema: str, limit: int = K.CHUNK) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of phases whose results are already kept."""
-    import gc
+    """Lets Spark's cleaner drop the shuffle files of phases whose results are already kept.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Python's references to a finished plan go first, then the JVM's; it takes a few rounds."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @atexit.register
