@@ -1,6 +1,31 @@
-"""All registered queries and their SQL."""
+"""All registered market queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import folds
+from .plans.roster import ROSTER
+from .plans.views import compose, duck, spark as spark_text
+from .sources.tables import query
+from .streaming import windows
+
+
+def _text(name: str) -> str:
+    body, extra = ROSTER[name] if isinstance(ROSTER[name], tuple) else (ROSTER[name], None)
+    return compose(body, extra)
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    text = spark_text(_text(name))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, text)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in ROSTER} | folds.QUERIES | windows.QUERIES
+ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in ROSTER} | folds.ORACLE_SQL | windows.ORACLE_SQL
