@@ -11,10 +11,11 @@ also emits its empty ones, which keeps the pigeonhole exact.
 
 Sets are nodes: copies share one. Of the sets that meet in a cell each is paired
 with the cell's least set only, and the pair verified exactly. Where that leaves a
-cell's sets in more than one class, its sets are compared among themselves, in
-blocks of at most `GROUP` sets a side, skipping pairs whose parity sketches already
-differ too much; a block yields spanning links, not all pairs. Classes are then the
-connected components of verified links, so no link between different texts is lost.
+cell's sets in more than one class, the sets of different classes are compared by
+their parity sketches (a few bits a hash, folded to one width), in blocks of at most
+`GROUP` sets a side; the few pairs whose sketches do not differ too much already are
+verified exactly too. Classes are the connected components of verified links, so no
+link between different texts is lost.
 
 Defined results: null, empty or blank texts have the empty set, are linked with
 nothing and are their own class; shorter texts than n words are one n-gram; copies
@@ -146,11 +147,34 @@ def _sketch(n: int, bands: Bands):
     return run
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit sketch: each hash flips one of its bits, of which there are a power of two, 1024 at least, about 2 a hash."""
+    bits = max(1024, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else 1024
+    flips = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits: its halves' XOR, until it has `words` words."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def near(a: np.ndarray, b: np.ndarray, s: int, t: int, num: int, den: int) -> bool:
+    """False only if sets of s and t hashes with these sketches cannot be similar."""
+    if min(s, t) * den < max(s, t) * num:
+        return False
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum()) * (num + den) <= (s + t) * (den - num)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches):
             hashes, cuts = shingle_sets(batch, n)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["node", "hashes"])
+            own = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(cuts)), pa.array([parity(h).tobytes() for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], ["node", "n", "sketch", "hashes"])
 
     return run
 
@@ -166,62 +190,69 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return common * den >= num * (s + t - common)
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            keep = [similar(x, y, num, den) for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def parity(hashes: list[np.ndarray], words: int = 16) -> np.ndarray:
-    """Bit sketches: each hash flips one of 64 * words bits."""
-    out = np.zeros((len(hashes), words), np.uint64)
-    for i, h in enumerate(hashes):
-        flips = np.bincount((h & U(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
-        out[i] = np.packbits(flips.astype(np.uint8)).view(np.uint64)
-    return out
+def _sift(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)
+            keep = [near(x, y, s, t, num, den) for x, y, (s, t) in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), sizes, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def block_links(nodes: list[int], labels: list[int], left: np.ndarray, hashes: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join classes of one block: sets on the left with all others (or with each other, where all are left)."""
-    root = {x: x for x in labels}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    sketch, out = parity(hashes), []
-    inner = bool(left.all())
-    group = np.array([find(x) for x in labels])
-    for i in np.flatnonzero(left):
-        mine = find(labels[i])
-        s, t = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        maybe = (group != group[i]) & (s * den >= t * num) & (~left if not inner else np.arange(len(sizes)) > i)
-        at = np.flatnonzero(maybe)
-        if len(at):
-            gap = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1).astype(np.int64)
-            at = at[gap * (num + den) <= (sizes[at] + sizes[i]) * (den - num)]
-        for j in at:
-            other = find(labels[j])
-            if other != mine and similar(hashes[i], hashes[j], num, den):
-                out.append((nodes[i], nodes[j]))
-                root[other] = mine
-                group[group == group[j]] = group[i]
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b: nodes) of similar sets: sketches first, then all hashes of the pairs that are left."""
+    x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(c), F.col("sketch").alias(v)) for k, c, v in (("a", "s", "x"), ("b", "t", "y")))
+    left = pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(_sift(num, den), "a long, b long")
+    x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+
+
+def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of different classes whose sketches allow similar sets: left ones with the others, or with each other where all are left."""
+    order = np.argsort(sizes, kind="stable")
+    nodes, labels, left, sizes, sketches = nodes[order], labels[order], left[order], sizes[order], [sketches[i] for i in order]
+    inner, out, tables = bool(left.all()), [], {}
+    for i in range(len(nodes)):
+        # similar sets are at most sizes[i] * den / num large; only larger or equal ones are looked for
+        end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))
+        at = np.arange(i + 1, end)
+        at = at[labels[at] != labels[i]]
+        if not inner:
+            at = at[left[at] != left[i]]
+        if not len(at):
+            continue
+        words = len(sketches[i])
+        if words not in tables:
+            tables.clear()
+            tables[words] = {}
+        held = tables[words]
+        rows = np.stack([held.setdefault(j, fold(sketches[j], words)) for j in at.tolist()])
+        gap = np.bitwise_count(rows ^ sketches[i]).sum(1).astype(np.int64)
+        at = at[gap * (num + den) <= (sizes[at] + sizes[i]) * (den - num)]
+        out += [(int(nodes[i]), int(nodes[j])) for j in at]
     return out
 
 
 def _blocks(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
-        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-        left = np.array(table.column("left").to_pylist(), bool)
-        links = block_links(nodes, labels, left, hashes, num, den)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        nodes, labels, sizes = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
+        found = block_pairs(nodes, labels, table.column("left").to_numpy(), sizes, sketches, num, den)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
@@ -239,10 +270,10 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> Da
     # the sets of the nodes that met any other
     chosen = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(met.select("node").distinct(), "node")
     sets = source.join(chosen.select("node", "rep"), F.col("doc_id") == F.col("rep")).dropDuplicates(["node"]).select("node", "text")
-    sets = written(sets.mapInArrow(_sets(n), "node long, hashes binary"), "sets")
-    pairs = met.where("node <> pivot").select("pivot", "node").distinct()
-    held = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("x")), "pivot").join(sets.select("node", F.col("hashes").alias("y")), "node")
-    links = written(held.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "x", "y").mapInArrow(_verify(num, den), "a long, b long"), "links")
+    sets = written(sets.mapInArrow(_sets(n), "node long, n long, sketch binary, hashes binary"), "sets")
+    release(docs.sparkSession)
+    pairs = met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(verified(pairs, sets, num, den), "links")
     found = components(links)
     release(docs.sparkSession)
     # cells whose sets are still in more than one class; of cells with the same sets, one
@@ -253,8 +284,8 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> Da
     open_ = labelled.join(cell.select("sig", parts.alias("parts")), "sig").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     open_ = open_.select("sig", "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"))
-    blocks = open_.join(sets, "node").groupBy("sig", "i", "j").applyInArrow(_blocks(num, den), "a long, b long")
-    more = written(blocks.distinct(), "more")
+    maybe = open_.join(sets.select("node", "n", "sketch"), "node").groupBy("sig", "i", "j").applyInArrow(_blocks(num, den), "a long, b long")
+    more = written(verified(maybe.distinct(), sets, num, den), "more")
     if more.isEmpty():
         final = found
     else:
