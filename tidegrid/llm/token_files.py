@@ -3,8 +3,8 @@
 Documents are ordered by doc_id (one range shuffle), encoded whole, ended with
 `END`, and their ids packed without gaps into sequences of `SEQUENCE` ids. A shard
 (one range partition) is one Arrow IPC stream: record batches of `ROWS` sequences
-with two columns, ids fixed_size_list<uint32> and mask fixed_size_list<uint8> (0
-where the last sequence is padded). All full batches take the same number of bytes,
+with two columns, ids fixed_size_list<uint16> (uint32 for vocabularies of over 65,536
+ids) and mask fixed_size_list<bool> (false where the last sequence is padded). All full batches take the same number of bytes,
 so sequence k lies at a computed offset and is read without a copy (`TokenFile`). A
 second stream beside it holds doc_id, start and n_tokens of the shard's documents.
 
@@ -34,7 +34,6 @@ from . import _kernel as K
 from ._session import fresh_dir
 
 SEQUENCE, ROWS, END, TOKENIZER = 1024, 256, 2, "byte_bpe_50k.json"
-SCHEMA = pa.schema([("ids", pa.list_(pa.uint32(), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
@@ -47,26 +46,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def _batch(ids: np.ndarray, used: int) -> pa.RecordBatch:
     """Whole sequences of ids, of which `used` ids count."""
-    mask = np.zeros(len(ids), np.uint8)
-    mask[:used] = 1
-    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), SEQUENCE), pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQUENCE)], schema=SCHEMA)
+    mask = np.arange(len(ids)) < used
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)], ["ids", "mask"])
 
 
 class Writer:
     """Packs documents' ids into one shard."""
 
-    def __init__(self, files: fs.FileSystem, path: str) -> None:
+    def __init__(self, files: fs.FileSystem, path: str, kind: type = np.uint16) -> None:
+        self.kind = kind
         self.files, self.path, self.temporary = files, path, f"{path}.{uuid.uuid4().hex}"
         self.sinks = [files.open_output_stream(self.temporary + end) for end in (".ids", ".docs")]
-        self.ids, self.docs = (pa.ipc.new_stream(s, c) for s, c in zip(self.sinks, (SCHEMA, INDEX), strict=True))
-        self.rest, self.total, self.count = np.zeros(0, np.uint32), 0, 0
+        self.ids, self.docs = (pa.ipc.new_stream(s, c) for s, c in zip(self.sinks, (_batch(np.zeros(0, kind), 0).schema, INDEX), strict=True))
+        self.rest, self.total, self.count = np.zeros(0, kind), 0, 0
 
     def add(self, doc_ids: list, ids: np.ndarray, firsts: np.ndarray) -> None:
         """ids of documents, END included; firsts: each document's first id, and the end."""
         self.docs.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(self.total + firsts[:-1]), pa.array(np.diff(firsts))], schema=INDEX))
         self.total += len(ids)
         self.count += len(doc_ids)
-        held = np.concatenate((self.rest, ids.astype(np.uint32)))
+        held = np.concatenate((self.rest, ids.astype(self.kind)))
         step, at = SEQUENCE * ROWS, 0
         while len(held) - at >= step:
             self.ids.write_batch(_batch(held[at : at + step], step))
@@ -75,7 +74,7 @@ class Writer:
 
     def close(self) -> None:
         if used := len(self.rest):
-            self.ids.write_batch(_batch(np.concatenate((self.rest, np.zeros(-used % SEQUENCE, np.uint32))), used))
+            self.ids.write_batch(_batch(np.concatenate((self.rest, np.zeros(-used % SEQUENCE, self.kind))), used))
         for x in (self.ids, self.docs, *self.sinks):
             x.close()
         for end in (".ids", ".docs"):
@@ -87,7 +86,7 @@ class TokenFile:
 
     def __init__(self, source: pa.NativeFile | str) -> None:
         self.source = pa.memory_map(source) if isinstance(source, str) else source
-        pa.ipc.read_message(self.source)  # the schema
+        self.schema = pa.ipc.read_schema(self.source)
         self.head = self.source.tell()
         self.size = self.source.size()
         self.step = 0
@@ -100,8 +99,9 @@ class TokenFile:
         """Ids and mask of sequence k."""
         at = self.head + k // ROWS * self.step
         self.source.seek(at)
-        batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), SCHEMA)
-        return tuple(c.flatten().to_numpy()[k % ROWS * SEQUENCE : (k % ROWS + 1) * SEQUENCE] for c in batch.columns)
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        ids, mask = (c.flatten().slice(k % ROWS * SEQUENCE, SEQUENCE) for c in batch.columns)
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -117,7 +117,8 @@ def _write(folder: str, vocabulary: str, end: int):
         for batch in K.pieces(batches):
             if writer is None:
                 files.create_dir(root, recursive=True)
-                encoder, writer = Encoder(vocabulary), Writer(files, f"{root}/shard-{shard:06d}")
+                encoder = Encoder(vocabulary)
+                writer = Writer(files, f"{root}/shard-{shard:06d}", np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
             ids, firsts = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             spread = np.arange(len(firsts))
             ended = np.full(len(ids) + batch.num_rows, end, np.int32)
@@ -145,18 +146,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
             files, name = _open(path)
             with files.open_input_stream(name + ".ids") as a, files.open_input_stream(name + ".docs") as b:
-                sequences, held, at = pa.ipc.open_stream(a), np.zeros(0, np.uint32), 0
+                sequences, held, at = pa.ipc.open_stream(a), np.zeros(0, np.uint16), 0
                 for docs in pa.ipc.open_stream(b):
                     starts, counts = docs.column("start").to_numpy(), docs.column("n_tokens").to_numpy()
                     need = int(starts[-1] + counts[-1]) if len(starts) else at
                     parts, have = [held], at + len(held)
                     while have < need:
-                        ids, mask = (c.flatten().to_numpy() for c in sequences.read_next_batch().columns)
-                        parts.append(ids[: int(mask.sum())] if not mask[-1] else ids)
+                        ids, mask = (c.flatten() for c in sequences.read_next_batch().columns)
+                        parts.append(ids.slice(0, mask.true_count).to_numpy())
                         have += len(parts[-1])
-                    held = np.concatenate(parts).astype("<u4")
-                    sums = [zlib.crc32(held[s - at : s - at + c]) for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
-                    held, at = held[need - at :], need
+                    held = np.concatenate(parts)
+                    wide = held.astype("<u4")
+                    sums = [zlib.crc32(wide[s - at : s - at + c]) for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
+                    held, at = held[need - at :].copy(), need
                     yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(starts + base), docs.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
