@@ -9,7 +9,7 @@ windows that share an anchor is a path, described by the hash of all its symbols
    document has too goes as a whole. Of each other path only the occurrence in its
    least document is left; where its anchor has several paths (it branches), that
    one occurrence is marked to be opened.
-3. `windows`: the marked paths are opened into single windows, named by 128 bits; a
+3. `windows`: the marked paths are opened into single windows, named by 96 bits; a
    window goes where a smaller document has it too.
 
 Both 2 and 3 take one shuffle and one sort. Before it every batch of documents is
@@ -122,10 +122,11 @@ def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, leng
             two = K.hash_spans(K.mix(hashes, 77), at, at + length)
             doc, _ = _rows(batch, owner)
             key, place = _own_keys(one, _decided(one ^ K.mix(two, 6), doc), doc, at - firsts[owner])
-            yield pa.RecordBatch.from_arrays([K.as_long(key), K.as_long(two), pa.array(doc), pa.array(place)], ["h1", "h2", "doc_id", "at"])
+            rest = pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([K.as_long(key), rest, pa.array(doc), pa.array(place)], ["h1", "h2", "doc_id", "at"])
 
     some = marks.where(F.exists("marks", lambda m: m % 2 == 1))
-    opened = source(docs).join(some, "doc_id").mapInArrow(run, "h1 long, h2 long, doc_id long, at int")
+    opened = source(docs).join(some, "doc_id").mapInArrow(run, "h1 long, h2 int, doc_id long, at int")
     seen = opened.repartition("h1").withColumn("lo", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
     gone = seen.select("doc_id", F.when(F.col("at") < 0, -1 - F.col("at")).when(F.col("doc_id") > F.col("lo"), F.col("at")).alias("at"))
     return gone.where("at is not null").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))

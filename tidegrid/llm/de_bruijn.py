@@ -5,7 +5,7 @@ share a content-defined k-mer form paths; a Spark join over those k-mers keeps t
 ones that several documents traverse. A path along which every document goes the
 same way does not branch and is compacted to one row; where documents enter, leave
 or differ, the path branches and is opened into its edges, which a second join
-verifies by source coordinates (document and position) and 128-bit names. See
+verifies by source coordinates (document and position) and 96-bit names. See
 `_repeats` for the steps.
 
 Each word is removed that a window covers whose words also start in a document with
