@@ -29,7 +29,7 @@ from . import _kernel as K
 from . import _repeats as R
 from ._session import release, written
 
-LENGTH, KMER = 50, 12
+LENGTH, KMER, LIMIT = 50, 12, 2 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -58,12 +58,12 @@ def _finish(digest: bool):
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space; with digest, their SHA-256) of every document."""
-    found = R.paths(docs, word_symbols, kmer, length)
+    found = R.paths(docs, word_symbols, kmer, length, LIMIT)
     marks = written(R.repeated(found), "marks")
     release(docs.sparkSession)
-    starts = written(R.windows(docs, marks, word_symbols, kmer, length), "starts")
+    starts = written(R.windows(docs, marks, word_symbols, kmer, length, LIMIT), "starts")
     release(docs.sparkSession)
-    return R.apply(docs, marks, starts, word_symbols, kmer, length, _finish(digest), SCHEMA)
+    return R.apply(docs, marks, starts, word_symbols, kmer, length, _finish(digest), SCHEMA, LIMIT)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -214,9 +214,11 @@ def _sift(num: int, den: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: nodes) of similar sets: sketches first, then all hashes of the pairs that are left."""
+    """The pairs (a, b: nodes) of similar sets: sketches first, then all hashes of the pairs that are left.
+
+    What the sketches leave is written, so that no task runs both Python steps at once."""
     x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(c), F.col("sketch").alias(v)) for k, c, v in (("a", "s", "x"), ("b", "t", "y")))
-    left = pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(_sift(num, den), "a long, b long")
+    left = written(pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t", "x", "y").mapInArrow(_sift(num, den), "a long, b long"), "sifted")
     x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
