@@ -183,3 +183,25 @@ def test_anchors_cover_every_window():
     covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
     assert sorted(covered) == [i for i in range(3000) if K.room(firsts)[i] >= 50]
     assert ((at >= hi) & (at + 12 <= lo + 50)).all()
+
+
+def test_jaccard_of_a_large_group_near_the_threshold(spark, monkeypatch):
+    """Copies with edits of their own: about half of all pairs link, and no cell's least set links all of them."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for at in rng.integers(0, len(base), int(rng.integers(1, 4))):
+            words[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(words)))
+    monkeypatch.setattr(jaccard, "GROUP", 16)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=5, num=85).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) > 1

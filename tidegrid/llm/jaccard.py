@@ -13,9 +13,10 @@ Sets are nodes: copies share one. Of the sets that meet in a cell each is paired
 with the cell's least set only, and the pair verified exactly. Where that leaves a
 cell's sets in more than one class, the sets of different classes are compared by
 their parity sketches (a few bits a hash, folded to one width), in blocks of at most
-`GROUP` sets a side; the few pairs whose sketches do not differ too much already are
-verified exactly too. Classes are the connected components of verified links, so no
-link between different texts is lost.
+`GROUP` sets a side. Each set is first verified with the one of the nearest sketch;
+what is still apart after that is compared once more, and every pair whose sketches
+allow it verified. Classes are the connected components of verified links, so no link
+between different texts is lost.
 
 Defined results: null, empty or blank texts have the empty set, are linked with
 nothing and are their own class; shorter texts than n words are one n-gram; copies
@@ -223,8 +224,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of different classes whose sketches allow similar sets: left ones with the others, or with each other where all are left."""
+def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int, nearest: bool = False) -> list[tuple[int, int, bool]]:
+    """Pairs of different classes whose sketches allow similar sets: left ones with the others, or with each other where all are left.
+
+    With nearest, each set is paired with the one whose sketch is nearest only; the third value tells whether it had others."""
     order = np.argsort(sizes, kind="stable")
     nodes, labels, left, sizes, sketches = nodes[order], labels[order], left[order], sizes[order], [sketches[i] for i in order]
     inner, out, tables = bool(left.all()), [], {}
@@ -244,21 +247,42 @@ def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes:
         held = tables[words]
         rows = np.stack([held.setdefault(j, fold(sketches[j], words)) for j in at.tolist()])
         gap = np.bitwise_count(rows ^ sketches[i]).sum(1).astype(np.int64)
-        at = at[gap * (num + den) <= (sizes[at] + sizes[i]) * (den - num)]
-        out += [(int(nodes[i]), int(nodes[j])) for j in at]
+        fits = gap * (num + den) <= (sizes[at] + sizes[i]) * (den - num)
+        at, gap = at[fits], gap[fits]
+        more = nearest and len(at) > 1
+        if more:
+            at = at[[int(np.argmin(gap))]]
+        out += [(int(nodes[i]), int(nodes[j]), more) for j in at]
     return out
 
 
-def _blocks(num: int, den: int):
+def _blocks(num: int, den: int, nearest: bool):
     def run(table: pa.Table) -> pa.Table:
         nodes, labels, sizes = (table.column(c).to_numpy() for c in ("node", "label", "n"))
         sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
-        found = block_pairs(nodes, labels, table.column("left").to_numpy(), sizes, sketches, num, den)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        found = block_pairs(nodes, labels, table.column("left").to_numpy(), sizes, sketches, num, den, nearest)
+        a, b, more = zip(*found, strict=True) if found else ((), (), ())
+        sig = pa.array(np.repeat(table.column("sig").to_numpy()[:1], len(found)), pa.int64())
+        return pa.table({"sig": sig, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
     return run
 
 
+def open_cells(met: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """sig, a, b, more: pairs of sets that meet in a cell, are of different classes yet and may be similar.
+
+    Of cells with the same sets, one is opened; its sets are compared in blocks of at most `GROUP` a side."""
+    labelled = met.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
+    cell = labelled.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.col("node") % 1_000_003).alias("k1"), F.sum(F.xxhash64("node") % 999_983).alias("k2"))
+    cell = cell.where("size > 2 and lo < hi").groupBy("size", "k1", "k2").agg(F.min("sig").alias("sig"))
+    parts = F.ceil(F.col("size") / GROUP).cast("int")
+    some = labelled.join(cell.select("sig", parts.alias("parts")), "sig").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    some = some.select("sig", "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"))
+    held = some.join(sets.select("node", "n", "sketch"), "node").groupBy("sig", "i", "j")
+    return held.applyInArrow(_blocks(num, den, nearest), "sig long, a long, b long, more boolean")
+
+
 def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the class) of every document, where sets of word
     n-grams link at den * intersection >= num * union."""
@@ -278,20 +302,17 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> Da
     links = written(verified(pairs, sets, num, den), "links")
     found = components(links)
     release(docs.sparkSession)
-    # cells whose sets are still in more than one class; of cells with the same sets, one
-    labelled = met.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
-    cell = labelled.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.col("node") % 1_000_003).alias("k1"), F.sum(F.xxhash64("node") % 999_983).alias("k2"))
-    cell = cell.where("size > 2 and lo < hi").groupBy("size", "k1", "k2").agg(F.min("sig").alias("sig"))
-    parts = F.ceil(F.col("size") / GROUP).cast("int")
-    open_ = labelled.join(cell.select("sig", parts.alias("parts")), "sig").withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_ = open_.select("sig", "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"))
-    maybe = open_.join(sets.select("node", "n", "sketch"), "node").groupBy("sig", "i", "j").applyInArrow(_blocks(num, den), "a long, b long")
-    more = written(verified(maybe.distinct(), sets, num, den), "more")
-    if more.isEmpty():
-        final = found
-    else:
-        final = components(links.unionByName(more))
+    maybe = written(open_cells(met, found, sets, num, den, nearest=True), "near")
+    links = links.unionByName(written(verified(maybe.select("a", "b").distinct(), sets, num, den), "more"))
+    final = components(links)
+    release(docs.sparkSession)
+    # cells in which a set had more than its nearest, if they hold several classes still
+    rest = maybe.where("more").select("sig").distinct()
+    if not rest.isEmpty():
+        again = open_cells(met.join(rest, "sig", "left_semi"), final, sets, num, den, nearest=False)
+        last = written(verified(again.select("a", "b").distinct(), sets, num, den), "last")
+        if not last.isEmpty():
+            final = components(links.unionByName(last))
     placed = named.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
     least = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
