@@ -224,10 +224,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int, nearest: bool = False) -> list[tuple[int, int, bool]]:
+def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int, nearest: bool = False) -> list[tuple[int, int, int]]:
     """Pairs of different classes whose sketches allow similar sets: left ones with the others, or with each other where all are left.
 
-    With nearest, each set is paired with the one whose sketch is nearest only; the third value tells whether it had others."""
+    With nearest, each set is paired with the one whose sketch is nearest only; the third value is 1 if it had others of that one's class only, 2 if of more classes."""
     order = np.argsort(sizes, kind="stable")
     nodes, labels, left, sizes, sketches = nodes[order], labels[order], left[order], sizes[order], [sketches[i] for i in order]
     inner, out, tables = bool(left.all()), [], {}
@@ -249,8 +249,9 @@ def block_pairs(nodes: np.ndarray, labels: np.ndarray, left: np.ndarray, sizes:
         gap = np.bitwise_count(rows ^ sketches[i]).sum(1).astype(np.int64)
         fits = gap * (num + den) <= (sizes[at] + sizes[i]) * (den - num)
         at, gap = at[fits], gap[fits]
-        more = nearest and len(at) > 1
-        if more:
+        more = 0
+        if nearest and len(at) > 1:
+            more = 1 if (labels[at] == labels[at[0]]).all() else 2
             at = at[[int(np.argmin(gap))]]
         out += [(int(nodes[i]), int(nodes[j]), more) for j in at]
     return out
@@ -263,7 +264,7 @@ def _blocks(num: int, den: int, nearest: bool):
         found = block_pairs(nodes, labels, table.column("left").to_numpy(), sizes, sketches, num, den, nearest)
         a, b, more = zip(*found, strict=True) if found else ((), (), ())
         sig = pa.array(np.repeat(table.column("sig").to_numpy()[:1], len(found)), pa.int64())
-        return pa.table({"sig": sig, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+        return pa.table({"sig": sig, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.int32())})
 
     return run
 
@@ -280,7 +281,7 @@ def open_cells(met: DataFrame, found: DataFrame, sets: DataFrame, num: int, den:
     some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     some = some.select("sig", "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"))
     held = some.join(sets.select("node", "n", "sketch"), "node").groupBy("sig", "i", "j")
-    return held.applyInArrow(_blocks(num, den, nearest), "sig long, a long, b long, more boolean")
+    return held.applyInArrow(_blocks(num, den, nearest), "sig long, a long, b long, more int")
 
 
 def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -306,8 +307,9 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> Da
     links = links.unionByName(written(verified(maybe.select("a", "b").distinct(), sets, num, den), "more"))
     final = components(links)
     release(docs.sparkSession)
-    # cells in which a set had more than its nearest, if they hold several classes still
-    rest = maybe.where("more").select("sig").distinct()
+    # cells in which a set had more than its nearest and may still be apart from one of them
+    x, y = (final.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    rest = maybe.where("more > 0").join(x, "a", "left").join(y, "b", "left").where("more = 2 or x is null or y is null or x <> y").select("sig").distinct()
     if not rest.isEmpty():
         again = open_cells(met.join(rest, "sig", "left_semi"), final, sets, num, den, nearest=False)
         last = written(verified(again.select("a", "b").distinct(), sets, num, den), "last")
