@@ -199,6 +199,46 @@ def resampled(kind: str, draws: int = 200) -> Callable[[SparkSession, str], Data
     return run
 
 
+def spa(returns: DataFrame, draws: int = 200, block: float = 8.0, seed: int = 42) -> DataFrame:
+    """Superior predictive ability (Hansen) of variants against zero: symbol, i (0, 1, ... for each variant), r.
+
+    One row: n, variants, statistic and p_lower, p_consistent, p_upper. A draw is a stationary bootstrap of the
+    calendar, as one count for each i, and is the same for all variants; draws are made on the executors and joined
+    with the returns by i, so neither a matrix nor a draw of all variants is ever in one place. Variants without
+    deviation are left out; a missing return counts as zero."""
+    rows = returns.select("symbol", "i", F.coalesce("r", F.lit(0.0)).alias("r"))
+    length = rows.agg((F.max("i") + 1).alias("n"))
+
+    def draw(batches):
+        for g in batches:
+            for k, n in zip(g.draw, g.n, strict=True):
+                if n != n:
+                    continue
+                n, rng = int(n), np.random.default_rng([seed, int(k)])
+                fresh = rng.random(n) < 1 / block
+                fresh[0] = True
+                first = np.flatnonzero(fresh)
+                run = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+                at = (np.repeat(rng.integers(0, n, len(first)), np.diff(np.append(first, n))) + run) % n
+                i, times = np.unique(at, return_counts=True)
+                yield pd.DataFrame({"draw": int(k), "i": i, "times": times})
+
+    counts = returns.sparkSession.range(draws).withColumnRenamed("id", "draw").repartition(8).join(F.broadcast(length)).mapInPandas(draw, "draw long, i long, times long")
+    own = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("r").alias("f"), F.stddev_samp("r").alias("sd")).where("sd > 0")
+    means = rows.join(counts, "i").groupBy("draw", "symbol").agg(F.sum(F.col("r") * F.col("times")).alias("total")).join(own, "symbol").withColumn("m", F.col("total") / F.col("n"))
+    scale = means.groupBy("symbol").agg((F.stddev_samp("m") * F.sqrt(F.first("n"))).alias("w"), F.first("f").alias("f"), F.first("n").alias("n")).where("w > 0")
+    low = -F.col("w") / F.sqrt("n") * F.sqrt(2 * F.log(F.log(F.col("n").cast("double"))))
+    scale = scale.select("symbol", "w", "f", "n", F.greatest("f", F.lit(0.0)).alias("lower"), F.when(F.col("f") >= low, F.col("f")).otherwise(0.0).alias("consistent"), F.col("f").alias("upper"))
+    top = scale.agg(F.greatest(F.max(F.sqrt("n") * F.col("f") / F.col("w")), F.lit(0.0)).alias("statistic"), F.count("*").alias("variants"), F.max("n").alias("n"))
+    null = means.select("draw", "symbol", "m").join(scale, "symbol").groupBy("draw").agg(*(F.greatest(F.max(F.sqrt("n") * (F.col("m") - F.col(c)) / F.col("w")), F.lit(0.0)).alias(c) for c in ("lower", "consistent", "upper")))
+    share = lambda c: F.avg(F.when(F.col(c) > F.col("statistic"), 1.0).otherwise(0.0)).alias(f"p_{c}")
+    return null.join(F.broadcast(top)).groupBy("n", "variants", "statistic").agg(share("lower"), share("consistent"), share("upper"))
+
+
+def _spa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spa(view(spark, sf_dir, "SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i FROM ret_1w"))
+
+
 LEDGER = book(f"SELECT symbol, t, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})", out="SELECT symbol, t, close, raw FROM masked_")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -212,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bt_slots": whole_book(slots, "t date, symbol string, age long", f"SELECT m.symbol, m.t, m.s, p.close FROM ({MOM}) m JOIN ret_1w p ON p.symbol = m.symbol AND p.t = m.t"),
     "st_bootstrap": resampled("bootstrap"),
     "st_permutation": resampled("permutation"),
+    "st_spa": _spa,
 }
 
 #: The recursions in SQL, over the same dense rows.

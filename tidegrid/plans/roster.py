@@ -29,6 +29,31 @@ def book(signal: str, cost: str = f"turnover * {FEE_BPS} / 10000.0", out: str |
     return body, extra
 
 
+def _sr(n: str = "n", s: str = "s", ss: str = "ss") -> str:
+    """Mean over deviation from a count, a sum and a sum of squares; null without deviation."""
+    return f"({s} / {n}) / nullif(sqrt(greatest({ss} - {s} * {s} / {n}, 0)) / sqrt(nullif({n} - 1, 0)), 0)"
+
+
+def cpcv(groups: int = 10, purge: int = 12, embargo: int = 5) -> tuple[str, dict[str, str]]:
+    """Combinatorial purged cross-validation of the symbols as variants: all pairs of test groups, training rows
+    purged before and purged and embargoed after each; the winner of each split's training rows gives its test rows,
+    and path j joins each group's j-th occurrence. Bars are first summed into the cells that splits can tell apart
+    (group, near its head, near its tail), so a split reads a few cells a variant. A group must be longer than
+    purge + embargo."""
+    extra = {
+        "variant_": "SELECT symbol, t, coalesce(r, 0.0) AS r FROM ret_1w",
+        "calendar_": f"SELECT t, g, row_number() OVER (PARTITION BY g ORDER BY t) AS head, row_number() OVER (PARTITION BY g ORDER BY t DESC) AS tail FROM (SELECT t, ntile({groups}) OVER (ORDER BY t) AS g FROM (SELECT DISTINCT t FROM variant_))",
+        "cell_": f"SELECT symbol, g, h, z, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s, sum(r * r) AS ss FROM (SELECT v.symbol, v.r, c.g, c.head <= {purge + embargo} AS h, c.tail <= {purge} AS z FROM variant_ v JOIN calendar_ c ON c.t = v.t) GROUP BY symbol, g, h, z",
+        "group_": "SELECT DISTINCT g FROM calendar_",
+        "split_": "SELECT x.g AS a, y.g AS b FROM group_ x JOIN group_ y ON x.g < y.g",
+        "train_": "SELECT a, b, symbol, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM cell_ JOIN split_ ON g <> a AND g <> b AND NOT (z AND (g + 1 = a OR g + 1 = b)) AND NOT (h AND (g - 1 = a OR g - 1 = b)) GROUP BY a, b, symbol",
+        "winner_": f"SELECT a, b, symbol FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round({_sr()}, 9) DESC NULLS LAST, symbol) AS k FROM train_) WHERE k = 1",
+        "placed_": "SELECT w.symbol, g.g, row_number() OVER (PARTITION BY g.g ORDER BY w.a, w.b) AS path FROM winner_ w JOIN group_ g ON g.g = w.a OR g.g = w.b",
+        "path_": "SELECT p.path, count(DISTINCT p.symbol) AS winners, sum(c.n) AS n, sum(c.s) AS s, sum(c.ss) AS ss FROM placed_ p JOIN cell_ c ON c.symbol = p.symbol AND c.g = p.g GROUP BY p.path",
+    }
+    return f"SELECT CAST(path AS BIGINT) AS path, CAST(winners AS BIGINT) AS winners, CAST(n AS BIGINT) AS n, {r(_sr() + ' * sqrt(52)', 'sharpe')} FROM path_", extra
+
+
 W = "PARTITION BY symbol ORDER BY t"
 
 
@@ -131,6 +156,7 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "st_ols": f"SELECT a.symbol, {r('regr_slope(a.r, m.r)', 'beta')}, {r('regr_intercept(a.r, m.r)', 'alpha')}, {r('corr(a.r, m.r)', 'corr')} FROM ret_1w a JOIN (SELECT t, avg(r) AS r FROM ret_1w GROUP BY t) m ON a.t = m.t WHERE a.r IS NOT NULL GROUP BY a.symbol",
     "st_hac": f"SELECT CAST(count(*) AS BIGINT) AS n, {r('avg(x)', 'mean')}, {r('sqrt(greatest(sum(d * d) + 2 * sum(0.75 * d * coalesce(d1, 0) + 0.5 * d * coalesce(d2, 0) + 0.25 * d * coalesce(d3, 0)), 0)) / count(*)', 'se')} FROM (SELECT x, d, lag(d, 1) OVER (ORDER BY t) AS d1, lag(d, 2) OVER (ORDER BY t) AS d2, lag(d, 3) OVER (ORDER BY t) AS d3 FROM (SELECT t, x, x - avg(x) OVER () AS d FROM (SELECT t, avg(r) AS x FROM ret_1w WHERE r IS NOT NULL GROUP BY t)))",
     "st_cscv_blocks": f"SELECT symbol, CAST(block AS BIGINT) AS block, {r('avg(r) / nullif(stddev_samp(r), 0)', 'sr')} FROM (SELECT symbol, r, ntile(16) OVER (PARTITION BY symbol ORDER BY t) AS block FROM (SELECT symbol, t, coalesce(r, 0.0) AS r FROM ret_1w)) GROUP BY symbol, block",
+    "st_cpcv": cpcv(),
     "st_adjusted_p": f"SELECT symbol, {r('t', 't_stat')}, CAST(k AS BIGINT) AS k, {r('abs(t) - sqrt(2 * ln(n / k))', 'margin')} FROM (SELECT symbol, t, row_number() OVER (ORDER BY abs(t) DESC, symbol) AS k, CAST(count(*) OVER () AS DOUBLE) AS n FROM (SELECT symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(r)) AS t FROM ret_1w WHERE r IS NOT NULL GROUP BY symbol))",
     "st_scores": f"SELECT symbol, {r('avg(abs(r - f))', 'mae')}, {r('sqrt(avg((r - f) * (r - f)))', 'rmse')}, {r('avg(CASE WHEN sign(r) = sign(f) THEN 1.0 ELSE 0.0 END)', 'direction')} FROM (SELECT symbol, r, avg(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS f FROM ret_1w) WHERE r IS NOT NULL AND f IS NOT NULL GROUP BY symbol",
     # data quality
