@@ -162,6 +162,19 @@ def test_quality(spark):
     assert np.mean([(scores[i] > 0.5) == (i % 2 == 1) for i in range(300)]) > 0.97 and all(0 <= s <= 1 for s in scores.values())
 
 
+def test_quality_ratio_of_labels_outlives_the_sample_bound(spark):
+    """Overlapping classes, 6 good : 1 bad: a bounded sample means the same threshold as all labels."""
+    rng = np.random.default_rng(4)
+    good = [i % 7 != 0 for i in range(1400)]
+    rows = [(i, " ".join((f"good{w}" if rng.random() < (0.55 if g else 0.45) else f"BAD{w}!!") for w in rng.integers(0, 30, 40))) for i, g in enumerate(good)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    bounded = quality.fit(table, labels, fold=None, per_class=200)
+    assert abs(np.mean([bounded.score(t) for _, t in rows]) - 6 / 7) < 0.06
+    lone = spark.createDataFrame([(i, int(i > 0)) for i in range(1400)], "doc_id long, quality int")
+    assert abs(quality.fit(table, lone, fold=None, per_class=200).score("x") - 1400 / 1402) < 1e-9
+
+
 def test_lm(docs):
     model = lm.fit(docs)
     for r in lm.score(docs, model).collect():

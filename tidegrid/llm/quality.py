@@ -8,7 +8,9 @@ probability.
 
 The fit takes a bounded sample: at most `per_class` labelled documents of each class,
 in the order of md5(doc_id), of at most `longest` characters each; a quarter of them
-only calibrate. Scoring covers every document and its whole text. Only the text is
+only calibrate. Each of those weighs as many labels as it was drawn for (labels of its
+class over sampled ones), so the curve sees the classes in the ratio of all labels,
+whatever their number. Scoring covers every document and its whole text. Only the text is
 an input of a score.
 
 Defined results: null and empty texts get the score of a difference of 0; labels
@@ -19,6 +21,7 @@ without labels). Columns with clashing names play no part.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,14 +68,14 @@ def _dictionary(texts: list[str], block: int, size: int) -> bytes:
     return zstandard.ZstdCompressionDict(b"\n".join(samples)[:DICTIONARY] or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT).as_bytes()
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by damped Newton steps with a weak ridge."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over weighted examples, by damped Newton steps with a weak ridge."""
     scale = max(float(np.std(x)), 1e-6)
     a = np.stack([x / scale, np.ones(len(x))], 1)
     w, ridge = np.zeros(2), np.diag([1e-2, 1e-3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + ridge, a.T @ (weight * (y - p)) - ridge @ w)
         w = w + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
@@ -90,19 +93,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: int | None = FOLD, per_clas
     picked = [(r.doc_id, q) for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class).collect()]
     if not picked:
         return Model(b"", b"", 0.0, 0.0)
+    drawn = Counter(q for _, q in picked)
+    stands = {r.quality: r["count"] / drawn[r.quality] for r in known.groupBy("quality").count().collect()}  # labels a sampled one stands for
     ids = spark.createDataFrame(picked, "sample_id long, quality int")  # at most 2 * per_class rows
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, longest))
     rows = own.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).dropDuplicates(["doc_id"]).select("text", "quality", order.alias("o")).collect()
     rows = sorted(rows, key=lambda r: (r.o, r.text))
     by = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, by.values())) < 2:
-        good, bad = len(by[1]), len(by[0])
+        good, bad = (len(by[q]) * stands.get(q, 1.0) for q in (1, 0))
         return Model(b"", b"", 0.0, float(np.log((good + 1) / (bad + 1))))
     seen = {q: t[: max(1, len(t) * 3 // 4)] for q, t in by.items()}
     model = Model(_dictionary(seen[1], block, dictionary), _dictionary(seen[0], block, dictionary), 1.0, 0.0, block)
     fresh = [(model.difference(t), q) for q in (0, 1) for t in by[q][len(seen[q]) :]]
     x, y = (np.array(v, float) for v in zip(*fresh, strict=True))
-    model.slope, model.shift = calibrate(x, y)
+    weight = np.where(y == 1, stands[1], stands[0])
+    model.slope, model.shift = calibrate(x, y, weight / weight.mean())
     return model
 
 
