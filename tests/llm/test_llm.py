@@ -182,6 +182,26 @@ def test_lm(docs):
         assert r.n_tokens == n and (r.mean_log_probability is None) == (n == 0) and r.pseudo_log_likelihood <= 0
 
 
+def test_lm_counts_tokens_one_by_one(spark):
+    """More distinct tokens than a table of 2**18 buckets has: the totals of all chunks are exact, and no token inherits another's."""
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(3000)) + " again") for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    vocabulary = lm.vocabulary_of(lm.chunked(table))
+    assert vocabulary.total.sum() == 100 * 3001 + 0.5 * (100 * 3000 + 1)
+    bits = 8
+    keys = np.sort(K.mix(np.arange(300_000, dtype=np.uint64)))
+    parts = [lm.pieces_of(keys[k::3], np.full(len(keys[k::3]), 1 + 299 * k), k, bits, True, True) for k in range(3)]
+    parts.append(lm.pieces_of(keys, np.ones(len(keys), int), 3, bits, True, True))
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(parts)
+    got = {}
+    for shard in range(1 << bits):
+        for r in lm._add_up(table.filter(pa.compute.equal(table["shard"], shard))).to_pylist():
+            got.setdefault(r["chunk"], []).append(lm.unpack(r["counts"], r["n"]))
+    assert (np.concatenate(got[3]) == 2 + 299 * (np.arange(300_000) % 3)).all()
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -1,24 +1,33 @@
-"""Masked pseudo-likelihood scoring with a small bidirectional window network.
-
-Every token is predicted from the `SIDE` tokens on either side of it, itself masked.
-Its probability is P(class | both sides), from the network, times P(token | class),
-from counts: the most frequent tokens are classes of their own, the rest share
-hashed classes. A document's score is the sum of its tokens' log probabilities.
-
-Fitting covers the whole corpus. One pass counts hashed tokens. In the second, every
-partition trains its own copy of the network (AdaGrad in numpy, all its documents,
-one common start), and the copies are averaged by their token counts in a tree of
-groups of `FAN` copies, so no task or driver gathers more than that. What is gathered
-grows with the partitions, the model has one fixed size, and only it is broadcast.
+"""Masked pseudo-likelihood scoring: a bidirectional window network over counted tokens.
+
+Every token is predicted from the tokens on either side of it, itself masked. Its
+probability is P(class | `SIDE` tokens a side), from the network, times
+P(token | class), from counts of the corpus. The most frequent tokens are classes of
+their own, the rest share hashed classes.
+
+Tokens are counted one by one (64-bit hashes of whole tokens), however many the corpus
+has. It is cut into chunks of about `CHUNK` bytes of text. A chunk names its distinct
+tokens once; these go to the shards of the hash range they fall in, which add up the
+counts of all chunks and send every chunk the totals of its own. The number of shards
+grows with the tokens, and no task or driver holds the counts of all of them. A shard
+knows a token by its number and the next 40 bits of its hash.
+
+Fitting covers the whole corpus. Every partition trains its own copy of the network
+(AdaGrad in numpy, all its documents, one common start), and the copies are averaged
+by their token counts in a tree of groups of `FAN` copies, so no task or driver
+gathers more than that. The network has one fixed size; it and the most frequent
+tokens are broadcast, nothing else.
 
 Defined results: a null, empty or blank text has no tokens, pseudo-likelihood 0 and a
 null mean; repeated rows are scored (and learned from) each; with no tokens at all
-the untrained network scores; other columns play no part.
+the untrained network scores; a token that the corpus lacks counts as half an
+occurrence; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +38,47 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from ._session import written
 
-BITS, OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 18, 96, 128, 2048, 16, 2, 16_384, 0.15, 64, 8192
+OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 16_384, 0.15, 64, 8192
+CHUNK, SHARD, LEAST, MOST = 1 << 22, 1 << 21, 8, 24
+FREQUENT, SHARED = INPUTS // 2, CLASSES - OWN
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
 SHAPES = ((len(OFFSETS), INPUTS, WIDTH), (WIDTH, CLASSES), (CLASSES,))
 
 
 class Vocabulary:
-    """Classes, inputs and P(token | class) of hashed tokens, from their counts."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        place = np.empty(len(counts), np.int64)
-        place[order] = np.arange(len(counts))
-        bucket = np.arange(len(counts))
-        self.cls = np.where(place < OWN, place, OWN + bucket % (CLASSES - OWN)).astype(np.uint8)
-        frequent = INPUTS // 2
-        self.inp = np.where(place < frequent, 1 + place, 1 + frequent + bucket % (INPUTS - 1 - frequent)).astype(np.uint16)
-        smooth = counts + 0.5
-        total = np.bincount(self.cls, weights=smooth, minlength=CLASSES)
-        self.within = np.log(smooth / total[self.cls]).astype(np.float32)
-        self.start = np.log(total / total.sum()).astype(np.float32)
+    """Classes and inputs of tokens, from the most frequent ones and the sums over the hashed classes."""
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> None:
+        """frequent: hashes, most frequent first, with their counts; sums: of counts + 0.5 of all tokens by hash % SHARED."""
+        order = np.argsort(frequent)
+        self.frequent, self.place = frequent[order], order
+        own = counts[:OWN] + 0.5
+        rest = sums - np.bincount((frequent[:OWN] % np.uint64(SHARED)).astype(np.int64), weights=own, minlength=SHARED)
+        self.total = np.concatenate((own, np.zeros(OWN - len(own)), np.maximum(rest, 0.0)))
+        self.start = np.log((self.total + 0.5) / (self.total + 0.5).sum()).astype(np.float32)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and input of each token."""
+        shared = OWN + (hashes % np.uint64(SHARED)).astype(np.int64)
+        hashed = 1 + FREQUENT + (hashes % np.uint64(INPUTS - 1 - FREQUENT)).astype(np.int64)
+        if not len(self.frequent):
+            return shared.astype(np.uint8), hashed.astype(np.uint16)
+        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        known, place = self.frequent[at] == hashes, self.place[at]
+        return np.where(known & (place < OWN), place, shared).astype(np.uint8), np.where(known, 1 + place, hashed).astype(np.uint16)
+
+
+@dataclass
+class Model:
+    """What fit() learned of docs; chunks has all of their tokens."""
+
+    docs: DataFrame
+    chunks: DataFrame
+    vocabulary: Vocabulary
+    weights: list[np.ndarray]
+
+    def __iter__(self):
+        return iter((self.vocabulary, self.weights))
 
 
 def initial(vocabulary: Vocabulary) -> list[np.ndarray]:
@@ -69,12 +99,125 @@ def unflatten(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def buckets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed tokens of a batch, and each document's first token."""
+def words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a batch's tokens, and each document's first token."""
     data, offsets = K.text_buffers(batch.column("text"))
     data = K.LOWER[data]
     starts, ends, firsts = K.find_words(data, offsets, K.SPACES)
-    return (K.hash_spans(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64), firsts
+    return K.hash_spans(data, starts, ends), firsts
+
+
+CHUNKS = "chunk long, doc_id array<long>, sizes array<long>, ids binary, hashes binary, tokens long"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk: its documents, its distinct tokens in order of their hashes, and their places among them."""
+    part, number = TaskContext.get().partitionId(), 0
+    docs, found, sizes, held = [], [], [], 0
+
+    def row() -> pa.RecordBatch:
+        hashes, ids = np.unique(np.concatenate(found), return_inverse=True)
+        values = [[part << 32 | number], [pa.concat_arrays(docs).to_pylist()], [np.concatenate(sizes)], [ids.astype(np.uint32).tobytes()], [hashes.tobytes()], [len(ids)]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["chunk", "doc_id", "sizes", "ids", "hashes", "tokens"])
+
+    for batch in K.pieces(batches):
+        hashes, firsts = words(batch)
+        docs.append(batch.column("doc_id"))
+        found.append(hashes)
+        sizes.append(np.diff(firsts))
+        held += K.text_buffers(batch.column("text"))[1][-1] + 64 * batch.num_rows
+        if held >= CHUNK:
+            yield row()
+            docs, found, sizes, held, number = [], [], [], 0, number + 1
+    if docs:
+        yield row()
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(source.mapInArrow(_cut, CHUNKS), "lm-chunks")
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct hashes, its tokens' places among them, and each document's first token."""
+    firsts = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
+    return np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["ids"], np.uint32).astype(np.int64), firsts
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """A byte for each count below 255; greater ones follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:], np.int64)
+    return counts
+
+
+PIECES = "shard int, chunk long, n long, counted boolean, asks boolean, names binary, counts binary"
+
+
+def pieces_of(keys: np.ndarray, counts: np.ndarray, chunk: int, bits: int, counted: bool, asks: bool) -> pa.RecordBatch:
+    """The sorted keys of a chunk by shard: the first `bits` bits; in a shard the next 40 name a key."""
+    edges = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+    names = (keys >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+    low, high = names.astype(np.uint32), (names >> np.uint64(32)).astype(np.uint8)
+    full = np.flatnonzero(np.diff(edges))
+    spans = [slice(edges[k], edges[k + 1]) for k in full]
+    n = len(full)
+    cols = [pa.array(full, pa.int32()), pa.array(np.full(n, chunk)), pa.array(np.diff(edges)[full], pa.int64()), pa.array(np.full(n, counted)), pa.array(np.full(n, asks)), pa.array([low[i].tobytes() + high[i].tobytes() for i in spans], pa.binary()), pa.array([pack(counts[i]) for i in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["shard", "chunk", "n", "counted", "asks", "names", "counts"])
+
+
+def _names(row: dict) -> np.ndarray:
+    n = row["n"]
+    return np.frombuffer(row["names"], np.uint32, n).astype(np.uint64) | np.frombuffer(row["names"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+REPLIES = "chunk long, shard int, n long, counts binary"
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """The totals, over all counted pieces of a shard, of the keys of each piece that asks."""
+    rows = table.to_pylist()
+    _, at = np.unique(np.concatenate([_names(r) for r in rows]), return_inverse=True)
+    counts = np.concatenate([unpack(r["counts"], r["n"]) * r["counted"] for r in rows])
+    total = np.bincount(at, weights=counts).astype(np.int64)
+    ends = np.cumsum([r["n"] for r in rows])
+    asks = [(r, pack(total[at[e - r["n"] : e]])) for r, e in zip(rows, ends, strict=True) if r["asks"]]
+    return pa.table({"chunk": pa.array([r["chunk"] for r, _ in asks], pa.int64()), "shard": pa.array([r["shard"] for r, _ in asks], pa.int32()), "n": pa.array([r["n"] for r, _ in asks], pa.int64()), "counts": pa.array([c for _, c in asks], pa.binary())})
+
+
+def shard_bits(chunks: DataFrame) -> int:
+    """So many that a shard has about SHARD keys."""
+    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    return min(MOST, max(LEAST, int(np.ceil(np.log2(max(1, 3 * tokens / SHARD))))))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            hashes, ids, _ = _read(row | {"sizes": []})
+            edges = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(hashes))
+            full, counts = np.flatnonzero(np.diff(edges)), np.bincount(ids, minlength=len(hashes))
+            spans = [slice(edges[k], edges[k + 1]) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.diff(edges)[full], pa.int64()), pa.array([hashes[i].tobytes() for i in spans], pa.binary()), pa.array([pack(counts[i]) for i in spans], pa.binary())], ["shard", "n", "names", "counts"])
+
+
+TALLY = "hash long, n double, shared int"
+
+
+def _tally(table: pa.Table) -> pa.Table:
+    """A shard's FREQUENT most frequent tokens, and the sums of counts + 0.5 of its tokens by hash % SHARED."""
+    rows = table.to_pylist()
+    hashes, at = np.unique(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([unpack(r["counts"], r["n"]) for r in rows]))
+    top = np.lexsort((hashes, -total))[:FREQUENT]
+    sums = np.bincount((hashes % np.uint64(SHARED)).astype(np.int64), weights=total + 0.5, minlength=SHARED)
+    none = pa.nulls(len(top), pa.int32())
+    return pa.table({"hash": pa.concat_arrays([K.as_long(hashes[top]), pa.nulls(SHARED, pa.int64())]), "n": pa.array(np.concatenate((total[top], sums))), "shared": pa.concat_arrays([none, pa.array(np.arange(SHARED), pa.int32())])})
 
 
 def contexts(inputs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -122,24 +265,28 @@ class Trainer:
         self.tokens += n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS, np.int64)
-    for batch in K.pieces(batches):
-        found, _ = buckets(batch)
-        total += np.bincount(found, minlength=1 << BITS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+def vocabulary_of(chunks: DataFrame) -> Vocabulary:
+    bits = shard_bits(chunks)
+    pieces = chunks.select("chunk", "ids", "hashes").mapInArrow(lambda batches: _tokens(batches, bits), "shard int, n long, names binary, counts binary")
+    tally = written(pieces.groupBy("shard").applyInArrow(_tally, TALLY), "lm-tally")
+    top = tally.where("hash is not null").orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
+    sums = np.zeros(SHARED)
+    for row in tally.where("shared is not null").groupBy("shared").agg(F.sum("n").alias("n")).collect():
+        sums[row.shared] = row.n
+    return Vocabulary(np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], float), sums)
 
 
 def _train(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, start = share.value
         trainer = Trainer(start)
-        for batch in K.pieces(batches):
-            found, firsts = buckets(batch)
-            around, target = contexts(vocabulary.inp[found], firsts), vocabulary.cls[found]
-            for i in range(0, len(target), STEP):
-                trainer.step(around[i : i + STEP], target[i : i + STEP])
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, ids, firsts = _read(row)
+                cls, inp = vocabulary.places(hashes)
+                around, target = contexts(inp[ids], firsts), cls[ids]
+                for i in range(0, len(target), STEP):
+                    trainer.step(around[i : i + STEP], target[i : i + STEP])
         if trainer.tokens:
             flat, part = flatten(trainer.weights).astype(np.float64) * trainer.tokens, TaskContext.get().partitionId()
             cuts = range(0, len(flat), BLOCK)
@@ -157,20 +304,17 @@ def _sum(table: pa.Table) -> pa.Table:
 PARTS = "block int, part int, tokens long, values binary"
 
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, list[np.ndarray]]:
-    """The vocabulary and the averaged network of a corpus."""
+def fit(docs: DataFrame) -> Model:
+    """The counted tokens and the averaged network of a corpus."""
     spark = docs.sparkSession
-    source = docs.select(F.col("text").cast("string").alias("text"))
-    counts = np.zeros(1 << BITS)
-    for row in source.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 2**BITS rows at most
-        counts[row.bucket] = row.n
-    vocabulary = Vocabulary(counts)
+    chunks = chunked(docs)
+    vocabulary = vocabulary_of(chunks)
     start = initial(vocabulary)
     share = spark.sparkContext.broadcast((vocabulary, start))
-    held = written(source.mapInArrow(_train(share), PARTS), "lm")
+    held = written(chunks.select("sizes", "ids", "hashes").mapInArrow(_train(share), PARTS), "lm")
     most = held.agg(F.max("part")).first()[0]
     if most is None:
-        return vocabulary, start
+        return Model(docs, chunks, vocabulary, start)
     while True:
         held = held.groupBy("block", (F.col("part") / FAN).cast("int").alias("_group")).applyInArrow(_sum, PARTS)
         most //= FAN
@@ -178,38 +322,67 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, list[np.ndarray]]:
             break
     rows = sorted(held.collect())
     flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows]).astype(np.float64) / rows[0].tokens
-    return vocabulary, unflatten(flat)
-
-
-def log_probabilities(model: tuple[Vocabulary, list[np.ndarray]], found: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """log P of every token given both its sides."""
-    vocabulary, weights = model
-    out = vocabulary.within[found].astype(np.float64)
-    around, target = contexts(vocabulary.inp[found], firsts), vocabulary.cls[found]
-    for i in range(0, len(target), STEP):
-        _, logs = log_softmax(weights, around[i : i + STEP])
-        own = target[i : i + STEP]
-        out[i : i + STEP] += logs[np.arange(len(own)), own]
-    return out
+    return Model(docs, chunks, vocabulary, unflatten(flat))
+
+
+def keys_of(vocabulary: Vocabulary, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is counted of a chunk: its sorted keys, how often it has each, and the place of the key of every rare token (one of a shared class)."""
+    rare = vocabulary.places(hashes)[0][ids] >= OWN
+    keys, at, counts = np.unique(K.mix(hashes[ids[rare]]), return_inverse=True, return_counts=True)
+    return keys, counts, at[None]
+
+
+def within(vocabulary: Vocabulary, cls: np.ndarray, totals: np.ndarray, at: np.ndarray, own: int) -> np.ndarray:
+    """log P(token | class) of rare tokens."""
+    return np.log(np.minimum((totals[at[0]] + 0.5) / np.maximum(vocabulary.total[cls], 0.5), 1.0))
 
 
-def _score(share):
+def _pieces(share, bits: int, counted: bool, asks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.pieces(batches):
-            found, firsts = buckets(batch)
-            logs = np.concatenate(([0.0], np.cumsum(log_probabilities(share.value, found, firsts))))
-            n = np.diff(firsts)
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, counts, _ = keys_of(share.value[0], *_read(row))
+                yield pieces_of(keys, counts, row["chunk"], bits, counted, asks)
+
+    return run
+
+
+def _score(share, own: int):
+    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        vocabulary, weights = share.value
+        totals = [unpack(r["counts"], r["n"]) for r in sorted(replies.to_pylist(), key=lambda r: r["shard"])]
+        out = []
+        for row in chunks.to_pylist():
+            hashes, ids, firsts = _read(row)
+            cls, inp = vocabulary.places(hashes)
+            around, target = contexts(inp[ids], firsts), cls[ids]
+            logs = np.zeros(len(ids) + 1)
+            for i in range(0, len(target), STEP):
+                _, found = log_softmax(weights, around[i : i + STEP])
+                logs[1 + i : 1 + i + STEP] = found[np.arange(len(found)), target[i : i + STEP]]
+            rare = np.flatnonzero(target >= OWN)
+            if len(rare):
+                logs[1 + rare] += within(vocabulary, target[rare], np.concatenate(totals), keys_of(vocabulary, hashes, ids, firsts)[2], own)
+            logs, n = np.cumsum(logs), np.diff(firsts)
             total = np.where(n > 0, logs[firsts[1:]] - logs[firsts[:-1]], 0.0)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
+            out.append(pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "n_tokens": pa.array(n), "pseudo_log_likelihood": pa.array(total), "mean_log_probability": mean}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[Vocabulary, list[np.ndarray]]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability of every document."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    own = docs is model.docs
+    chunks = model.chunks if own else chunked(docs)
+    share = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    bits, names = shard_bits(model.chunks), ["chunk", "sizes", "ids", "hashes"]
+    pieces = chunks.select(names).mapInArrow(_pieces(share, bits, own, True), PIECES)
+    if not own:
+        pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(_pieces(share, bits, True, False), PIECES))
+    replies = pieces.groupBy("shard").applyInArrow(_add_up, REPLIES)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(share, int(own)), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
