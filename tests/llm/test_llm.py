@@ -202,6 +202,49 @@ def test_lm_counts_tokens_one_by_one(spark):
     assert (np.concatenate(got[3]) == 2 + 299 * (np.arange(300_000) % 3)).all()
 
 
+def test_lm_predicts_rare_tokens_from_both_neighbours(spark):
+    """Of two tokens with one count and one class, the one its neighbours call for scores higher; a class adds up to 1."""
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(lm.OWN)]
+    rare = [f"r{i}" for i in range(300)]
+    rows = []
+    for d in range(60):
+        words = []
+        for i in rng.permutation(300):
+            words += [*rng.choice(common, 6), f"l{i}", rare[i], f"n{i}"]
+        rows.append((d, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm.fit(table)
+    import pyarrow as pa
+
+    def mean(texts):
+        made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return np.mean([r.pseudo_log_likelihood for r in lm.score(made, model).collect()])
+
+    hashes = lm.words(pa.RecordBatch.from_pydict({"text": [" ".join(rare)]}))[0]
+    cls = model.vocabulary.places(hashes)[0]
+    pairs = [(i, j) for i in range(300) for j in range(300) if i != j and cls[i] == cls[j] >= lm.OWN][:50]
+    right, wrong = mean([f"l{i} {rare[i]} n{i}" for i, _ in pairs]), mean([f"l{i} {rare[j]} n{i}" for i, j in pairs])
+    assert right > wrong + 1
+    i = pairs[0][0]
+    totals, keys = [], {}
+    for _, t in rows:
+        h, f = lm.words(pa.RecordBatch.from_pydict({"text": [t]}))
+        u, ids = np.unique(h, return_inverse=True)
+        k, c, _ = lm.keys_of(model.vocabulary, u, ids, f)
+        for a, b in zip(k, c, strict=True):
+            keys[a] = keys.get(a, 0) + b
+    for w in [w for w in rows[0][1].split() if w not in common]:
+        h, f = lm.words(pa.RecordBatch.from_pydict({"text": [f"l{i} {w} n{i}"]}))
+        u, ids = np.unique(h, return_inverse=True)
+        k, _, at = lm.keys_of(model.vocabulary, u, ids, f)
+        kinds = model.vocabulary.places(h)[0]
+        if kinds[1] == cls[i]:
+            middle = int((kinds[:1] >= lm.OWN).sum())
+            totals.append(np.exp(lm.within(model.vocabulary, kinds[1:2], np.array([keys.get(x, 0) for x in k]), at[:, middle : middle + 1], 0))[0])
+    assert abs(sum(totals) - 1) < 1e-9
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")

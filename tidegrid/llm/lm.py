@@ -2,15 +2,19 @@
 
 Every token is predicted from the tokens on either side of it, itself masked. Its
 probability is P(class | `SIDE` tokens a side), from the network, times
-P(token | class), from counts of the corpus. The most frequent tokens are classes of
-their own, the rest share hashed classes.
-
-Tokens are counted one by one (64-bit hashes of whole tokens), however many the corpus
-has. It is cut into chunks of about `CHUNK` bytes of text. A chunk names its distinct
-tokens once; these go to the shards of the hash range they fall in, which add up the
+P(token | class, neighbour on the left and on the right), from counts of the corpus. The
+most frequent tokens are classes of their own, the rest share hashed classes. In a shared
+class each side predicts the token itself: its count next to that neighbour, over the
+count of its class there, each with `PRIOR` occurrences dealt by P(token | class); the
+two predictions are averaged, so the probabilities of the tokens of a class add up to 1.
+The occurrence that is scored is not counted among those next to its neighbours.
+
+Tokens and pairs of neighbours are counted one by one (64-bit hashes of whole tokens),
+however many the corpus has. It is cut into chunks of about `CHUNK` bytes of text. A chunk names its distinct
+tokens and pairs once; these go to the shards of the hash range they fall in, which add up the
 counts of all chunks and send every chunk the totals of its own. The number of shards
 grows with the tokens, and no task or driver holds the counts of all of them. A shard
-knows a token by its number and the next 40 bits of its hash.
+knows a token or pair by its number and the next 40 bits of its hash.
 
 Fitting covers the whole corpus. Every partition trains its own copy of the network
 (AdaGrad in numpy, all its documents, one common start), and the copies are averaged
@@ -21,7 +25,7 @@ tokens are broadcast, nothing else.
 Defined results: a null, empty or blank text has no tokens, pseudo-likelihood 0 and a
 null mean; repeated rows are scored (and learned from) each; with no tokens at all
 the untrained network scores; a token that the corpus lacks counts as half an
-occurrence; other columns play no part.
+occurrence; docs that fit() has not seen (another DataFrame) leave no occurrence out; other columns play no part.
 """
 
 from __future__ import annotations
@@ -36,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._session import written
+from ._session import release, written
 
 OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 16_384, 0.15, 64, 8192
-CHUNK, SHARD, LEAST, MOST = 1 << 22, 1 << 21, 8, 24
+CHUNK, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 21, 8, 24, 2
 FREQUENT, SHARED = INPUTS // 2, CLASSES - OWN
+PRIOR, EDGE = 4.0, np.uint64(0xE4D6E0FD0C5A9B37)
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
 SHAPES = ((len(OFFSETS), INPUTS, WIDTH), (WIDTH, CLASSES), (CLASSES,))
 
@@ -107,6 +112,23 @@ def words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_spans(data, starts, ends), firsts
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with places and counts, by sorting each key's upper bits together with its place."""
+    low = np.uint64(max(1, len(keys).bit_length()))
+    packed = (keys >> low << low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if (new[1:] & (ordered[1:] >> low == ordered[:-1] >> low)).any():  # keys that only the lower bits tell apart
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return ordered[starts], at, np.diff(np.append(starts, len(keys)))
+
+
 CHUNKS = "chunk long, doc_id array<long>, sizes array<long>, ids binary, hashes binary, tokens long"
 
 
@@ -116,7 +138,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, found, sizes, held = [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        hashes, ids = np.unique(np.concatenate(found), return_inverse=True)
+        hashes, ids, _ = distinct(np.concatenate(found))
         values = [[part << 32 | number], [pa.concat_arrays(docs).to_pylist()], [np.concatenate(sizes)], [ids.astype(np.uint32).tobytes()], [hashes.tobytes()], [len(ids)]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["chunk", "doc_id", "sizes", "ids", "hashes", "tokens"])
@@ -160,9 +182,13 @@ PIECES = "shard int, chunk long, n long, counted boolean, asks boolean, names bi
 
 
 def pieces_of(keys: np.ndarray, counts: np.ndarray, chunk: int, bits: int, counted: bool, asks: bool) -> pa.RecordBatch:
-    """The sorted keys of a chunk by shard: the first `bits` bits; in a shard the next 40 name a key."""
+    """The sorted keys of a chunk by shard: the first `bits` bits; in a shard the next 40 name a key, as what they exceed the last one's by."""
     edges = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
     names = (keys >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+    heads = edges[:-1][edges[1:] > edges[:-1]]
+    first = names[heads]
+    names[1:] -= names[:-1].copy()
+    names[heads] = first
     low, high = names.astype(np.uint32), (names >> np.uint64(32)).astype(np.uint8)
     full = np.flatnonzero(np.diff(edges))
     spans = [slice(edges[k], edges[k + 1]) for k in full]
@@ -173,7 +199,7 @@ def pieces_of(keys: np.ndarray, counts: np.ndarray, chunk: int, bits: int, count
 
 def _names(row: dict) -> np.ndarray:
     n = row["n"]
-    return np.frombuffer(row["names"], np.uint32, n).astype(np.uint64) | np.frombuffer(row["names"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(np.frombuffer(row["names"], np.uint32, n).astype(np.uint64) | np.frombuffer(row["names"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
 REPLIES = "chunk long, shard int, n long, counts binary"
@@ -182,7 +208,7 @@ REPLIES = "chunk long, shard int, n long, counts binary"
 def _add_up(table: pa.Table) -> pa.Table:
     """The totals, over all counted pieces of a shard, of the keys of each piece that asks."""
     rows = table.to_pylist()
-    _, at = np.unique(np.concatenate([_names(r) for r in rows]), return_inverse=True)
+    _, at, _ = distinct(np.concatenate([_names(r) for r in rows]) << np.uint64(24))
     counts = np.concatenate([unpack(r["counts"], r["n"]) * r["counted"] for r in rows])
     total = np.bincount(at, weights=counts).astype(np.int64)
     ends = np.cumsum([r["n"] for r in rows])
@@ -191,7 +217,7 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 
 def shard_bits(chunks: DataFrame) -> int:
-    """So many that a shard has about SHARD keys."""
+    """So many that a shard has about SHARD distinct keys of all chunks."""
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     return min(MOST, max(LEAST, int(np.ceil(np.log2(max(1, 3 * tokens / SHARD))))))
 
@@ -212,7 +238,7 @@ TALLY = "hash long, n double, shared int"
 def _tally(table: pa.Table) -> pa.Table:
     """A shard's FREQUENT most frequent tokens, and the sums of counts + 0.5 of its tokens by hash % SHARED."""
     rows = table.to_pylist()
-    hashes, at = np.unique(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]), return_inverse=True)
+    hashes, at, _ = distinct(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]))
     total = np.bincount(at, weights=np.concatenate([unpack(r["counts"], r["n"]) for r in rows]))
     top = np.lexsort((hashes, -total))[:FREQUENT]
     sums = np.bincount((hashes % np.uint64(SHARED)).astype(np.int64), weights=total + 0.5, minlength=SHARED)
@@ -309,6 +335,7 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     chunks = chunked(docs)
     vocabulary = vocabulary_of(chunks)
+    release(spark)
     start = initial(vocabulary)
     share = spark.sparkContext.broadcast((vocabulary, start))
     held = written(chunks.select("sizes", "ids", "hashes").mapInArrow(_train(share), PARTS), "lm")
@@ -325,23 +352,45 @@ def fit(docs: DataFrame) -> Model:
     return Model(docs, chunks, vocabulary, unflatten(flat))
 
 
+def occurrences(vocabulary: Vocabulary, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of every rare token (one of a shared class) of a chunk: itself, the pairs rare tokens are in, its class
+    after its left and before its right neighbour; and its places among the pairs, as the second and the first."""
+    sizes = np.diff(firsts)
+    cls = vocabulary.places(hashes)[0][ids]
+    at = np.arange(len(ids)) + 1 + np.repeat(np.arange(len(sizes)), sizes)
+    near = np.full(len(ids) + len(sizes) + 1, EDGE)
+    near[at] = hashes[ids]
+    rare = np.zeros(len(near), bool)
+    rare[at] = cls >= OWN
+    at, cls = np.flatnonzero(rare), cls[cls >= OWN].astype(np.uint64)
+    paired = rare[:-1] | rare[1:]
+    place = np.cumsum(paired) - 1
+    with np.errstate(over="ignore"):
+        up = near * np.uint64(K.BASE)
+        return [K.mix(near[at]), K.mix((up[:-1] + near[1:])[paired], 1), K.mix(up[at - 1] + cls, 2), K.mix(up[at + 1] + cls, 3)], place[at - 1], place[at]
+
+
 def keys_of(vocabulary: Vocabulary, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What is counted of a chunk: its sorted keys, how often it has each, and the place of the key of every rare token (one of a shared class)."""
-    rare = vocabulary.places(hashes)[0][ids] >= OWN
-    keys, at, counts = np.unique(K.mix(hashes[ids[rare]]), return_inverse=True, return_counts=True)
-    return keys, counts, at[None]
+    """What is counted of a chunk: its sorted keys, how often it has each, and the places of the five keys of every rare token."""
+    parts, second, first = occurrences(vocabulary, hashes, ids, firsts)
+    keys, found, counts = distinct(np.concatenate(parts))
+    alone, pairs, left, right = np.split(found, np.cumsum([len(p) for p in parts[:-1]]))
+    return keys, counts, np.stack([alone, pairs[second], pairs[first], left, right])
 
 
 def within(vocabulary: Vocabulary, cls: np.ndarray, totals: np.ndarray, at: np.ndarray, own: int) -> np.ndarray:
-    """log P(token | class) of rare tokens."""
-    return np.log(np.minimum((totals[at[0]] + 0.5) / np.maximum(vocabulary.total[cls], 0.5), 1.0))
+    """log P(token | class, both neighbours) of rare tokens; own: occurrences of the corpus that are the scored one."""
+    alone = np.minimum((totals[at[0]] + 0.5) / np.maximum(vocabulary.total[cls], 0.5), 1.0)
+    sides = [(np.maximum(totals[at[k]] - own, 0) + PRIOR * alone) / (np.maximum(totals[at[k + 2]] - own, 0) + PRIOR) for k in (1, 2)]
+    return np.log(np.minimum((sides[0] + sides[1]) / 2, 1.0))
 
 
-def _pieces(share, bits: int, counted: bool, asks: bool):
+def _pieces(share, bits: int, turn: int, counted: bool, asks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts, _ = keys_of(share.value[0], *_read(row))
+                found = np.concatenate(occurrences(share.value[0], *_read(row))[0])
+                keys, _, counts = distinct(found[(found >> np.uint64(64 - bits)) % np.uint64(ROUNDS) == turn])
                 yield pieces_of(keys, counts, row["chunk"], bits, counted, asks)
 
     return run
@@ -372,16 +421,25 @@ def _score(share, own: int):
     return run
 
 
+def _replies(chunks: DataFrame, model: Model, share, own: bool, turn: int) -> DataFrame:
+    """The totals of every chunk's keys in each ROUNDS-th shard, kept so that the shuffle of the keys can go."""
+    bits, names = shard_bits(model.chunks), ["chunk", "sizes", "ids", "hashes"]
+    pieces = chunks.select(names).mapInArrow(_pieces(share, bits, turn, own, True), PIECES)
+    if not own:
+        pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(_pieces(share, bits, turn, True, False), PIECES))
+    return written(pieces.groupBy("shard").applyInArrow(_add_up, REPLIES), "lm-counts")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability of every document."""
     own = docs is model.docs
     chunks = model.chunks if own else chunked(docs)
     share = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    bits, names = shard_bits(model.chunks), ["chunk", "sizes", "ids", "hashes"]
-    pieces = chunks.select(names).mapInArrow(_pieces(share, bits, own, True), PIECES)
-    if not own:
-        pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(_pieces(share, bits, True, False), PIECES))
-    replies = pieces.groupBy("shard").applyInArrow(_add_up, REPLIES)
+    replies = None
+    for turn in range(ROUNDS):
+        some = _replies(chunks, model, share, own, turn)
+        replies = some if replies is None else replies.unionByName(some)
+        release(docs.sparkSession)
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(share, int(own)), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
 
 
