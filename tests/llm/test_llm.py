@@ -135,6 +135,15 @@ def test_decontamination(spark, docs):
     assert 10 not in left and left[11] == "three" and left[0] == texts()[0]
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    bench = spark.createDataFrame([(1, "one two"), (2, "three four")], "item_id long, text string")
+    rows = [(None, "one two a"), (None, "b three four"), (7, "one two c"), (7, "clean")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (decontaminate.BLOCK, 1):
+        assert sorted(r["items"] for r in decontaminate.contamination(table, bench, block=block).collect()) == [[], ["1"], ["1"], ["2"]]
+        assert sorted(r.text for r in decontaminate.clean(table, bench, block=block).collect()) == ["a", "b", "c", "clean"]
+
+
 def test_mixing(docs):
     rows = mixing.mix_plan(mixing.sizes(docs)).collect()
     taken = defaultdict(int)

@@ -2,9 +2,9 @@
 
 Test items are lower-cased (A-Z) and cut into words; every run of `n` words is a
 window, an item of fewer words is one window. The windows' hashes are broadcast in
-blocks of at most `block` windows (so each broadcast has a fixed bound; more items
-mean more scans, never dropped windows). Each training document is scanned whole;
-hash hits are verified word by word.
+blocks of about `block` windows (so each broadcast has a fixed bound; a worker holds
+all of them, and no window is dropped). Each row is scanned whole against all blocks
+in one pass, whatever its doc_id; hash hits are verified word by word.
 
 Defined results: null text or item text has no words; an empty benchmark hits
 nothing; repeated items count once per item_id; null item_ids are ignored; other
@@ -66,33 +66,39 @@ def _blocks(benchmark: DataFrame, n: int, block: int) -> Iterator[_Windows]:
         yield _Windows(held)
 
 
-def _scan(share):
+def _found(blocks: list[_Windows], batch: pa.RecordBatch) -> tuple[np.ndarray, dict[int, list], dict[int, set]]:
+    """Each row's first word, and the spans and items of the rows that windows of any block hit."""
+    data, offsets = K.text_buffers(batch.column("text"))
+    data = K.LOWER[data]
+    starts, ends, firsts = K.find_words(data, offsets, K.NON_WORD)
+    hashes = K.hash_spans(data, starts, ends)
+    left = K.room(firsts)
+    spans: dict[int, list] = {}
+    items: dict[int, set] = {}
+    for length, (known, maybe, words, owners) in (x for block in blocks for x in block.by_length.items()):
+        found = K.mix(K.hash_windows(hashes, length))
+        at = np.flatnonzero(maybe[(found >> SHIFT).astype(np.int64)])
+        at = at[left[at] >= length]
+        place = np.minimum(np.searchsorted(known, found[at]), len(known) - 1)
+        hit = known[place] == found[at]
+        for i, k in zip(at[hit], place[hit], strict=True):
+            if all(data[starts[i + j] : ends[i + j]].tobytes() == words[k][j] for j in range(length)):
+                doc = int(np.searchsorted(firsts, i, "right")) - 1
+                own = spans.setdefault(doc, [])
+                first = int(i - firsts[doc])
+                if own and own[-1]["first"] <= first <= own[-1]["first"] + own[-1]["count"]:
+                    own[-1]["count"] = max(own[-1]["count"], first + length - own[-1]["first"])
+                else:
+                    own.append({"first": first, "count": length})
+                items.setdefault(doc, set()).update(owners[k])
+    return firsts, spans, items
+
+
+def _scan(shares):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = share.value
+        blocks = [share.value for share in shares]
         for batch in K.pieces(batches):
-            data, offsets = K.text_buffers(batch.column("text"))
-            data = K.LOWER[data]
-            starts, ends, firsts = K.find_words(data, offsets, K.NON_WORD)
-            hashes = K.hash_spans(data, starts, ends)
-            left = K.room(firsts)
-            spans: dict[int, list] = {}
-            items: dict[int, set] = {}
-            for length, (known, maybe, words, owners) in block.by_length.items():
-                found = K.mix(K.hash_windows(hashes, length))
-                at = np.flatnonzero(maybe[(found >> SHIFT).astype(np.int64)])
-                at = at[left[at] >= length]
-                place = np.minimum(np.searchsorted(known, found[at]), len(known) - 1)
-                hit = known[place] == found[at]
-                for i, k in zip(at[hit], place[hit], strict=True):
-                    if all(data[starts[i + j] : ends[i + j]].tobytes() == words[k][j] for j in range(length)):
-                        doc = int(np.searchsorted(firsts, i, "right")) - 1
-                        own = spans.setdefault(doc, [])
-                        first = int(i - firsts[doc])
-                        if own and own[-1]["first"] <= first <= own[-1]["first"] + own[-1]["count"]:
-                            own[-1]["count"] = max(own[-1]["count"], first + length - own[-1]["first"])
-                        else:
-                            own.append({"first": first, "count": length})
-                        items.setdefault(doc, set()).update(owners[k])
+            firsts, spans, items = _found(blocks, batch)
             rows = range(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -107,18 +113,14 @@ def _scan(share):
     return run
 
 
+def _shares(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(windows) for windows in _blocks(benchmark, n, block)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, spans (word ranges that windows cover; they may overlap), items (ids with hits): a row for each document."""
-    spark, out = docs.sparkSession, None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for windows in _blocks(benchmark, n, block):
-        found = source.mapInArrow(_scan(spark.sparkContext.broadcast(windows)), HITS)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return source.mapInArrow(_scan(spark.sparkContext.broadcast(_Windows({}))), HITS)
-    if out is found:
-        return out
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return source.mapInArrow(_scan(_shares(docs, benchmark, n, block)), HITS)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,14 +162,16 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, block: int = BLOCK) -> DataFrame:
     """docs without the words that benchmark windows cover: a touched document keeps its other words,
     joined by one space where words went; one left without words is dropped. Columns are those of docs."""
-    hits = contamination(docs, benchmark, n=n, block=block).where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"])
-    marked = docs.join(hits.withColumnRenamed("doc_id", "_hit_id"), F.col("doc_id").cast("long") == F.col("_hit_id"), "left")
+    shares = _shares(docs, benchmark, n, block)
     names, kinds = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        blocks = [share.value for share in shares]
+        for batch in K.pieces(batches):
             texts, keep = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            _, found, _ = _found(blocks, batch)
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                spans = found.get(row)
                 if spans:
                     raw = text.encode()
                     data = K.LOWER[np.frombuffer(raw, np.uint8)]
@@ -189,4 +193,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, block: int = BL
             out = pa.RecordBatch.from_arrays(cols, names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return marked.select(*names, "spans").mapInArrow(cut, kinds)
+    return docs.mapInArrow(cut, kinds)
