@@ -2,12 +2,15 @@
 
 Everything works on Arrow string buffers (bytes plus offsets), so a batch of
 documents is hashed by a handful of array passes and no Python string is made.
-Hashes are 64-bit polynomials modulo 2**64 over well-mixed symbols.
+Spans are hashed by polynomials modulo two primes; windows of fixed length by
+polynomials modulo 2**64 over well-mixed symbols.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,26 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Primes below 2**31 and a base for each
+MODULI = ((2147483647, 1103515243), (2147483629, 1500450271))
+SPAN = CHUNK + (CHUNK >> 2)
 U = np.uint64
 
 
+def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """step, whose worker gives freed memory back to the system when it ends: workers outlive their steps."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans: True for bytes that part words."""
     table = np.zeros(256, bool)
@@ -43,19 +62,21 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> U(31))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        for k, b in enumerate((BASE, INVERSE)):
-            table = np.full(size, b, np.uint64)
-            table[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+def powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each modulus, base**i and base**-i for i <= SPAN."""
+    if not _powers:
+        for prime, base in MODULI:
+            tables = []
+            for b in (base, pow(base, -1, prime)):
+                table = np.ones(1, np.uint64)
+                while len(table) <= SPAN:
+                    table = np.concatenate((table, table * U(pow(b, len(table), prime)) % U(prime)))
+                tables.append(table[: SPAN + 1].copy())
+            _powers.append((tables[0], tables[1]))
+    return _powers
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +122,40 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The polynomial of each span, for each modulus."""
+    if len(data) > SPAN:
+        if len(starts) > 1:  # spans in halves, each over the data it needs
+            half, out = len(starts) // 2, []
+            for s, e in ((starts[:half], ends[:half]), (starts[half:], ends[half:])):
+                low = int(s.min())
+                out.append(_polynomials(data[low : int(e.max())], s - low, e - low))
+            return [np.concatenate(x) for x in zip(*out, strict=True)]
+        if len(starts) == 1:  # one long span, piece by piece
+            data, total = data[starts[0] : ends[0]], [0, 0]
+            for at in range(0, len(data), SPAN):
+                piece = data[at : at + SPAN]
+                for k, v in enumerate(_polynomials(piece, np.zeros(1, np.int64), np.array([len(piece)]))):
+                    prime, base = MODULI[k]
+                    total[k] = (total[k] + int(v[0]) * pow(base, at, prime)) % prime
+            return [np.array([t], np.uint64) for t in total]
+        return [np.zeros(0, np.uint64)] * 2
+    wide, out, total = data.dtype != np.uint8, [], np.zeros(len(data) + 1, np.uint64)
+    narrow = None if wide else data.astype(np.uint64) + U(1)
+    for (up, down), (prime, _), shift in zip(powers(), MODULI, (33, 2), strict=True):
+        terms = ((data >> U(shift)) & U((1 << 31) - 1)) * up[: len(data)] % U(prime) if wide else narrow * up[: len(data)]
+        np.cumsum(terms, out=total[1:])
+        out.append((total[ends] - total[starts]) % U(prime) * down[starts] % U(prime))
+    return out
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span; data: bytes or uint64 symbols."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
+    """A 64-bit hash of data[start:end] for each span; data: bytes or well-mixed uint64 symbols.
+
+    Two polynomials modulo primes below 2**31 by prefix sums, so no texts collide by their structure alone."""
+    one, two = _polynomials(data, starts, ends)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + U(1)) * up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        return mix(((one << U(32)) | two) + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def hash_windows(symbols: np.ndarray, length: int) -> np.ndarray:
