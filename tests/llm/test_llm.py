@@ -58,6 +58,50 @@ def test_jaccard(docs, n, num):
     assert got == {k: (len(sets[k]), root[k]) for k in sets}
 
 
+def thue_morse(n, letters="ab"):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(letters[b] for b in bits[:n])
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_texts_that_differ_by_structure_only(spark, n):
+    """Words and texts on which polynomials modulo a power of two collide."""
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(n), thue_morse(n, "ba")
+    rows = [(0, a), (1, b), (2, " ".join(a)), (3, " ".join(b)), (4, f"{a} x y"), (5, f"{b} x y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.fingerprint for r in fingerprint.fingerprints(table).collect()}) == len(rows)
+    assert {r.doc_id: r.component_id for r in jaccard.classes(table.where("doc_id not in (2, 3)"), n=3, num=90).collect()} == {i: i for i in (0, 1, 4, 5)}
+    gone = removed({k: t.split() for k, t in rows})
+    assert {r.doc_id: r.n_removed for r in de_bruijn.dedup(table).collect()} == {k: int(g.sum()) for k, g in gone.items()}
+    tokenizer = Tokenizer.from_file(token_files.tokenizer_path())
+    want = {k: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.tokens(table).collect()} == want
+
+
+def test_jaccard_of_repeated_and_null_ids(spark):
+    """Rows that repeat a doc_id with other texts link by their own texts; rows without one link others too."""
+    a, b, c = base(120, 1), base(120, 2), base(120, 4)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, a + " y"), (5, b + " y"), (None, c), (6, c + " z"), (None, "alone"), (2, a + " z")]
+    table = spark.createDataFrame([(*r, "k", "g") for r in rows], "doc_id long, text string, key string, gone string")
+    got = [(r.doc_id or 0, r.component_id) for r in jaccard.classes(table, n=3, num=90).collect()]
+    assert len(got) == len(rows) and set(got) == {(0, 6), (0, None), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)}
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard.one_of_each(table, n=3, num=90).collect())
+    assert kept == sorted([(0, c), (0, "alone"), (1, a), (1, b), (6, c + " z")])
+
+
+def test_clashing_columns(spark):
+    names = ["score", "key", "more", "size", "taken", "copies", "part", "copy", "gone", "spans", "node", "label", "n"]
+    rows = [(i, base(80, i), f"s{i % 2}", *names) for i in range(6)]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    bench = spark.createDataFrame([(1, " ".join(base(80, 2).split()[5:30]), "clash")], "item_id long, text string, spans string")
+    for out in (jaccard.one_of_each(table), decontaminate.clean(table, bench), mixing.mix(table)):
+        assert out.columns == table.columns and all(tuple(r)[3:] == tuple(names) for r in out.collect())
+
+
 def removed(seqs, length=50):
     first, out = {}, {}
     for k in sorted(seqs):

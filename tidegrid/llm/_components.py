@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import cut
+from ._session import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Every step joins nodes to their least neighbour, so no list of neighbours is ever in one place; the
     number of steps grows with the logarithm of the longest chain."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        edges = cut(_small_star(_large_star(edges)).where("a <> b").distinct())
+        edges = written(_small_star(_large_star(edges)).where("a <> b").distinct(), "edges")
         mark = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b")), F.lit(0)), F.coalesce(F.sum(F.hash("b", "a") % 65_521), F.lit(0))).first())
         if mark == seen:
             break

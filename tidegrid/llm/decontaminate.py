@@ -7,8 +7,8 @@ all of them, and no window is dropped). Each row is scanned whole against all bl
 in one pass, whatever its doc_id; hash hits are verified word by word.
 
 Defined results: null text or item text has no words; an empty benchmark hits
-nothing; repeated items count once per item_id; null item_ids are ignored; other
-columns of either table play no part.
+nothing; repeated items count once per item_id; null item_ids are ignored; null and
+repeated doc_ids get a row for each row; other columns of either table play no part.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ prefix sums run over hash buckets first, and only the one bucket in which a sour
 rest ends is ordered row by row, so a source with a third of all rows stays spread.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
-order; sources without words get target 0; repeated rows count each; an empty table
+order; sources without words get target 0; repeated rows count each; ties in a draw go by doc_id and size; an empty table
 gives no rows. Columns other than doc_id, source and text play no part.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._session import cut
+from ._session import free_name, keyed, written
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2, "mix-1"
 
@@ -33,12 +33,14 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.pieces(batches):
         data, offsets = K.text_buffers(batch.column("text"))
         _, _, firsts = K.find_words(data, offsets, K.SPACES)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(firsts).astype(np.int64))], ["doc_id", "source", "size"])
+        names = ["doc_id", "source", "key", "more"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(firsts).astype(np.int64))], [*names, "size"])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(_sizes, "doc_id long, source string, size long")
+    """doc_id, source, key and more (which name doc_id, text and source), size (words) of each document."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return keyed(source, "key", "more", "source").mapInArrow(_sizes, "doc_id long, source string, key long, more int, size long")
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -57,8 +59,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words of each document the mix takes."""
-    sized = cut(sized)
+    """doc_id, key, more, size, source_size, target, taken: how many words of each document the mix takes."""
+    sized = written(sized, "sizes")
     goal = targets(sized, weights, share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long"))
@@ -73,40 +75,46 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     inside = F.col("ahead") + F.col("held") <= F.col("rest")
     splits = ~inside & (F.col("ahead") < F.col("rest"))
     own = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    columns = ["doc_id", "size", "source_size", "target"]
+    columns = ["doc_id", "key", "more", "size", "source_size", "target"]
     simple = placed.where(~splits).select(*columns, (F.col("whole") * F.col("size") + F.when(inside, F.col("size")).otherwise(0)).alias("taken"))
     so_far = F.col("ahead") + F.coalesce(F.sum("size").over(own), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - so_far))
     return simple.unionByName(placed.where(splits).withColumn("part", part).select(*columns, (F.col("whole") * F.col("size") + F.col("part")).alias("taken")))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, n in zip(batch.column("text").to_pylist(), batch.column("_part").to_pylist(), strict=True):
-            raw = text.encode()
-            data = np.frombuffer(raw, np.uint8)
-            _, ends, _ = K.find_words(data, np.array([0, len(data)]), K.SPACES)
-            out.append(raw[: ends[n - 1]].decode())
-        names = [c for c in batch.schema.names if c != "_part"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+def _prefixes(part: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, n in zip(batch.column("text").to_pylist(), batch.column(part).to_pylist(), strict=True):
+                raw = text.encode()
+                data = np.frombuffer(raw, np.uint8)
+                _, ends, _ = K.find_words(data, np.array([0, len(data)]), K.SPACES)
+                out.append(raw[: ends[n - 1]].decode())
+            names = [c for c in batch.schema.names if c != part]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    return run
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself, with the columns of docs: whole documents as often as they are taken, and the
     first words of the one document a source takes in part. Documents of no words are kept once. Rows
-    that repeat one doc_id with one text share its plan."""
-    plan = mix_plan(sizes(docs), **options).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).withColumnRenamed("doc_id", "_mix_id")
-    planned = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
-    copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)))).otherwise(1).cast("int")
-    planned = planned.withColumn("_copies", copies).withColumn("_part", F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int"))
-    whole = planned.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-    partial = planned.where("_part > 0").select(*docs.columns, "_part").mapInArrow(_prefixes, docs.schema)
+    that repeat one doc_id, text and source share a plan."""
+    key, more, size, taken, copies, part, copy = (free_name(docs, c) for c in ("key", "more", "size", "taken", "copies", "part", "copy"))
+    plan = mix_plan(sizes(docs), **options).groupBy(F.col("key").alias(key), F.col("more").alias(more)).agg(F.max("size").alias(size), F.max("taken").alias(taken))
+    named = keyed(docs.withColumns({taken: F.col("source").cast("string")}), key, more, taken).drop(taken)
+    planned = named.join(plan, [key, more])
+    some = F.col(size) > 0
+    planned = planned.withColumn(copies, F.when(some, F.floor(F.col(taken) / F.greatest(F.col(size), F.lit(1)))).otherwise(1).cast("int"))
+    planned = planned.withColumn(part, F.when(some, F.col(taken) % F.col(size)).otherwise(0).cast("int"))
+    whole = planned.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    partial = planned.where(F.col(part) > 0).select(*docs.columns, part).mapInArrow(_prefixes(part), docs.schema)
     return whole.unionByName(partial)
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
-    return mix_plan(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return mix_plan(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("key", "more")
 
 
 OP6_SQL = r"""

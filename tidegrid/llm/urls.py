@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import cut
+from ._session import written
 
 #: (host suffix, path prefix, verdict), in the order of the contract
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -87,9 +87,9 @@ def templates(shapes: DataFrame, *, depth: int = DEPTH, many: int = MANY, rare:
 def verdicts(shapes: DataFrame, **options) -> DataFrame:
     """host, shape, judged ('allow' or 'block'), purity of every distinct shape."""
     tree = templates(shapes, **options).withColumn("name", F.concat_ws("/", "template"))
-    tree = cut(tree.withColumn("parent", F.concat_ws("/", F.expr("slice(template, 1, greatest(size(template) - 1, 0))"))))
+    tree = written(tree.withColumn("parent", F.concat_ws("/", F.expr("slice(template, 1, greatest(size(template) - 1, 0))"))), "tree")
     node = tree.groupBy("host", "parent", "name").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))
-    node = cut(node)
+    node = written(node, "node")
     family = node.groupBy("host", "parent").agg(F.sum("blocked").alias("f_blocked"), F.sum("seen").alias("f_seen"))
     host = family.groupBy("host").agg(F.sum("f_blocked").alias("h_blocked"), F.sum("f_seen").alias("h_seen"))
     every = host.agg(F.coalesce(F.sum("h_blocked"), F.lit(0)).alias("a_blocked"), F.coalesce(F.sum("h_seen"), F.lit(0)).alias("a_seen"))  # one row
@@ -117,7 +117,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, *, de
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("shape", _shape(F.col("path"), depth))
     shapes = base.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"), F.count("ruled").alias("seen"))
-    known = verdicts(cut(shapes), depth=depth, many=many, rare=rare)
+    known = verdicts(written(shapes, "shapes"), depth=depth, many=many, rare=rare)
     out = base.where("rule is null").join(known, ["host", "shape"]).select("page_id", "host", "path", "rule", F.col("judged").alias("verdict"), "purity")
     return base.where("rule is not null").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("purity")).unionByName(out)
 
