@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, jaccard, mixing, quality, token_files
-from tidegrid.llm._session import written
+from tidegrid.llm._session import free_name, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
