@@ -29,6 +29,7 @@ on one; other columns play no part; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from . import _kernel as K
 from ._components import components
 from ._session import free_name, keyed, scratch, written
 
-GROUP, BYTES = 1024, 8 << 20
+GROUP, BYTES, TURNS = 1024, 8 << 20, 3
 RATIO = 1.5
 U = np.uint64
 
@@ -330,8 +331,12 @@ def placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         source = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
         named = written(source.mapInArrow(_names(n, bands), NAMES), "names")
         cells = named.where(F.size("sigs") > 0).select("node", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
-        shared = cells.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("sig", "pivot")
-        met = written(cells.join(shared, "sig").select("sig", "node", "n", "pivot").distinct(), "met")
+        parts = []
+        for turn in range(TURNS):  # a share of the signatures at a time, so that their shuffles are never on disk together
+            some = cells.where(F.pmod("sig", F.lit(TURNS)) == turn)
+            shared = some.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("sig", "pivot")
+            parts.append(written(some.join(shared, "sig").select("sig", "node", "n", "pivot").distinct(), "met"))
+        met = functools.reduce(DataFrame.unionByName, parts)
         # the sets of the nodes that met any other, each from one of its documents
         chosen = named.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "more")).alias("k")).join(met.select("node").distinct(), "node")
         texts = source.join(chosen.select("node", "k.key", "k.more"), ["key", "more"]).dropDuplicates(["key", "more", "node"]).select("node", "text")

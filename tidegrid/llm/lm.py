@@ -43,7 +43,7 @@ from . import _kernel as K
 from ._session import written
 
 OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 16_384, 0.15, 64, 8192
-CHUNK, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 21, 8, 24, 2
+CHUNK, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 21, 8, 24, 4
 FREQUENT, SHARED = INPUTS // 2, CLASSES - OWN
 PRIOR, EDGE = 4.0, np.uint64(0xE4D6E0FD0C5A9B37)
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
