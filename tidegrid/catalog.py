@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import folds
+from .plans.research import RESEARCH
 from .plans.roster import ROSTER
 from .plans.views import compose, duck, spark as spark_text
 from .sources.tables import query
 from .streaming import windows
 
 
+BODIES = ROSTER | RESEARCH
+
+
 def _text(name: str) -> str:
-    body, extra = ROSTER[name] if isinstance(ROSTER[name], tuple) else (ROSTER[name], None)
+    body, extra = BODIES[name] if isinstance(BODIES[name], tuple) else (BODIES[name], None)
     return compose(body, extra)
 
 
@@ -27,5 +31,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in ROSTER} | folds.QUERIES | windows.QUERIES
-ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in ROSTER} | folds.ORACLE_SQL | windows.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | windows.QUERIES
+ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in BODIES} | folds.ORACLE_SQL | windows.ORACLE_SQL

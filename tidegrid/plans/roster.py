@@ -14,11 +14,11 @@ def r(x: str, name: str) -> str:
 
 
 def book(signal: str, cost: str = f"turnover * {FEE_BPS} / 10000.0", out: str | None = None, lag: int = 1) -> tuple[str, dict[str, str]]:
-    """A weight backtest. signal: SELECT symbol, t, raw from ret_1w. Weights are masked by price, scaled to a gross
+    """A weight backtest. signal: all columns of ret_1w and raw. Weights are masked by price, scaled to a gross
     of 1, held `lag` bars later; turnover is against the drifted book."""
     extra = {
         "signal_": signal,
-        "masked_": "SELECT p.symbol, p.t, p.r, p.close, p.quote_volume, CASE WHEN p.close IS NULL THEN 0.0 ELSE coalesce(s.raw, 0.0) END AS raw FROM ret_1w p LEFT JOIN signal_ s ON s.symbol = p.symbol AND s.t = p.t",
+        "masked_": "SELECT symbol, t, r, close, quote_volume, CASE WHEN close IS NULL THEN 0.0 ELSE coalesce(raw, 0.0) END AS raw FROM signal_",
         "target_": "SELECT *, raw / nullif(sum(abs(raw)) OVER (PARTITION BY t), 0) AS w FROM masked_",
         "held_": f"SELECT symbol, t, close, quote_volume, coalesce(r, 0.0) AS r, CASE WHEN close IS NULL THEN 0.0 ELSE coalesce(lag(w, {lag}) OVER (PARTITION BY symbol ORDER BY t), 0.0) END AS h FROM target_",
         "port_": "SELECT *, sum(h * r) OVER (PARTITION BY t) AS pr FROM held_",
@@ -63,10 +63,10 @@ def roll(agg: str, x: str, n: int, least: int | None = None, by: str = W) -> str
     return f"CASE WHEN count({x}) {frame} >= {least or n} THEN {arg} {frame} END"
 
 
-TSMOM = "SELECT symbol, t, sign(close / nullif(lag(close, 12) OVER (PARTITION BY symbol ORDER BY t), 0) - 1) AS raw FROM ret_1w"
-RANKED = "SELECT symbol, t, s, row_number() OVER (PARTITION BY t ORDER BY s DESC, symbol) AS top, row_number() OVER (PARTITION BY t ORDER BY s, symbol) AS bottom FROM ({}) WHERE s IS NOT NULL"
-MOM = "SELECT symbol, t, lag(close, 1) OVER (PARTITION BY symbol ORDER BY t) / nullif(lag(close, 12) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS s FROM ret_1w"
-REV = "SELECT symbol, t, -(close / nullif(lag(close, 2) OVER (PARTITION BY symbol ORDER BY t), 0) - 1) AS s FROM ret_1w"
+TSMOM = "SELECT *, sign(close / nullif(lag(close, 12) OVER (PARTITION BY symbol ORDER BY t), 0) - 1) AS raw FROM ret_1w"
+RANKED = "SELECT *, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY t, s IS NULL ORDER BY s DESC, symbol) END AS top, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY t, s IS NULL ORDER BY s, symbol) END AS bottom FROM ({})"
+MOM = "SELECT *, lag(close, 1) OVER (PARTITION BY symbol ORDER BY t) / nullif(lag(close, 12) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS s FROM ret_1w"
+REV = "SELECT *, -(close / nullif(lag(close, 2) OVER (PARTITION BY symbol ORDER BY t), 0) - 1) AS s FROM ret_1w"
 STATS = f"""SELECT CAST(count(*) AS BIGINT) AS n, {r("avg(net)", "mean")}, {r("stddev_samp(net)", "sd")}, {r("avg(net) / nullif(stddev_samp(net), 0) * sqrt(52)", "sharpe")}, {r("sum(turnover)", "turnover")}, {r("max(net)", "best")}, {r("min(net)", "worst")}, {r("avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)", "hit")} FROM (SELECT *, gross - cost AS net FROM bars_)"""
 EQUITY = f"""SELECT t, {r("eq", "equity")}, {r("eq / max(eq) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1", "drawdown")} FROM (SELECT t, 1 + sum(gross - cost) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM bars_)"""
 
@@ -83,11 +83,12 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "src_listing_window": "SELECT symbol, min(t) AS first_day, max(t) AS last_day, CAST(count(*) AS BIGINT) AS bars FROM bars_1d GROUP BY symbol",
     "src_epoch_parse": "SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS micros, CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000) AS BIGINT) AS millis FROM events",
     "manifest_rows": f"SELECT symbol, CAST(count(*) AS BIGINT) AS bars, min(t) AS first_ts, max(t) AS last_ts, {r('sum(close)', 'check_close')} FROM bars_1d GROUP BY symbol",
+    "manifest_hash": "SELECT symbol, CAST(count(*) AS BIGINT) AS bars, sha2(array_join(array_sort(collect_list(concat(CAST(t AS VARCHAR(10)), '|', CAST(trades AS VARCHAR(20))))), ','), 256) AS content FROM bars_1d GROUP BY symbol",
     # joins
-    "join_asof_backward": f"SELECT f.filing, f.owner, b.t AS bar_day, {r('b.close', 'close')} FROM (SELECT f.*, (SELECT max(t) FROM bars_1d WHERE symbol = 'Brand#13' AND t <= f.published) AS bar FROM filings f) f LEFT JOIN bars_1d b ON b.symbol = 'Brand#13' AND b.t = f.bar",
+    "join_asof_backward": f"SELECT filing, owner, bar_day, {r('close', 'close')} FROM (SELECT filing, owner, tag, max(CASE WHEN tag = 0 THEN day END) OVER w AS bar_day, last_value(close IGNORE NULLS) OVER w AS close FROM (SELECT CAST(NULL AS BIGINT) AS filing, CAST(NULL AS BIGINT) AS owner, 'Brand#13' AS symbol, t AS day, 0 AS tag, close FROM bars_1d WHERE symbol = 'Brand#13' UNION ALL SELECT filing, owner, 'Brand#13', published, 1, CAST(NULL AS DOUBLE) FROM filings) WINDOW w AS (PARTITION BY symbol ORDER BY day, tag, filing ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE tag = 1",
     "join_asof_pit": "SELECT owner, d AS asof, filing, value FROM (SELECT f.owner, d.d, f.filing, f.value, row_number() OVER (PARTITION BY f.owner, d.d ORDER BY f.event_day DESC, f.published DESC, f.filing DESC) AS k FROM filings f JOIN (SELECT DATE '1997-06-30' AS d UNION ALL SELECT DATE '1998-06-30') d ON f.published <= d.d) WHERE k = 1",
-    "join_interval_sum": f"SELECT f.filing, {r('coalesce(sum(b.quote_volume), 0)', 'volume')}, CAST(count(b.t) AS BIGINT) AS bars FROM filings f LEFT JOIN bars_1d b ON b.symbol = 'Brand#21' AND b.t > f.event_day AND b.t <= f.published GROUP BY f.filing",
-    "join_next_match": "SELECT a.filing, min(b.published) AS next_day FROM filings a LEFT JOIN filings b ON b.owner = a.owner AND b.published > a.published GROUP BY a.filing",
+    "join_interval_sum": f"SELECT f.filing, {r('coalesce(sum(CASE WHEN f.k > 0 THEN b.quote_volume END), 0)', 'volume')}, CAST(count(CASE WHEN f.k > 0 THEN b.t END) AS BIGINT) AS bars FROM (SELECT filing, k, date_add(event_day, CAST(k AS INT)) AS day FROM filings CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) d WHERE k <= datediff(DAY, event_day, published)) f LEFT JOIN (SELECT t, quote_volume FROM bars_1d WHERE symbol = 'Brand#21') b ON b.t = f.day GROUP BY f.filing",
+    "join_next_match": "SELECT f.filing, n.next_day FROM filings f JOIN (SELECT owner, published, lead(published) OVER (PARTITION BY owner ORDER BY published) AS next_day FROM (SELECT DISTINCT owner, published FROM filings)) n ON n.owner = f.owner AND n.published = f.published",
     "join_semi_universe": f"SELECT symbol, t, {r('close', 'close')} FROM bars_1w b WHERE EXISTS (SELECT 1 FROM (SELECT symbol FROM bars_1w GROUP BY symbol HAVING sum(quote_volume) > (SELECT avg(q) FROM (SELECT sum(quote_volume) AS q FROM bars_1w GROUP BY symbol))) u WHERE u.symbol = b.symbol)",
     "join_anti_gaps": "SELECT p.symbol, p.t FROM panel_1d p WHERE NOT EXISTS (SELECT 1 FROM bars_1d b WHERE b.symbol = p.symbol AND b.t = p.t)",
     "join_full_outer_combine": f"SELECT coalesce(a.t, b.t) AS t, {r('coalesce(a.close, b.close)', 'close')}, a.t IS NULL AS second_only FROM (SELECT * FROM bars_1d WHERE symbol = 'Brand#11') a FULL OUTER JOIN (SELECT * FROM bars_1d WHERE symbol = 'Brand#12') b ON a.t = b.t",
@@ -102,7 +103,7 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "agg_xvenue_unit": f"SELECT a.t, {r('a.funding - b.funding', 'spread')}, {r('(a.close - b.close) / nullif((a.close + b.close) / 2, 0)', 'gap')} FROM bars_1w a JOIN bars_1w b ON a.t = b.t AND a.symbol = 'Brand#21' AND b.symbol = 'Brand#22'",
     "agg_year_table": f"SELECT symbol, CAST(extract(year FROM t) AS BIGINT) AS year, {r('sum(r)', 'total')}, {r('stddev_samp(r)', 'sd')}, CAST(count(r) AS BIGINT) AS n FROM ret_1w GROUP BY symbol, CAST(extract(year FROM t) AS BIGINT)",
     "agg_sort_table": f"SELECT CAST(bucket AS BIGINT) AS bucket, {r('avg(f)', 'forward')}, CAST(count(*) AS BIGINT) AS n FROM (SELECT ntile(5) OVER (PARTITION BY t ORDER BY r, symbol) AS bucket, f FROM (SELECT symbol, t, r, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS f FROM ret_1w) WHERE r IS NOT NULL AND f IS NOT NULL) GROUP BY bucket",
-    "agg_cluster_se": f"SELECT CAST(count(*) AS BIGINT) AS clusters, {r('sqrt(sum(s * s)) / sum(n) * sqrt(count(*) / greatest(count(*) - 1.0, 1.0))', 'se')} FROM (SELECT t, sum(r - m) AS s, count(*) AS n FROM (SELECT t, r, avg(r) OVER () AS m FROM ret_1w WHERE r IS NOT NULL) GROUP BY t)",
+    "agg_cluster_se": f"SELECT CAST(count(*) AS BIGINT) AS clusters, {r('sqrt(sum(s * s)) / sum(n) * sqrt(count(*) / greatest(count(*) - 1.0, 1.0))', 'se')} FROM (SELECT c.s - c.n * m.m AS s, c.n FROM (SELECT t, sum(r) AS s, CAST(count(*) AS DOUBLE) AS n FROM ret_1w WHERE r IS NOT NULL GROUP BY t) c CROSS JOIN (SELECT avg(r) AS m FROM ret_1w WHERE r IS NOT NULL) m)",
     "agg_fill_summary": f"SELECT l_returnflag AS side, l_linestatus AS status, CAST(count(*) AS BIGINT) AS fills, {r('sum(l_extendedprice * (1 - l_discount))', 'filled')}, {r('avg(l_tax)', 'fee')} FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_pooled_stats": f"SELECT CAST(count(*) AS BIGINT) AS n, {r('avg(f)', 'mean')}, {r('avg(CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END)', 'win')}, {r('avg(f) / nullif(stddev_samp(f), 0) * sqrt(count(*))', 't')} FROM (SELECT r, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS f FROM ret_1w) WHERE r < -0.1 AND f IS NOT NULL",
     "agg_setup_stats": f"SELECT symbol, CAST(count(*) AS BIGINT) AS n, {r('avg(f)', 'mean')}, {r('percentile(f, 0.5)', 'median')} FROM (SELECT symbol, r, lag(r) OVER (PARTITION BY symbol ORDER BY t) AS r1, lead(close, 5) OVER (PARTITION BY symbol ORDER BY t) / nullif(close, 0) - 1 AS f FROM ret_1w) WHERE r < 0 AND r1 < 0 AND f IS NOT NULL GROUP BY symbol",
@@ -130,14 +131,14 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "win_cash_curve": f"SELECT t, {r('rate', 'rate')}, {r('sum(ln(1 + rate / 12)) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'log_cash')} FROM rates",
     "win_trend_features": f"SELECT symbol, t, {r(roll('avg', 'r', 4, 2), 'm4')}, {r(roll('avg', 'r', 12, 6), 'm12')}, {r(roll('stddev_samp', 'r', 12, 6), 's12')}, {r(roll('corr(%s, r1)', 'r', 12, 12), 'ac')} FROM (SELECT symbol, t, r, lag(r) OVER (PARTITION BY symbol ORDER BY t) AS r1 FROM ret_1w)",
     # engines
-    "bt_buy_hold": book("SELECT symbol, t, 1.0 AS raw FROM ret_1w"),
+    "bt_buy_hold": book("SELECT *, 1.0 AS raw FROM ret_1w"),
     "bt_tsmom": book(TSMOM),
-    "bt_xsmom": book(f"SELECT symbol, t, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})"),
-    "bt_ls_xsmom": book(f"SELECT symbol, t, CASE WHEN top <= 5 THEN 1.0 WHEN bottom <= 5 THEN -1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})"),
-    "bt_reversal": book(f"SELECT symbol, t, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(REV)})"),
-    "bt_calendar": book("SELECT symbol, t, CASE WHEN extract(day FROM t) >= 25 OR extract(day FROM t) <= 3 THEN 1.0 ELSE 0.0 END AS raw FROM ret_1w"),
-    "bt_funding_tilt": book("SELECT symbol, t, -round(funding - avg(funding) OVER (PARTITION BY t), 9) AS raw FROM ret_1w"),
-    "bt_oi_reversal": book("SELECT symbol, t, CASE WHEN volume > 2 * avg(volume) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) THEN -sign(r) ELSE 0.0 END AS raw FROM ret_1w"),
+    "bt_xsmom": book(f"SELECT *, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})"),
+    "bt_ls_xsmom": book(f"SELECT *, CASE WHEN top <= 5 THEN 1.0 WHEN bottom <= 5 THEN -1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})"),
+    "bt_reversal": book(f"SELECT *, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(REV)})"),
+    "bt_calendar": book("SELECT *, CASE WHEN extract(day FROM t) >= 25 OR extract(day FROM t) <= 3 THEN 1.0 ELSE 0.0 END AS raw FROM ret_1w"),
+    "bt_funding_tilt": book("SELECT *, -round(funding - avg(funding) OVER (PARTITION BY t), 9) AS raw FROM ret_1w"),
+    "bt_oi_reversal": book("SELECT *, CASE WHEN volume > 2 * avg(volume) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) THEN -sign(r) ELSE 0.0 END AS raw FROM ret_1w"),
     "bt_costs": book(TSMOM, cost="turnover * (10.0 * 0.75 + 2.0 + 1.0) / 10000.0"),
     "bt_impact": book(TSMOM, out=f"SELECT t, {r('sum(abs(h - prior) * 10000 * 0.0001 * sqrt(abs(h - prior) * 10000 / nullif(quote_volume, 0)))', 'impact')} FROM drift_ GROUP BY t"),
     "bt_whole_shares": book(TSMOM, out=f"SELECT symbol, t, {r('floor(abs(h) * 100000 / close) * close / 100000 * sign(h)', 'held')} FROM held_ WHERE close IS NOT NULL"),
@@ -147,7 +148,7 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "bt_held": book(TSMOM, out=f"SELECT symbol, t, {r('h', 'held')}, {r('prior', 'prior')} FROM drift_"),
     "bt_is_oos": book(TSMOM, out=f"SELECT t < DATE '1999-01-01' AS in_sample, CAST(count(*) AS BIGINT) AS n, {r('avg(gross - cost) / nullif(stddev_samp(gross - cost), 0) * sqrt(52)', 'sharpe')} FROM bars_ GROUP BY t < DATE '1999-01-01'"),
     "bt_regimes": book(TSMOM, out=f"SELECT CAST(regime AS BIGINT) AS regime, CAST(count(*) AS BIGINT) AS n, {r('avg(net)', 'mean')} FROM (SELECT net, ntile(3) OVER (ORDER BY v, t) AS regime FROM (SELECT t, gross - cost AS net, stddev_samp(gross) OVER (ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS v FROM bars_) WHERE v IS NOT NULL) GROUP BY regime"),
-    "bt_best_trades": book(TSMOM, out=f"SELECT symbol, t, {r('pnl', 'pnl')} FROM (SELECT symbol, t, h * r AS pnl, row_number() OVER (ORDER BY h * r DESC, symbol, t) AS k FROM held_) WHERE k <= 25"),
+    "bt_best_trades": book(TSMOM, out=f"SELECT symbol, t, {r('h * r', 'pnl')} FROM held_ ORDER BY h * r DESC, symbol, t LIMIT 25"),
     "bt_capacity": book(TSMOM, out=f"SELECT {r('min(0.01 * quote_volume / nullif(abs(h), 0))', 'least')}, {r('percentile(0.01 * quote_volume / nullif(abs(h), 0), 0.5)', 'median')} FROM held_ WHERE h <> 0 AND quote_volume IS NOT NULL"),
     "bt_year_concentration": book(TSMOM, out=f"SELECT CAST(extract(year FROM t) AS BIGINT) AS year, {r('sum(gross - cost)', 'net')}, {r('sum(turnover)', 'turnover')} FROM bars_ GROUP BY CAST(extract(year FROM t) AS BIGINT)"),
     "bt_walk_forward": book(TSMOM, out=f"SELECT CAST(fold AS BIGINT) AS fold, min(t) AS first_t, max(t) AS last_t, {r('avg(gross - cost) / nullif(stddev_samp(gross - cost), 0) * sqrt(52)', 'sharpe')} FROM (SELECT *, ntile(6) OVER (ORDER BY t) AS fold FROM bars_) GROUP BY fold"),
@@ -176,7 +177,7 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "jr_positions": f"SELECT l_suppkey AS account, l_partkey AS instrument, {r("sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END)", 'quantity')} FROM lineitem GROUP BY l_suppkey, l_partkey",
     "jr_nav": f"SELECT l_suppkey AS account, day, {r('sum(flow) OVER (PARTITION BY l_suppkey ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'nav')} FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice * (1 - l_discount) * (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)) AS flow FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))",
     "jr_violations": f"SELECT account, instrument, {r('q', 'quantity')} FROM (SELECT l_suppkey AS account, l_partkey AS instrument, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS q FROM lineitem GROUP BY l_suppkey, l_partkey) WHERE q < 0",
-    "log_chain": "SELECT event_id, own, lag(own) OVER (ORDER BY event_id) AS previous FROM (SELECT event_id, sha2(x, 256) AS own FROM (SELECT event_id, concat(CAST(event_id AS VARCHAR(20)), '|', symbol) AS x FROM ev))",
+    "log_chain": "SELECT owner, event_id, own, lag(own) OVER (PARTITION BY owner ORDER BY event_id) AS previous FROM (SELECT owner, event_id, sha2(x, 256) AS own FROM (SELECT owner, event_id, concat(CAST(event_id AS VARCHAR(20)), '|', symbol) AS x FROM ev))",
     # streams, in their batch form
     "str_tumbling": f"SELECT symbol, date_trunc('hour', ts) AS hour, {r('sum(usd)', 'usd')}, CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY symbol, date_trunc('hour', ts)",
     "str_session": f"SELECT owner, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS n, {r('sum(usd)', 'usd')} FROM (SELECT *, sum(fresh) OVER (PARTITION BY owner ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (SELECT *, CASE WHEN unix_micros(CAST(ts AS TIMESTAMP)) - lag(unix_micros(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY owner ORDER BY ts, event_id) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM ev)) GROUP BY owner, session",

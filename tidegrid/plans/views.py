@@ -14,18 +14,18 @@ TIES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpr
 
 
 def _bars(unit: str) -> str:
+    """One aggregation: the first and last prints by day and tie-break, no sort of all prints by window."""
     return f"""
-SELECT symbol, t, max(CASE WHEN up = 1 THEN price END) AS open, max(price) AS high, min(price) AS low, max(CASE WHEN down = 1 THEN price END) AS close,
+SELECT symbol, t, min_by(price, struct(day, {TIES})) AS open, max(price) AS high, min(price) AS low, max_by(price, struct(day, {TIES})) AS close,
   sum(qty) AS volume, sum(usd) AS quote_volume, count(*) AS trades, sum(l_tax) AS funding
-FROM (SELECT *, row_number() OVER (PARTITION BY symbol, t ORDER BY day, {TIES}) AS up,
-  row_number() OVER (PARTITION BY symbol, t ORDER BY day DESC, {", ".join(c + " DESC" for c in TIES.split(", "))}) AS down
-  FROM (SELECT *, CAST(date_trunc('{unit}', day) AS DATE) AS t FROM prints)) GROUP BY symbol, t"""
+FROM (SELECT *, CAST(date_trunc('{unit}', day) AS DATE) AS t FROM prints) GROUP BY symbol, t"""
 
 
-def _grid(bars: str) -> str:
+def _grid(bars: str, unit: str) -> str:
+    """Times and symbols come from the prints, so bars are made once."""
     return f"""
 SELECT s.symbol, d.t, b.open, b.high, b.low, b.close, b.volume, b.quote_volume, b.trades, b.funding
-FROM (SELECT DISTINCT symbol FROM {bars}) s CROSS JOIN (SELECT DISTINCT t FROM {bars}) d LEFT JOIN {bars} b ON b.symbol = s.symbol AND b.t = d.t"""
+FROM (SELECT DISTINCT symbol FROM prints) s CROSS JOIN (SELECT DISTINCT CAST(date_trunc('{unit}', day) AS DATE) AS t FROM prints) d LEFT JOIN {bars} b ON b.symbol = s.symbol AND b.t = d.t"""
 
 
 VIEWS = {
@@ -34,8 +34,8 @@ VIEWS = {
     "bars_1d": _bars("day"),
     "bars_1w": _bars("week"),
     # Dense grids: every symbol at every time; absent bars stay NULL, nothing is filled.
-    "panel_1d": _grid("bars_1d"),
-    "panel_1w": _grid("bars_1w"),
+    "panel_1d": _grid("bars_1d", "day"),
+    "panel_1w": _grid("bars_1w", "week"),
     "ret_1w": "SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS r FROM panel_1w",
     "ret_1d": "SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) - 1 AS r FROM panel_1d",
     "ev": "SELECT event_id, ts, CAST(ts AS DATE) AS day, event_type AS symbol, user_id AS owner, value AS usd, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events",
@@ -61,9 +61,9 @@ def compose(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 _DUCK = (
-    (r"\bpercentile\(", "quantile_cont("), (r"\bget_json_object\(", "json_extract_string("), (r"\bcollect_list\(", "list("), (r"\bsha2\(([^()]*(?:\([^()]*\)[^()]*)*), 256\)", r"sha256(\1)"),
+    (r"\bpercentile\(", "quantile_cont("), (r"\bget_json_object\(", "json_extract_string("), (r"\bcollect_list\(", "list("), (r"\bsha2\(", "sha256("), (r", 256\)", ")"),
     (r"\bdate_add\(([^()]*(?:\([^()]*\)[^()]*)*), (CAST\([^()]*\)|\d+)\)", r"(\1 + \2)"), (r"\bdatediff\(DAY, ", "datediff('day', "), (r"\bdayofweek_iso\(", "isodow("), (r"\barray_join\(", "array_to_string("),
-    (r"\bunix_micros\(CAST\((\w+) AS TIMESTAMP\)\)", r"epoch_us(\1)"), (r"\bmax_by\(", "arg_max("), (r"\bmin_by\(", "arg_min("), (r"\bANY_SKEW\(", "skewness("),
+    (r"\bunix_micros\(CAST\((\w+) AS TIMESTAMP\)\)", r"epoch_us(\1)"), (r"\bmax_by\(", "arg_max("), (r"\bmin_by\(", "arg_min("), (r"\bstruct\(", "row("), (r"\barray_sort\(", "list_sort("),
 )
 
 
@@ -74,5 +74,7 @@ def duck(sql: str) -> str:
 
 
 def spark(sql: str) -> str:
-    """Spark reads 1.5 as a decimal; the model's literals are doubles."""
+    """Spark reads 1.5 as a decimal; the model's literals are doubles. Some operators have other names."""
+    for found, instead in ((" // ", " div "), ("last_value(", "last("), ("first_value(", "first("), (" IGNORE NULLS)", ", true)")):
+        sql = sql.replace(found, instead)
     return re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w.])", r"\1D", sql)

@@ -1,18 +1,21 @@
 """Event streams with Structured Streaming: the streaming forms of the str_ queries.
 
-The source is a folder (or glob) of event files; each form is a watermarked
-aggregation in update mode. Every micro-batch is written to the folder executors
-share, and the latest state of each key is the result, so a run that is repeated or
-split into other micro-batches ends with the same rows as the batch form.
+The source is a folder (or glob) of event files. Every micro-batch aggregates its own
+rows, and writes these partial sums to the folder executors share; the sums of all
+batches are the result. No event is too late for them, so a run that is repeated or split
+into other micro-batches, in whatever order files arrive, ends with the rows of the batch
+form. `watermarked` is the form for streams that never end: its state is bounded by
+`LATE`, and later events are dropped.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LATE = "2 hours"
@@ -20,39 +23,44 @@ LATE = "2 hours"
 
 def shared(spark: SparkSession, name: str) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(found or tempfile.mkdtemp(prefix='tidegrid-')).rstrip('/')}/tidegrid-{name}-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events*.parquet")
-    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), F.col("user_id").alias("owner"), F.col("value").alias("usd")).withWatermark("ts", LATE)
+    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), F.col("user_id").alias("owner"), F.col("value").alias("usd"))
 
 
-def latest(spark: SparkSession, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Runs the stream over what is there, and gives each key's last row."""
+def watermarked(stream: DataFrame, width: str, slide: str | None = None, late: str = LATE) -> DataFrame:
+    """symbol, w, usd, n of every window, with state that events older than `late` no longer reach."""
+    return stream.withWatermark("ts", late).groupBy("symbol", F.window("ts", width, slide).alias("w")).agg(F.sum("usd").alias("usd"), F.count("*").alias("n"))
+
+
+def summed(spark: SparkSession, stream: DataFrame, width: str, slide: str | None, name: str) -> DataFrame:
+    """Runs the stream over what is there: symbol, w, usd, n of every window."""
     out = shared(spark, name)
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/data/batch={epoch}")
+    def keep(batch: DataFrame, epoch: int) -> None:  # an epoch that is repeated writes the same folder again
+        sums = batch.groupBy("symbol", F.window("ts", width, slide).alias("w")).agg(F.sum("usd").alias("usd"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{out}/data/batch={epoch}")
 
-    run = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    rows = spark.read.parquet(f"{out}/data")
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("epoch").desc()))
-    return rows.withColumn("_k", first).where("_k = 1").drop("_k", "epoch", "batch")
+    parts = spark.read.parquet(f"{out}/data")
+    return parts.groupBy("symbol", "w").agg(F.sum("usd").alias("usd"), F.sum("n").alias("n"))
 
 
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = events(spark, sf_dir).groupBy("symbol", F.window("ts", "1 hour").alias("w")).agg(F.sum("usd").alias("usd"), F.count("*").alias("n"))
-    rows = latest(spark, counted.select("symbol", F.col("w.start").alias("hour"), "usd", "n"), ["symbol", "hour"], "tumbling")
-    return rows.select("symbol", F.col("hour").cast("timestamp_ntz").alias("hour"), (F.round("usd", 6) + 0.0).alias("usd"), "n")
+    rows = summed(spark, events(spark, sf_dir), "1 hour", None, "tumbling")
+    return rows.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("hour"), (F.round("usd", 6) + 0.0).alias("usd"), "n")
 
 
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = events(spark, sf_dir).groupBy("symbol", F.window("ts", "6 hours", "1 hour").alias("w")).agg(F.sum("usd").alias("usd"), F.count("*").alias("n"))
-    rows = latest(spark, counted.select("symbol", F.col("w.end").alias("until"), "usd", "n"), ["symbol", "until"], "sliding")
-    return rows.select("symbol", F.col("until").cast("timestamp_ntz").alias("until"), (F.round("usd", 6) + 0.0).alias("usd"), "n")
+    rows = summed(spark, events(spark, sf_dir), "6 hours", "1 hour", "sliding")
+    return rows.select("symbol", F.col("w.end").cast("timestamp_ntz").alias("until"), (F.round("usd", 6) + 0.0).alias("usd"), "n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stream_tumbling": tumbling, "stream_sliding": sliding}
