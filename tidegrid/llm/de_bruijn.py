@@ -1,36 +1,58 @@
-"""Substring dedup over words: a de Bruijn graph of token windows, compacted.
-
-Edges are windows of `LENGTH` consecutive words. Runs of consecutive edges that
-share a content-defined k-mer form paths; a Spark join over those k-mers keeps the
-ones that several documents traverse. A path along which every document goes the
-same way does not branch and is compacted to one row; where documents enter, leave
-or differ, the path branches and is opened into its edges, which a second join
-verifies by source coordinates (document and position) and 96-bit names. See
-`_repeats` for the steps.
+"""Substring dedup over words: a de Bruijn graph of token k-mers, compacted.
+
+1. `edges`: each k-mer of `LENGTH` consecutive words is an edge between the nodes of its
+   first and last `LENGTH - 1` words. Edges are named by 64-bit hashes and aggregated:
+   the least and greatest document, one source coordinate (document, position), and
+   sums over all occurrences' coordinates, and over the coordinates one word on. Edges
+   of one document only are dropped.
+2. `paths`: an edge goes on to the next edge of its coordinate without a branch if the
+   first one's sums of next coordinates are the second one's sums of coordinates: then
+   every occurrence of either is an occurrence of both. Runs of such edges are compacted
+   to one row, named by the first edge, with their number of edges.
+3. `occurrences`: a join of all documents' edges with the first edges of paths gives
+   each path's occurrences, one row each, whatever the path's length.
+4. `verified`: the words at each occurrence's source coordinates are read and named by
+   SHA-256; of each path and name the least document keeps its words, all greater ones
+   lose them. Edges whose 64-bit names collide do not stay on one path and are told
+   apart here, so no result rests on those names.
 
 Each word is removed that a window covers whose words also start in a document with
-a smaller doc_id, judged on the input.
+a smaller doc_id, judged on the input. Aggregates combine before the shuffle (every
+batch, too, gives an edge once), so an edge that a third of all documents share is
+some rows a task; the joins are on keys that one side holds once, so adaptive
+execution may split the other side's hot partitions.
 
 Defined results: null, empty and blank texts have no words; texts of fewer words
 than a window lose nothing; repeats inside one document (and rows that repeat one
-doc_id with one text) are not removed; a null doc_id loses nothing and takes nothing
-from others; an empty table gives no rows; other columns play no part.
+doc_id, whatever their texts) are not removed, but each row is judged by its own
+text; a null doc_id loses nothing and takes nothing from others; an empty table
+gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import _kernel as K
-from . import _repeats as R
-from ._session import written
+from ._session import scratch, written
 
-LENGTH, KMER, LIMIT = 50, 12, 2 << 20
+LENGTH, LIMIT = 50, 2 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
+#: Sums over the occurrences of an edge in one batch; null where it occurs once
+MANY = ("hi", "here_a", "here_b", "next_a", "next_b")
+LOW = (1 << 32) - 1
+
+
+def source(docs: DataFrame) -> DataFrame:
+    """doc_id, key (names the row's doc_id and text), text."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("key"), text.alias("text"))
 
 
 def word_symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -39,29 +61,151 @@ def word_symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_spans(data, starts, ends), firsts
 
 
-def _finish(digest: bool):
-    def finish(batch: pa.RecordBatch, firsts: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-        total = np.concatenate(([0], np.cumsum(gone)))
-        removed = total[firsts[1:]] - total[firsts[:-1]]
-        kept = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            words = (text or "").encode().split()
-            if removed[i]:
-                out = gone[firsts[i] : firsts[i + 1]]
-                words = [w for w, g in zip(words, out.tolist(), strict=True) if not g]
-            joined = b" ".join(words)
-            kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return finish
-
-
-def dedup(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, digest: bool = False) -> DataFrame:
+def _found(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """Name, doc_id, key and position of each edge of a batch."""
+    symbols, firsts = word_symbols(batch)
+    names = K.mix(K.hash_windows(symbols, length))
+    column = batch.column("doc_id")
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(firsts))[: len(names)]
+    at = np.flatnonzero((K.room(firsts)[: len(names)] >= length) & known[row])
+    row = row[at]
+    doc, key = column.fill_null(0).to_numpy()[row], batch.column("key").to_numpy()[row]
+    return names[at], doc, key, (at - firsts[row]).astype(np.int32)
+
+
+def coordinate(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(key, at) of longs, so that single occurrences are hashed behind the shuffle instead."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    seed = np.full(len(key), 42, np.uint64)
+    for values in (key, at):
+        h = (seed + five + np.uint64(8)) ^ (turn(values.astype(np.int64).view(np.uint64) * two, 31) * one)
+        h = turn(h, 27) * one + four
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        seed = h ^ (h >> np.uint64(32))
+    return seed
+
+
+def edges(docs: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+    """edge, key, at (one source coordinate), here_a, here_b, next_a, next_b of each edge of several documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.pieces(batches, limit):
+            name, doc, key, at = _found(batch, length)
+            order = np.lexsort((at, key, name))
+            name, doc, key, at = name[order], doc[order], key[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(name)))
+            some = size > 1
+            held = K.ranges(first[some], size[some])
+            heads = np.cumsum(size[some]) - size[some]
+            sums = []
+            for on in (0, 1):
+                value = coordinate(key[held], at[held].astype(np.int64) + on)
+                for part in (value & np.uint64(LOW), value >> np.uint64(32)):
+                    sums.append(np.add.reduceat(part, heads) if len(heads) else part)
+            many = []
+            for values in (np.maximum.reduceat(doc[held], heads) if len(heads) else doc[held], *sums):
+                wide = np.zeros(len(first), np.int64)
+                wide[some] = values.astype(np.int64)
+                many.append(pa.array(wide))
+            least = np.minimum.reduceat(doc, first) if len(first) else doc
+            yield pa.RecordBatch.from_arrays(
+                [K.as_long(name[first]), pa.array(least), pa.array(key[first]), pa.array(at[first]), pa.StructArray.from_arrays(many, names=list(MANY), mask=pa.array(~some))],
+                ["edge", "lo", "key", "at", "many"],
+            )
+
+    fields = ", ".join(f"{x}: long" for x in MANY)
+    rows = source(docs).mapInArrow(K.lean(run), f"edge long, lo long, key long, at int, many struct<{fields}>").repartition("edge")
+    here, on = F.xxhash64("key", F.col("at").cast("long")), F.xxhash64("key", F.col("at").cast("long") + 1)
+    single = {"hi": F.col("lo"), "here_a": here.bitwiseAND(LOW), "here_b": F.shiftrightunsigned(here, 32), "next_a": on.bitwiseAND(LOW), "next_b": F.shiftrightunsigned(on, 32)}
+    wide = rows.select("edge", "lo", "key", "at", *(F.coalesce(f"many.{c}", v).alias(c) for c, v in single.items()))
+    sums = [F.sum(c).alias(c) for c in MANY[1:]]
+    met = wide.groupBy("edge").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"), *sums)
+    return met.where("lo < hi").drop("lo", "hi")
+
+
+def paths(found: DataFrame) -> DataFrame:
+    """edge (the first), n_edges of each unbranched run of edges."""
+    along = Window.partitionBy("key").orderBy("at")
+    goes_on = (F.lag("at").over(along) + 1 == F.col("at")) & (F.lag("next_a").over(along) == F.col("here_a")) & (F.lag("next_b").over(along) == F.col("here_b"))
+    runs = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
+    return runs.groupBy("key", "run").agg(F.min_by("edge", "at").alias("edge"), F.count(F.lit(1)).cast("int").alias("n_edges")).select("edge", "n_edges")
+
+
+def occurrences(docs: DataFrame, compact: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+    """edge, n_edges, doc_id, key, at of every occurrence of a path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.pieces(batches, limit):
+            name, doc, key, at = _found(batch, length)
+            yield pa.RecordBatch.from_arrays([K.as_long(name), pa.array(doc), pa.array(key), pa.array(at)], ["edge", "doc_id", "key", "at"])
+
+    return source(docs).mapInArrow(K.lean(run), "edge long, doc_id long, key long, at int").join(compact, "edge")
+
+
+def _lists(rows: DataFrame, *fields: str) -> DataFrame:
+    return rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*fields)).alias("spans"))
+
+
+def verified(docs: DataFrame, met: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+    """edge, words (SHA-256 of the words at the coordinates), doc_id, key, at, n_edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.pieces(batches, limit):
+            columns = {c: [] for c in ("edge", "words", "doc_id", "key", "at", "n_edges")}
+            for doc, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "spans")), strict=True):
+                words = text.encode().split()
+                for s in spans:
+                    said = hashlib.sha256(b" ".join(words[s["at"] : s["at"] + s["n_edges"] + length - 1])).digest()
+                    for c, v in zip(columns, (s["edge"], said, doc, key, s["at"], s["n_edges"]), strict=True):
+                        columns[c].append(v)
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types, strict=True)], list(columns))
+
+    held = source(docs).join(_lists(met, "edge", "at", "n_edges"), ["doc_id", "key"])
+    return held.mapInArrow(K.lean(run), "edge long, words binary, doc_id long, key long, at int, n_edges int")
+
+
+def repeats(said: DataFrame) -> DataFrame:
+    """doc_id, key, spans (at, n_edges) of the paths that a smaller document has too."""
+    least = said.groupBy("edge", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    return _lists(said.join(least, ["edge", "words"]).where("doc_id > lo"), "at", "n_edges")
+
+
+def _cut(docs: DataFrame, gone: DataFrame, length: int, digest: bool, limit: int = LIMIT) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.pieces(batches, limit):
+            n_words, removed, kept = [], [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                n_words.append(len(words))
+                if spans:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    at = np.array([s["at"] for s in spans])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + np.array([s["n_edges"] for s in spans]) + length - 1, -1)
+                    words = [w for w, out in zip(words, (np.cumsum(edge[:-1]) > 0).tolist(), strict=True) if not out]
+                removed.append(n_words[-1] - len(words))
+                joined = b" ".join(words)
+                kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return source(docs).join(gone, ["doc_id", "key"], "left").mapInArrow(K.lean(run), SCHEMA)
+
+
+def dedup(docs: DataFrame, *, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space; with digest, their SHA-256) of every document."""
-    found = R.paths(docs, word_symbols, kmer, length, LIMIT)
-    marks = written(R.repeated(found), "marks")
-    starts = written(R.windows(docs, marks, word_symbols, kmer, length, LIMIT), "starts")
-    return R.apply(docs, marks, starts, word_symbols, kmer, length, _finish(digest), SCHEMA, LIMIT)
+    with scratch() as keep:
+        compact = written(paths(written(edges(docs, length), "edges")), "paths")
+        met = written(occurrences(docs, compact, length), "occurrences")
+        gone = keep(repeats(written(verified(docs, met, length), "verified")), "repeats")
+    return _cut(docs, gone, length, digest)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
