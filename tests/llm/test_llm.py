@@ -122,6 +122,37 @@ def test_word_dedup(docs):
     assert got == {k: (len(v), int(gone[k].sum()), " ".join(w for w, g in zip(v, gone[k]) if not g)) for k, v in seqs.items()}
 
 
+def test_coordinates_are_named_as_spark_does(spark):
+    key = np.array([0, 1, -5, 2**62 + 9, -(2**63)], np.int64)
+    at = np.array([0, 7, 49, 12345, 2**31 - 1], np.int64)
+    rows = spark.createDataFrame(list(zip(key.tolist(), at.tolist())), "key long, at long").selectExpr("xxhash64(key, at) AS h").collect()
+    with np.errstate(over="ignore"):
+        assert [r.h for r in rows] == de_bruijn.coordinate(key, at).view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_dedup_on_random_graphs(spark, seed):
+    """Few words and shared passages, so paths branch, end, start and loop; ids and rows repeat, some are null."""
+    rng = np.random.default_rng(seed)
+    parts = [" ".join(f"w{i}" for i in rng.integers(0, 2 + 3 * seed, rng.integers(1, 30))) for _ in range(8)]
+    said = [" ".join(parts[i] for i in rng.integers(0, 8, rng.integers(0, 14))) for _ in range(40)]
+    rows = [(int(rng.integers(0, 30)), t) for t in said] + [(None, said[0]), (3, None), (1, said[1]), (1, said[1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    least, length = {}, 12
+    words = [(d, (t or "").split()) for d, t in rows]
+    for d, w in words:
+        for i in range(len(w) - length + 1 if d is not None else 0):
+            least[tuple(w[i : i + length])] = min(d, least.get(tuple(w[i : i + length]), d))
+    want = []
+    for d, w in words:
+        gone = set()
+        for i in range(len(w) - length + 1 if d is not None else 0):
+            if least[tuple(w[i : i + length])] < d:
+                gone |= set(range(i, i + length))
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, de_bruijn.dedup(table, length=length).collect()), key=order) == sorted(want, key=order)
+
 def test_byte_dedup(docs):
     seqs = {k: t.encode() for k, t in texts().items()}
     gone = removed(seqs)
