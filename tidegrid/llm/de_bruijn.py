@@ -115,10 +115,9 @@ def edges(docs: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
                 wide[some] = values.astype(np.int64)
                 many.append(pa.array(wide))
             least = np.minimum.reduceat(doc, first) if len(first) else doc
-            yield pa.RecordBatch.from_arrays(
-                [K.as_long(name[first]), pa.array(least), pa.array(key[first]), pa.array(at[first]), pa.StructArray.from_arrays(many, names=list(MANY), mask=pa.array(~some))],
-                ["edge", "lo", "key", "at", "many"],
-            )
+            sums = pa.StructArray.from_arrays(many, names=list(MANY), mask=pa.array(~some))
+            rows = pa.RecordBatch.from_arrays([K.as_long(name[first]), pa.array(least), pa.array(key[first]), pa.array(at[first]), sums], ["edge", "lo", "key", "at", "many"])
+            yield rows.take(pa.array(np.argsort(order[first])))  # in the order of the text, whose ids and positions compress
 
     fields = ", ".join(f"{x}: long" for x in MANY)
     rows = source(docs).mapInArrow(K.lean(run), f"edge long, lo long, key long, at int, many struct<{fields}>").repartition("edge")
