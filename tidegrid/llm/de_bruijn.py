@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from ._session import scratch, written
 
-LENGTH, LIMIT = 50, 2 << 20
+#: The shuffles of single edges go in TURNS parts of the names, one after the other, so that fewer of their files are on disk at a time
+LENGTH, LIMIT, TURNS = 50, 2 << 20, 2
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 #: Sums over the occurrences of an edge in one batch; null where it occurs once
 MANY = ("hi", "here_a", "here_b", "next_a", "next_b")
@@ -61,14 +63,14 @@ def word_symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_spans(data, starts, ends), firsts
 
 
-def _found(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
-    """Name, doc_id, key and position of each edge of a batch."""
+def _found(batch: pa.RecordBatch, length: int, turn: int) -> tuple[np.ndarray, ...]:
+    """Name, doc_id, key and position of each edge of a batch whose name falls to the turn."""
     symbols, firsts = word_symbols(batch)
     names = K.mix(K.hash_windows(symbols, length))
     column = batch.column("doc_id")
     known = column.is_valid().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(batch.num_rows), np.diff(firsts))[: len(names)]
-    at = np.flatnonzero((K.room(firsts)[: len(names)] >= length) & known[row])
+    at = np.flatnonzero((K.room(firsts)[: len(names)] >= length) & known[row] & (names % np.uint64(TURNS) == turn))
     row = row[at]
     doc, key = column.fill_null(0).to_numpy()[row], batch.column("key").to_numpy()[row]
     return names[at], doc, key, (at - firsts[row]).astype(np.int32)
@@ -91,12 +93,12 @@ def coordinate(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return seed
 
 
-def edges(docs: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+def edges(docs: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
     """edge, key, at (one source coordinate), here_a, here_b, next_a, next_b of each edge of several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
-            name, doc, key, at = _found(batch, length)
+            name, doc, key, at = _found(batch, length, turn)
             order = np.lexsort((at, key, name))
             name, doc, key, at = name[order], doc[order], key[order], at[order]
             first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
@@ -116,11 +118,11 @@ def edges(docs: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
                 many.append(pa.array(wide))
             least = np.minimum.reduceat(doc, first) if len(first) else doc
             sums = pa.StructArray.from_arrays(many, names=list(MANY), mask=pa.array(~some))
-            rows = pa.RecordBatch.from_arrays([K.as_long(name[first]), pa.array(least), pa.array(key[first]), pa.array(at[first]), sums], ["edge", "lo", "key", "at", "many"])
+            rows = pa.RecordBatch.from_arrays([pa.array(least), pa.array(key[first]), sums, K.as_long(name[first]), pa.array(at[first])], ["lo", "key", "many", "edge", "at"])
             yield rows.take(pa.array(np.argsort(order[first])))  # in the order of the text, whose ids and positions compress
 
     fields = ", ".join(f"{x}: long" for x in MANY)
-    rows = source(docs).mapInArrow(K.lean(run), f"edge long, lo long, key long, at int, many struct<{fields}>").repartition("edge")
+    rows = source(docs).mapInArrow(K.lean(run), f"lo long, key long, many struct<{fields}>, edge long, at int").repartition("edge")
     here, on = F.xxhash64("key", F.col("at").cast("long")), F.xxhash64("key", F.col("at").cast("long") + 1)
     single = {"hi": F.col("lo"), "here_a": here.bitwiseAND(LOW), "here_b": F.shiftrightunsigned(here, 32), "next_a": on.bitwiseAND(LOW), "next_b": F.shiftrightunsigned(on, 32)}
     wide = rows.select("edge", "lo", "key", "at", *(F.coalesce(f"many.{c}", v).alias(c) for c, v in single.items()))
@@ -137,15 +139,15 @@ def paths(found: DataFrame) -> DataFrame:
     return runs.groupBy("key", "run").agg(F.min_by("edge", "at").alias("edge"), F.count(F.lit(1)).cast("int").alias("n_edges")).select("edge", "n_edges")
 
 
-def occurrences(docs: DataFrame, compact: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+def occurrences(docs: DataFrame, compact: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
     """edge, n_edges, doc_id, key, at of every occurrence of a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
-            name, doc, key, at = _found(batch, length)
-            yield pa.RecordBatch.from_arrays([K.as_long(name), pa.array(doc), pa.array(key), pa.array(at)], ["edge", "doc_id", "key", "at"])
+            name, doc, key, at = _found(batch, length, turn)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), K.as_long(name), pa.array(at)], ["doc_id", "key", "edge", "at"])
 
-    return source(docs).mapInArrow(K.lean(run), "edge long, doc_id long, key long, at int").join(compact, "edge")
+    return source(docs).mapInArrow(K.lean(run), "doc_id long, key long, edge long, at int").join(compact, "edge")
 
 
 def _lists(rows: DataFrame, *fields: str) -> DataFrame:
@@ -201,8 +203,9 @@ def _cut(docs: DataFrame, gone: DataFrame, length: int, digest: bool, limit: int
 def dedup(docs: DataFrame, *, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space; with digest, their SHA-256) of every document."""
     with scratch() as keep:
-        compact = written(paths(written(edges(docs, length), "edges")), "paths")
-        met = written(occurrences(docs, compact, length), "occurrences")
+        found = [written(edges(docs, length, turn), "edges") for turn in range(TURNS)]
+        compact = written(paths(reduce(DataFrame.unionByName, found)), "paths")
+        met = reduce(DataFrame.unionByName, [written(occurrences(docs, compact, length, turn), "occurrences") for turn in range(TURNS)])
         gone = keep(repeats(written(verified(docs, met, length), "verified")), "repeats")
     return _cut(docs, gone, length, digest)
 
