@@ -140,14 +140,14 @@ def paths(found: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, compact: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
-    """edge, n_edges, doc_id, key, at of every occurrence of a path."""
+    """edge, n_edges, doc_id, key, at of every occurrence of a path. Paths grow with the corpus, so they are merged at every size, never broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
             name, doc, key, at = _found(batch, length, turn)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), K.as_long(name), pa.array(at)], ["doc_id", "key", "edge", "at"])
 
-    return source(docs).mapInArrow(K.lean(run), "doc_id long, key long, edge long, at int").join(compact, "edge")
+    return source(docs).mapInArrow(K.lean(run), "doc_id long, key long, edge long, at int").join(compact.hint("merge"), "edge")
 
 
 def _lists(rows: DataFrame, *fields: str) -> DataFrame:
