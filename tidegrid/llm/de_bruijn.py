@@ -20,7 +20,8 @@ Each word is removed that a window covers whose words also start in a document w
 a smaller doc_id, judged on the input. Aggregates combine before the shuffle (every
 batch, too, gives an edge once), so an edge that a third of all documents share is
 some rows a task; the joins are on keys that one side holds once, so adaptive
-execution may split the other side's hot partitions.
+execution may split the other side's hot partitions where they are large enough; no
+join is salted, so a hot passage's occurrences below that size are one task's.
 
 Defined results: null, empty and blank texts have no words; texts of fewer words
 than a window lose nothing; repeats inside one document (and rows that repeat one

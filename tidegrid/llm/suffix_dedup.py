@@ -1,14 +1,10 @@
-"""Substring dedup over bytes by bucket-pointer refinement.
-
-The suffixes of all texts are sorted only as far as `LENGTH` bytes, and only where
-they can repeat. A suffix's first bucket is its q-gram, named by hash so that all
-executors name it alike. Buckets are refined by pairing a suffix's bucket with the
-bucket of the suffix `h` bytes on, which names 2h bytes; the names of each round are
-used again by the next (1, 2, 4, ... bytes: `_kernel.hash_windows`). Of the suffixes
-in a window the one with the least bucket stands for it; buckets with suffixes of one
-document only are final and dropped. The others are refined by the bucket of all
-bytes their windows reach: where a bucket does not split it is final, where it does
-it is refined down to single `LENGTH`-byte suffixes. See `_repeats` for the steps.
+"""Substring dedup over bytes, on content-defined anchors.
+
+This is not bucket-pointer refinement: no suffixes are sorted by pairs of bucket
+identifiers. Each 50-byte window picks the q-gram of least hash in it; runs of windows
+with one pick are named by a hash of all their bytes, and only runs that differ
+between documents are opened into single windows, named by 96 bits. Only the q-grams'
+hashes are made by doubling. The README gives the reason; see `_repeats` for the steps.
 
 Each byte is removed that a 50-byte string covers which also starts in a document
 with a smaller doc_id, judged on the input; matches never cross documents.
