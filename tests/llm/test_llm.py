@@ -266,6 +266,47 @@ def test_lm(docs):
         assert r.n_tokens == n and (r.mean_log_probability is None) == (n == 0) and r.pseudo_log_likelihood <= 0
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Bit by bit, over several trainers of more than one chunk, null and repeated ids among the rows."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 90 == 7 else i % 380, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 1500) % 5000)) for i in range(400)]
+    rows += [rows[3], (8, None), (9, "")]
+    monkeypatch.setattr(lm, "SHARE", 1 << 21)
+    found = []
+    for n in (1, 16):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        chunks = lm.chunked(table).collect()
+        assert len({r.chunk for r in chunks}) == len(chunks) > len({r.chunk >> lm.NUMBER for r in chunks}) > 1
+        assert sum(len(r.doc_id) for r in chunks) == len(rows)
+        found.append(sorted(map(repr, lm.score(table, lm.fit(table)).collect())))
+    assert found[0] == found[1]
+
+
+def test_lm_gradients():
+    """Against differences of the loss, and the loss against a plain softmax, with logits below and above SAFE."""
+    rng = np.random.default_rng(9)
+    around, target = rng.integers(0, 30, (2500, 4)).astype(np.uint16), rng.integers(0, lm.CLASSES, 2500)
+    for scale in (0.3, 12.0):
+        weights = [(rng.standard_normal(shape) * scale).astype(np.float32) for shape in lm.SHAPES]
+        weights[0] /= 4 * scale
+
+        def loss(weights):
+            hidden = np.tanh(sum(weights[0][k].astype(float)[around[:, k]] for k in range(4)))
+            z = hidden @ weights[1].astype(float) + weights[2]
+            z -= z.max(1, keepdims=True)
+            return np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), target]
+
+        assert np.allclose(-lm.log_probabilities(weights, around, target), loss(weights), atol=1e-3)
+        for k, g in enumerate(lm.Trainer(weights).gradients(around, target)):
+            for at in [tuple(rng.integers(0, min(m, 30)) for m in lm.SHAPES[k]) for _ in range(5)]:
+                near = []
+                for step in (1e-2, -1e-2):
+                    moved = [w.astype(float) for w in weights]
+                    moved[k][at] += step
+                    near.append(loss(moved).mean())
+                assert abs((near[0] - near[1]) / 2e-2 - g[at]) < 1e-3 * max(1, scale)
+
+
 def test_lm_counts_tokens_one_by_one(spark):
     """More distinct tokens than a table of 2**18 buckets has: the totals of all chunks are exact, and no token inherits another's."""
     rows = [(i, " ".join(f"t{i}x{j}" for j in range(3000)) + " again") for i in range(100)]

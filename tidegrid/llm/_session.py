@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Spark then removes a query's shuffle files when it ends, instead of when the driver collects its plan
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: list[tuple[SparkSession, str]] = []
 _SCRATCH: list[list[tuple[SparkSession, str]]] = []
 
@@ -58,15 +59,20 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
             _delete(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df computed once, as a Parquet table in the shared folder. The shuffle files of its plan go with the query."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df computed once, as a Parquet table in the shared folder. The shuffle files of its plan go with the query.
+
+    rows: so many in one Arrow batch, for rows that are long."""
     spark = df.sparkSession
-    path, before = fresh_dir(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, wanted = fresh_dir(spark, name), {CLEANUP: "true"} | ({ROWS: str(rows)} if rows else {})
+    before = {key: spark.conf.get(key, "10000" if key == ROWS else "false") for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

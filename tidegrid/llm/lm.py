@@ -16,11 +16,13 @@ counts of all chunks and send every chunk the totals of its own. The number of s
 grows with the tokens, and no task or driver holds the counts of all of them. A shard
 knows a token or pair by its number and the next 40 bits of its hash.
 
-Fitting covers the whole corpus. Every partition trains its own copy of the network
-(AdaGrad in numpy, all its documents, one common start), and the copies are averaged
+Fitting covers the whole corpus. Its documents are dealt by a hash of doc_id and text to
+trainers, one for about `SHARE` bytes of text. Each trains its own copy of the network
+(AdaGrad in numpy, all its documents in order of doc_id, one common start), and the copies are averaged
 by their token counts in a tree of groups of `FAN` copies, so no task or driver
-gathers more than that. The network has one fixed size; it and the most frequent
-tokens are broadcast, nothing else.
+gathers more than that. Who trains on what, and in which order, depends on the documents
+alone, so scores do not depend on how the input is split. The network (a hidden layer
+with tanh) has one fixed size; it and the most frequent tokens are broadcast, nothing else.
 
 Defined results: a null, empty or blank text has no tokens, pseudo-likelihood 0 and a
 null mean; repeated rows are scored (and learned from) each; with no tokens at all
@@ -42,8 +44,14 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from ._session import written
 
-OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 16_384, 0.15, 64, 8192
-CHUNK, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 21, 8, 24, 4
+OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 4096, 0.15, 64, 8192
+CHUNK, SHARE, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 24, 1 << 21, 8, 24, 4
+#: Chunks in one Arrow batch
+FEW = 4
+#: Rows of class probabilities computed at a time, so that they stay in the cache
+ROWS = 1024
+#: exp() of it, and of its negative, is a normal 32-bit float
+SAFE = 60.0
 FREQUENT, SHARED = INPUTS // 2, CLASSES - OWN
 PRIOR, EDGE = 4.0, np.uint64(0xE4D6E0FD0C5A9B37)
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
@@ -130,35 +138,53 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 CHUNKS = "chunk long, doc_id array<long>, sizes array<long>, ids binary, hashes binary, tokens long"
+#: A chunk's number is its trainer's times 2**NUMBER, plus its place there
+NUMBER = 32
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk: its documents, its distinct tokens in order of their hashes, and their places among them."""
-    part, number = TaskContext.get().partitionId(), 0
+    """A row for each chunk: its documents, its distinct tokens in order of their hashes, and their places among them.
+
+    Rows come in order of their trainer; a chunk ends with it, or with the document that fills CHUNK bytes."""
+    trainer, number = None, 0
     docs, found, sizes, held = [], [], [], 0
 
     def row() -> pa.RecordBatch:
         hashes, ids, _ = distinct(np.concatenate(found))
-        values = [[part << 32 | number], [pa.concat_arrays(docs).to_pylist()], [np.concatenate(sizes)], [ids.astype(np.uint32).tobytes()], [hashes.tobytes()], [len(ids)]]
+        values = [[trainer << NUMBER | number], [pa.concat_arrays(docs).to_pylist()], [np.concatenate(sizes)], [ids.astype(np.uint32).tobytes()], [hashes.tobytes()], [len(ids)]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["chunk", "doc_id", "sizes", "ids", "hashes", "tokens"])
 
-    for batch in K.pieces(batches):
-        hashes, firsts = words(batch)
-        docs.append(batch.column("doc_id"))
-        found.append(hashes)
-        sizes.append(np.diff(firsts))
-        held += K.text_buffers(batch.column("text"))[1][-1] + 64 * batch.num_rows
-        if held >= CHUNK:
-            yield row()
-            docs, found, sizes, held, number = [], [], [], 0, number + 1
+    for batch in batches:
+        ends = np.cumsum(np.diff(K.text_buffers(batch.column("text"))[1]) + 64)
+        of, at = np.asarray(batch.column("trainer")), 0
+        while at < len(of):
+            if docs and (held >= CHUNK or of[at] != trainer):
+                yield row()
+                docs, found, sizes, held, number = [], [], [], 0, number + 1
+            if of[at] != trainer:
+                trainer, number = int(of[at]), 0
+            before = ends[at - 1] if at else 0
+            full = int(np.searchsorted(ends, before + CHUNK - held)) + 1
+            to = min(full, len(of), int(np.searchsorted(of, trainer, "right")))
+            for piece in K.pieces([batch.slice(at, to - at)]):
+                hashes, firsts = words(piece)
+                docs.append(piece.column("doc_id"))
+                found.append(hashes)
+                sizes.append(np.diff(firsts))
+            held += int(ends[to - 1] - before)
+            at = to
     if docs:
         yield row()
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(source.mapInArrow(_cut, CHUNKS), "lm-chunks")
+    held = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    trainers = max(1, -(-held // SHARE))
+    dealt = source.withColumn("name", F.xxhash64("doc_id", "text")).withColumn("trainer", F.pmod("name", F.lit(trainers)))
+    ordered = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc_id", "name")
+    return written(ordered.select("doc_id", "text", "trainer").mapInArrow(K.lean(_cut), CHUNKS), "lm-chunks", 1000)
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,14 +281,30 @@ def contexts(inputs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + o] for o in OFFSETS], 1)
 
 
-def log_softmax(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and log probabilities of all classes."""
-    hidden = weights[0][0][around[:, 0]]
+def hidden_of(weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
+    hidden = np.take(weights[0][0], around[:, 0], 0)
     for k in range(1, len(OFFSETS)):
-        hidden = hidden + weights[0][k][around[:, k]]
-    z = hidden @ weights[1] + weights[2]
-    z -= z.max(1, keepdims=True)
-    return hidden, z - np.log(np.exp(z).sum(1, keepdims=True))
+        hidden += np.take(weights[0][k], around[:, k], 0)
+    return np.tanh(hidden, out=hidden)
+
+
+def logits(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    """Of all classes, up to a constant of each row; small enough for exp()."""
+    z = hidden @ weights[1]
+    z += weights[2]
+    if (np.abs(weights[1]).sum(0) + np.abs(weights[2])).max() > SAFE:  # a hidden value is 1 at most
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_probabilities(weights: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of each row's target class."""
+    out, ones = np.empty(len(target), np.float32), np.ones(CLASSES, np.float32)
+    for i in range(0, len(target), ROWS):
+        z = logits(weights, hidden_of(weights, around[i : i + ROWS]))
+        mine = z[np.arange(len(z)), target[i : i + ROWS]]
+        out[i : i + ROWS] = mine - np.log(np.exp(z, out=z) @ ones)
+    return out
 
 
 class Trainer:
@@ -273,28 +315,37 @@ class Trainer:
         self.square = [np.full(w.shape, 1e-4, np.float32) for w in weights]
         self.tokens = 0
 
-    def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        n = len(target)
-        hidden, logs = log_softmax(self.weights, around)
-        slope = np.exp(logs)
-        slope[np.arange(n), target] -= 1
-        slope /= n
-        back = (slope @ self.weights[1].T).T
+    def gradients(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        """Of the mean of -log P(target)."""
+        n, ones = len(target), np.ones(CLASSES, np.float32)
+        back, out, bias = np.empty((WIDTH, n)), np.zeros(SHAPES[1], np.float32), np.zeros(SHAPES[2], np.float32)
+        for i in range(0, n, ROWS):
+            hidden = hidden_of(self.weights, around[i : i + ROWS])
+            slope = logits(self.weights, hidden)
+            np.exp(slope, out=slope)
+            slope *= (1 / n / (slope @ ones)).astype(np.float32)[:, None]
+            slope[np.arange(len(slope)), target[i : i + ROWS]] -= np.float32(1 / n)
+            back[:, i : i + ROWS] = ((slope @ self.weights[1].T) * (1 - hidden * hidden)).T
+            out += hidden.T @ slope
+            bias += slope.sum(0)
         table = np.empty(SHAPES[0], np.float32)
         for k in range(len(OFFSETS)):
-            at = around[:, k]
+            at = around[:, k].astype(np.intp)
             for j in range(WIDTH):
                 table[k, :, j] = np.bincount(at, weights=back[j], minlength=INPUTS)
-        for w, s, g in zip(self.weights, self.square, (table, hidden.T @ slope, slope.sum(0)), strict=True):
+        return [table, out, bias]
+
+    def step(self, around: np.ndarray, target: np.ndarray) -> None:
+        for w, s, g in zip(self.weights, self.square, self.gradients(around, target), strict=True):
             s += g * g
             w -= RATE * g / np.sqrt(s)
-        self.tokens += n
+        self.tokens += len(target)
 
 
 def vocabulary_of(chunks: DataFrame) -> Vocabulary:
     bits = shard_bits(chunks)
-    pieces = chunks.select("chunk", "ids", "hashes").mapInArrow(lambda batches: _tokens(batches, bits), "shard int, n long, names binary, counts binary")
-    tally = written(pieces.groupBy("shard").applyInArrow(_tally, TALLY), "lm-tally")
+    pieces = chunks.select("chunk", "ids", "hashes").mapInArrow(K.lean(lambda batches: _tokens(batches, bits)), "shard int, n long, names binary, counts binary")
+    tally = written(pieces.groupBy("shard").applyInArrow(_tally, TALLY), "lm-tally", FEW)
     top = tally.where("hash is not null").orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
     sums = np.zeros(SHARED)
     for row in tally.where("shared is not null").groupBy("shared").agg(F.sum("n").alias("n")).collect():
@@ -303,26 +354,25 @@ def vocabulary_of(chunks: DataFrame) -> Vocabulary:
 
 
 def _train(share):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         vocabulary, start = share.value
-        trainer = Trainer(start)
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, ids, firsts = _read(row)
-                cls, inp = vocabulary.places(hashes)
-                around, target = contexts(inp[ids], firsts), cls[ids]
-                for i in range(0, len(target), STEP):
-                    trainer.step(around[i : i + STEP], target[i : i + STEP])
-        if trainer.tokens:
-            flat, part = flatten(trainer.weights).astype(np.float64) * trainer.tokens, TaskContext.get().partitionId()
-            cuts = range(0, len(flat), BLOCK)
-            values = pa.array([flat[i : i + BLOCK].astype(np.float32).tobytes() for i in cuts], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array(np.full(len(cuts), part, np.int32)), pa.array(np.full(len(cuts), trainer.tokens, np.int64)), values], ["block", "part", "tokens", "values"])
+        trainer, part = Trainer(start), key[0].as_py()
+        for row in sorted(table.to_pylist(), key=lambda r: r["chunk"]):
+            hashes, ids, firsts = _read(row)
+            cls, inp = vocabulary.places(hashes)
+            around, target = contexts(inp[ids], firsts), cls[ids]
+            for i in range(0, len(target), STEP):
+                trainer.step(around[i : i + STEP], target[i : i + STEP])
+        flat = flatten(trainer.weights).astype(np.float64) * trainer.tokens
+        cuts = range(0, len(flat), BLOCK) if trainer.tokens else ()
+        values = pa.array([flat[i : i + BLOCK].astype(np.float32).tobytes() for i in cuts], pa.binary())
+        return pa.table({"block": pa.array(np.arange(len(cuts), dtype=np.int32)), "part": pa.array(np.full(len(cuts), part, np.int32)), "tokens": pa.array(np.full(len(cuts), trainer.tokens, np.int64)), "values": values})
 
     return run
 
 
 def _sum(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")
     values = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in table.column("values").to_pylist()).astype(np.float32)
     return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64()), "values": pa.array([values.tobytes()], pa.binary())})
 
@@ -337,7 +387,8 @@ def fit(docs: DataFrame) -> Model:
     vocabulary = vocabulary_of(chunks)
     start = initial(vocabulary)
     share = spark.sparkContext.broadcast((vocabulary, start))
-    held = written(chunks.select("sizes", "ids", "hashes").mapInArrow(_train(share), PARTS), "lm")
+    trainer = F.shiftright("chunk", NUMBER).cast("int").alias("trainer")
+    held = written(chunks.select(trainer, "chunk", "sizes", "ids", "hashes").groupBy("trainer").applyInArrow(_train(share), PARTS), "lm", FEW)
     most = held.agg(F.max("part")).first()[0]
     if most is None:
         return Model(docs, chunks, vocabulary, start)
@@ -405,9 +456,7 @@ def _score(share, own: int):
             cls, inp = vocabulary.places(hashes)
             around, target = contexts(inp[ids], firsts), cls[ids]
             logs = np.zeros(len(ids) + 1)
-            for i in range(0, len(target), STEP):
-                _, found = log_softmax(weights, around[i : i + STEP])
-                logs[1 + i : 1 + i + STEP] = found[np.arange(len(found)), target[i : i + STEP]]
+            logs[1:] = log_probabilities(weights, around, target)
             rare = np.flatnonzero(target >= OWN)
             if len(rare):
                 logs[1 + rare] += within(vocabulary, target[rare], np.concatenate(totals), keys_of(vocabulary, hashes, ids, firsts)[2], own)
@@ -423,10 +472,10 @@ def _score(share, own: int):
 def _replies(chunks: DataFrame, model: Model, share, own: bool, turn: int) -> DataFrame:
     """The totals of every chunk's keys in each ROUNDS-th shard, kept so that the shuffle of the keys can go."""
     bits, names = shard_bits(model.chunks), ["chunk", "sizes", "ids", "hashes"]
-    pieces = chunks.select(names).mapInArrow(_pieces(share, bits, turn, own, True), PIECES)
+    pieces = chunks.select(names).mapInArrow(K.lean(_pieces(share, bits, turn, own, True)), PIECES)
     if not own:
-        pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(_pieces(share, bits, turn, True, False), PIECES))
-    return written(pieces.groupBy("shard").applyInArrow(_add_up, REPLIES), "lm-counts")
+        pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(K.lean(_pieces(share, bits, turn, True, False)), PIECES))
+    return written(pieces.groupBy("shard").applyInArrow(_add_up, REPLIES), "lm-counts", FEW)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
