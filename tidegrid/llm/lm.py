@@ -46,6 +46,8 @@ from ._session import written
 
 OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 4096, 0.15, 64, 8192
 CHUNK, SHARE, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 24, 1 << 21, 8, 24, 4
+#: Chunks are scored in so many turns
+TURNS = 5
 #: Chunks in one Arrow batch
 FEW = 4
 #: Rows of class probabilities computed at a time, so that they stay in the cache
@@ -478,6 +480,9 @@ def _replies(chunks: DataFrame, model: Model, share, own: bool, turn: int) -> Da
     return written(pieces.groupBy("shard").applyInArrow(_add_up, REPLIES), "lm-counts", FEW)
 
 
+SCORES = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability of every document."""
     own = docs is model.docs
@@ -487,7 +492,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     for turn in range(ROUNDS):
         some = _replies(chunks, model, share, own, turn)
         replies = some if replies is None else replies.unionByName(some)
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(share, int(own)), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    scored = None
+    for turn in range(TURNS):  # every chunk is in one turn; only one turn's shuffle files are on disk at a time
+        mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn
+        some = chunks.where(mine).groupBy("chunk").cogroup(replies.where(mine).groupBy("chunk")).applyInArrow(_score(share, int(own)), SCORES)
+        some = written(some, "lm-scores", FEW)
+        scored = some if scored is None else scored.unionByName(some)
+    return scored
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
