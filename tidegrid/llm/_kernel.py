@@ -24,6 +24,13 @@ SPAN = CHUNK + (CHUNK >> 2)
 U = np.uint64
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """step, whose worker gives freed memory back to the system when it ends: workers outlive their steps."""
 
@@ -31,13 +38,29 @@ def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
         try:
             yield from step(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 
 
+def lean_group(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """step on one group (one or two arguments, which Spark counts), with memory given back before the next group."""
+
+    def alone(table):  # Spark would read annotations
+        try:
+            return step(table)
+        finally:
+            give_back()
+
+    def both(first, second):
+        try:
+            return step(first, second)
+        finally:
+            give_back()
+
+    return alone if step.__code__.co_argcount == 1 else both
+
+
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans: True for bytes that part words."""
     table = np.zeros(256, bool)

@@ -45,7 +45,7 @@ from . import _kernel as K
 from ._session import written
 
 OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 4096, 0.15, 64, 8192
-CHUNK, SHARE, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 24, 1 << 21, 8, 24, 4
+CHUNK, SHARE, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 24, 1 << 20, 9, 24, 4
 #: Chunks are scored in so many turns
 TURNS = 5
 #: Chunks in one Arrow batch
@@ -347,7 +347,7 @@ class Trainer:
 def vocabulary_of(chunks: DataFrame) -> Vocabulary:
     bits = shard_bits(chunks)
     pieces = chunks.select("chunk", "ids", "hashes").mapInArrow(K.lean(lambda batches: _tokens(batches, bits)), "shard int, n long, names binary, counts binary")
-    tally = written(pieces.groupBy("shard").applyInArrow(_tally, TALLY), "lm-tally", FEW)
+    tally = written(pieces.groupBy("shard").applyInArrow(K.lean_group(_tally), TALLY), "lm-tally", FEW)
     top = tally.where("hash is not null").orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
     sums = np.zeros(SHARED)
     for row in tally.where("shared is not null").groupBy("shared").agg(F.sum("n").alias("n")).collect():
@@ -390,7 +390,7 @@ def fit(docs: DataFrame) -> Model:
     start = initial(vocabulary)
     share = spark.sparkContext.broadcast((vocabulary, start))
     trainer = F.shiftright("chunk", NUMBER).cast("int").alias("trainer")
-    held = written(chunks.select(trainer, "chunk", "sizes", "ids", "hashes").groupBy("trainer").applyInArrow(_train(share), PARTS), "lm", FEW)
+    held = written(chunks.select(trainer, "chunk", "sizes", "ids", "hashes").groupBy("trainer").applyInArrow(K.lean_group(_train(share)), PARTS), "lm", FEW)
     most = held.agg(F.max("part")).first()[0]
     if most is None:
         return Model(docs, chunks, vocabulary, start)
@@ -477,7 +477,7 @@ def _replies(chunks: DataFrame, model: Model, share, own: bool, turn: int) -> Da
     pieces = chunks.select(names).mapInArrow(K.lean(_pieces(share, bits, turn, own, True)), PIECES)
     if not own:
         pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(K.lean(_pieces(share, bits, turn, True, False)), PIECES))
-    return written(pieces.groupBy("shard").applyInArrow(_add_up, REPLIES), "lm-counts", FEW)
+    return written(pieces.groupBy("shard").applyInArrow(K.lean_group(_add_up), REPLIES), "lm-counts", FEW)
 
 
 SCORES = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
@@ -495,7 +495,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scored = None
     for turn in range(TURNS):  # every chunk is in one turn; only one turn's shuffle files are on disk at a time
         mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn
-        some = chunks.where(mine).groupBy("chunk").cogroup(replies.where(mine).groupBy("chunk")).applyInArrow(_score(share, int(own)), SCORES)
+        some = chunks.where(mine).groupBy("chunk").cogroup(replies.where(mine).groupBy("chunk")).applyInArrow(K.lean_group(_score(share, int(own))), SCORES)
         some = written(some, "lm-scores", FEW)
         scored = some if scored is None else scored.unionByName(some)
     return scored
