@@ -184,8 +184,8 @@ def chunked(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     trainers = max(1, -(-held // SHARE))
-    dealt = source.withColumn("name", F.xxhash64("doc_id", "text")).withColumn("trainer", F.pmod("name", F.lit(trainers)))
-    ordered = dealt.repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc_id", "name")
+    dealt = source.withColumn("name", F.xxhash64("doc_id", "text")).repartition(trainers, "name")  # a partition for each trainer
+    ordered = dealt.sortWithinPartitions("doc_id", "name").withColumn("trainer", F.spark_partition_id())
     return written(ordered.select("doc_id", "text", "trainer").mapInArrow(K.lean(_cut), CHUNKS), "lm-chunks", 1000)
 
 
