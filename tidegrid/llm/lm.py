@@ -23,6 +23,8 @@ by their token counts in a tree of groups of `FAN` copies, so no task or driver
 gathers more than that. Who trains on what, and in which order, depends on the documents
 alone, so scores do not depend on how the input is split. The network (a hidden layer
 with tanh) has one fixed size; it and the most frequent tokens are broadcast, nothing else.
+Rows that repeat both doc_id and text share a trainer, which holds its share of the tokens in
+one task; they are not salted.
 
 Defined results: a null, empty or blank text has no tokens, pseudo-likelihood 0 and a
 null mean; repeated rows are scored (and learned from) each; with no tokens at all
