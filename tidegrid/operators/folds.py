@@ -171,7 +171,7 @@ def resampled(kind: str, draws: int = 200) -> Callable[[SparkSession, str], Data
     series of weekly returns (one value a week)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        body, extra = book(f"SELECT symbol, t, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})", out="SELECT t, gross - cost AS net FROM bars_")
+        body, extra = book(f"SELECT *, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})", out="SELECT t, gross - cost AS net FROM bars_")
         series = view(spark, sf_dir, body, extra).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "net"))), lambda x: x["net"]).alias("x"))  # as long as the calendar
 
         def draw(batches):
@@ -239,7 +239,7 @@ def _spa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spa(view(spark, sf_dir, "SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i FROM ret_1w"))
 
 
-LEDGER = book(f"SELECT symbol, t, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})", out="SELECT symbol, t, close, raw FROM masked_")
+LEDGER = book(f"SELECT *, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM ({RANKED.format(MOM)})", out="SELECT symbol, t, close, raw FROM masked_")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "win_ema": per_symbol(_ema, "symbol string, t date, ema double"),
