@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import de_bruijn, decontaminate, fingerprint, jaccard, lm, merkle, mixing, packing, quality, suffix_dedup, token_files, urls
+from . import conversations, de_bruijn, decontaminate, fingerprint, jaccard, lm, merkle, mixing, packing, quality, suffix_dedup, token_files, urls
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_token_files": token_files.op9_token_files,
     "op10_quality": quality.op10_quality,
+    "op11_conversations": conversations.op11_conversations,
     "op12_pack": packing.op12_pack,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op7_url_filter": urls.OP7_SQL,
+    "op11_conversations": conversations.OP11_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
