@@ -4,7 +4,7 @@ import math
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or str(v) == "<NA>" or v != v:
         return "None"
     if isinstance(v, float):
         v = round(v, 5)

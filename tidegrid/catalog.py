@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import folds
+from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
 from .plans.roster import ROSTER
 from .plans.views import compose, duck, spark as spark_text
@@ -14,7 +15,7 @@ from .sources.tables import query
 from .streaming import windows
 
 
-BODIES = ROSTER | RESEARCH
+BODIES = ROSTER | RESEARCH | INFERENCE
 
 
 def _text(name: str) -> str:
