@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import folds
+from .operators import folds, selection
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
 from .plans.roster import ROSTER
@@ -32,5 +32,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | windows.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | selection.QUERIES | windows.QUERIES
 ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in BODIES} | folds.ORACLE_SQL | windows.ORACLE_SQL

@@ -199,13 +199,13 @@ def resampled(kind: str, draws: int = 200) -> Callable[[SparkSession, str], Data
     return run
 
 
-def spa(returns: DataFrame, draws: int = 200, block: float = 8.0, seed: int = 42) -> DataFrame:
-    """Superior predictive ability (Hansen) of variants against zero: symbol, i (0, 1, ... for each variant), r.
+def bootstrap_means(returns: DataFrame, draws: int = 200, block: float = 8.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Means of every variant in every draw (draw, symbol, m), and each variant's n, f (its mean), w (deviation of its
+    root-n mean over the draws) and the centres lower, consistent and upper.
 
-    One row: n, variants, statistic and p_lower, p_consistent, p_upper. A draw is a stationary bootstrap of the
-    calendar, as one count for each i, and is the same for all variants; draws are made on the executors and joined
-    with the returns by i, so neither a matrix nor a draw of all variants is ever in one place. Variants without
-    deviation are left out; a missing return counts as zero."""
+    A draw is a stationary bootstrap of the calendar, as one count for each i, and is the same for all variants; draws
+    are made on the executors and joined with the returns by i, so neither a matrix nor a draw of all variants is ever
+    in one place. Variants without deviation are left out; a missing return counts as zero."""
     rows = returns.select("symbol", "i", F.coalesce("r", F.lit(0.0)).alias("r"))
     length = rows.agg((F.max("i") + 1).alias("n"))
 
@@ -229,8 +229,16 @@ def spa(returns: DataFrame, draws: int = 200, block: float = 8.0, seed: int = 42
     scale = means.groupBy("symbol").agg((F.stddev_samp("m") * F.sqrt(F.first("n"))).alias("w"), F.first("f").alias("f"), F.first("n").alias("n")).where("w > 0")
     low = -F.col("w") / F.sqrt("n") * F.sqrt(2 * F.log(F.log(F.col("n").cast("double"))))
     scale = scale.select("symbol", "w", "f", "n", F.greatest("f", F.lit(0.0)).alias("lower"), F.when(F.col("f") >= low, F.col("f")).otherwise(0.0).alias("consistent"), F.col("f").alias("upper"))
+    return means.select("draw", "symbol", "m"), scale
+
+
+def spa(returns: DataFrame, draws: int = 200, block: float = 8.0, seed: int = 42) -> DataFrame:
+    """Superior predictive ability (Hansen) of variants against zero: symbol, i (0, 1, ... for each variant), r.
+
+    One row: n, variants, statistic and p_lower, p_consistent, p_upper."""
+    means, scale = bootstrap_means(returns, draws, block, seed)
     top = scale.agg(F.greatest(F.max(F.sqrt("n") * F.col("f") / F.col("w")), F.lit(0.0)).alias("statistic"), F.count("*").alias("variants"), F.max("n").alias("n"))
-    null = means.select("draw", "symbol", "m").join(scale, "symbol").groupBy("draw").agg(*(F.greatest(F.max(F.sqrt("n") * (F.col("m") - F.col(c)) / F.col("w")), F.lit(0.0)).alias(c) for c in ("lower", "consistent", "upper")))
+    null = means.join(scale, "symbol").groupBy("draw").agg(*(F.greatest(F.max(F.sqrt("n") * (F.col("m") - F.col(c)) / F.col("w")), F.lit(0.0)).alias(c) for c in ("lower", "consistent", "upper")))
     share = lambda c: F.avg(F.when(F.col(c) > F.col("statistic"), 1.0).otherwise(0.0)).alias(f"p_{c}")
     return null.join(F.broadcast(top)).groupBy("n", "variants", "statistic").agg(share("lower"), share("consistent"), share("upper"))
 

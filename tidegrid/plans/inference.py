@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from .roster import r
 
-def uniform(text: str) -> str:
-    """A number in [0, 1) from the first 32 bits of a text's MD5."""
-    return f"(hex_long(substr(md5({text}), 1, 8)) / 4294967296.0)"
+def uniform(h: str, at: int = 1) -> str:
+    """A number in [0, 1) from 32 bits of an MD5 sum (a column of hex text), from its digit `at` on."""
+    return f"(hex_long({h}, {at}, 8) / 4294967296.0)"
 
 
 FIELDS = ("open", "high", "low", "quote_volume")  # travel as a ratio to their bar's close
@@ -97,10 +97,39 @@ def panel_rows(draws: int, **how: object) -> tuple[str, dict[str, str]]:
     return f"SELECT CAST(draw AS BIGINT) AS draw, symbol, t, {fields}, CAST(trades AS BIGINT) AS trades FROM permuted_ WHERE close IS NOT NULL", permuted(draws, **how)
 
 
+def bootstrap_ci(draws: int, alpha: float = 0.05, per_year: int = 52, quiet: int = 5) -> tuple[str, dict[str, str]]:
+    """Each symbol's annualised Sharpe ratio with the percentile interval of a stationary bootstrap.
+
+    The mean block is Politis and White's: autocovariances up to lag ceil(sqrt(n)) + quiet; the bandwidth is twice the
+    last lag before `quiet` lags in a row within 2 * sqrt(log10(n) / n); a flat-top lag window; at least 1, at most
+    ceil(min(3 * sqrt(n), n / 3)). A bar starts a new block with chance 1 / block. Fewer than 20 returns, or none that
+    differ, have no interval."""
+    lam = "CASE WHEN 2 * k <= m THEN 1.0 ELSE 2.0 * (1.0 - k / m) END"
+    views = {
+        "draw_": " UNION ALL ".join(f"SELECT {k} AS draw" for k in range(draws)),
+        "series_": "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, r AS x, CAST(count(*) OVER (PARTITION BY symbol) AS DOUBLE) AS n, r - avg(r) OVER (PARTITION BY symbol) AS d FROM ret_1w WHERE r IS NOT NULL",
+        "step_": f"SELECT symbol, n, i AS k, ceil(sqrt(n)) + {quiet} AS top FROM series_ WHERE i <= ceil(sqrt(n)) + {quiet}",
+        "covariance_": "SELECT l.symbol, l.k, l.n, l.top, sum(a.d * b.d) / l.n AS c FROM step_ l JOIN series_ a ON a.symbol = l.symbol JOIN series_ b ON b.symbol = a.symbol AND b.i = a.i - l.k GROUP BY l.symbol, l.k, l.n, l.top",
+        "silent_": f"SELECT symbol, k, n, top, c, sum(CASE WHEN abs(c) < 2 * sqrt(log10(n) / n) * c0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {quiet} FOLLOWING) AS still FROM (SELECT *, max(CASE WHEN k = 0 THEN c END) OVER (PARTITION BY symbol) AS c0 FROM covariance_)",
+        "width_": f"SELECT symbol, max(top) AS top, min(CASE WHEN still = {quiet} THEN k END) AS last_ FROM silent_ GROUP BY symbol",
+        "window_": "SELECT s.symbol, s.n, s.k, s.c, CAST(CASE WHEN w.last_ IS NULL THEN w.top ELSE least(2 * greatest(w.last_, 1), w.top) END AS DOUBLE) AS m FROM silent_ s JOIN width_ w ON w.symbol = s.symbol",
+        "long_": f"SELECT symbol, n, sum(2 * {lam} * k * c) AS g, sum(CASE WHEN k = 0 THEN c ELSE 2 * {lam} * c END) AS v FROM window_ WHERE k <= m GROUP BY symbol, n",
+        "block_": "SELECT symbol, n, greatest(least(power(2 * g * g / (2 * v * v) * n, 1.0 / 3), ceil(least(3 * sqrt(n), n / 3))), 1.0) AS block FROM long_ WHERE v <> 0",
+        "chance_": f"SELECT draw, i, {uniform('h')} AS u, {uniform('h', 9)} AS v FROM (SELECT d.draw, i.i, md5(concat(CAST(d.draw AS VARCHAR(20)), ':', CAST(i.i AS VARCHAR(20)))) AS h FROM draw_ d CROSS JOIN (SELECT DISTINCT i FROM series_) i)",
+        "head_": "SELECT c.draw, b.symbol, b.n, c.i, CASE WHEN c.i = 0 OR c.u < 1 / b.block THEN floor(c.v * b.n) - c.i END AS shift FROM chance_ c JOIN series_ s ON s.i = c.i JOIN block_ b ON b.symbol = s.symbol",
+        "drawn_": "SELECT draw, symbol, CAST((shift + i + n) % n AS BIGINT) AS i FROM (SELECT draw, symbol, n, i, last_value(shift IGNORE NULLS) OVER (PARTITION BY draw, symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shift FROM head_)",
+        "sample_": f"SELECT d.draw, d.symbol, CASE WHEN stddev_samp(s.x) > 0 THEN avg(s.x) / stddev_samp(s.x) * sqrt({per_year}) ELSE 0.0 END AS sharpe FROM drawn_ d JOIN series_ s ON s.symbol = d.symbol AND s.i = d.i GROUP BY d.draw, d.symbol",
+        "interval_": f"SELECT symbol, percentile(sharpe, {alpha / 2}) AS lo, percentile(sharpe, {1 - alpha / 2}) AS hi FROM sample_ GROUP BY symbol",
+    }
+    body = f"SELECT s.symbol, CAST(s.n AS BIGINT) AS n, {r('s.sharpe', 'sharpe')}, {r('b.block', 'block')}, {r('CASE WHEN s.n >= 20 THEN i.lo END', 'lower')}, {r('CASE WHEN s.n >= 20 THEN i.hi END', 'upper')} FROM (SELECT symbol, n, avg(x) / nullif(stddev_samp(x), 0) * sqrt({per_year}) AS sharpe FROM series_ GROUP BY symbol, n) s LEFT JOIN block_ b ON b.symbol = s.symbol LEFT JOIN interval_ i ON i.symbol = s.symbol"
+    return body, views
+
+
 INFERENCE: dict[str, str | tuple[str, dict[str, str]]] = {
     "st_permute_panel": panel_rows(8),
     "st_permute_panel_volatility": panel_rows(4, keep_volatility=True),
     "st_permute_each_symbol": panel_rows(2, same=False),
     "st_bar_permutation": bar_permutation_test(40),
     "st_bar_permutation_volatility": bar_permutation_test(20, keep_volatility=True),
+    "st_bootstrap_ci": bootstrap_ci(200),
 }

@@ -61,7 +61,7 @@ def compose(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 _DUCK = (
-    (r"\bhex_long\(((?:[^()]|\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))*)\)", r"CAST(concat('0x', \1) AS BIGINT)"),
+    (r"\bhex_long\((\w+), (\d+), (\d+)\)", r"CAST(concat('0x', substr(\1, \2, \3)) AS BIGINT)"),
     (r"\bpercentile\(", "quantile_cont("), (r"\bget_json_object\(", "json_extract_string("), (r"\bcollect_list\(", "list("), (r"\bsha2\(", "sha256("), (r", 256\)", ")"),
     (r"\bdate_add\(([^()]*(?:\([^()]*\)[^()]*)*), (CAST\([^()]*\)|\d+)\)", r"(\1 + \2)"), (r"\bdatediff\(DAY, ", "datediff('day', "), (r"\bdayofweek_iso\(", "isodow("), (r"\barray_join\(", "array_to_string("),
     (r"\bunix_micros\(CAST\((\w+) AS TIMESTAMP\)\)", r"epoch_us(\1)"), (r"\bmax_by\(", "arg_max("), (r"\bmin_by\(", "arg_min("), (r"\bstruct\(", "row("), (r"\barray_sort\(", "list_sort("),
@@ -78,5 +78,5 @@ def spark(sql: str) -> str:
     """Spark reads 1.5 as a decimal; the model's literals are doubles. Some operators have other names."""
     for found, instead in ((" // ", " div "), ("last_value(", "last("), ("first_value(", "first("), (" IGNORE NULLS)", ", true)")):
         sql = sql.replace(found, instead)
-    sql = re.sub(_DUCK[0][0], r"CAST(conv(\1, 16, 10) AS BIGINT)", sql)
+    sql = re.sub(_DUCK[0][0], r"CAST(conv(substr(\1, \2, \3), 16, 10) AS BIGINT)", sql)
     return re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w.])", r"\1D", sql)

@@ -10,22 +10,14 @@ form. `watermarked` is the form for streams that never end: its state is bounded
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LATE = "2 hours"
-
+from ..sources.shared import shared
 
-def shared(spark: SparkSession, name: str) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(found or tempfile.mkdtemp(prefix='tidegrid-')).rstrip('/')}/tidegrid-{name}-{uuid.uuid4().hex}"
+LATE = "2 hours"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
