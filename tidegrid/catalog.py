@@ -13,7 +13,7 @@ from .plans.roster import ROSTER
 from .plans.views import compose, duck, spark as spark_text
 from .sinks import lake
 from .sources.tables import query
-from .streaming import windows
+from .streaming import keyed, windows
 
 
 BODIES = ROSTER | RESEARCH | INFERENCE
@@ -33,5 +33,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | selection.QUERIES | chain.QUERIES | lake.QUERIES | windows.QUERIES
-ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in BODIES} | folds.ORACLE_SQL | chain.ORACLE_SQL | lake.ORACLE_SQL | windows.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | selection.QUERIES | chain.QUERIES | lake.QUERIES | windows.QUERIES | keyed.QUERIES
+ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in BODIES} | folds.ORACLE_SQL | chain.ORACLE_SQL | lake.ORACLE_SQL | windows.ORACLE_SQL | keyed.ORACLE_SQL
