@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import chain, folds, selection
+from .operators import chain, folds, regression, selection
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
 from .plans.roster import ROSTER
+from .plans.spreads import SPREADS
 from .plans.views import compose, duck, spark as spark_text
 from .sinks import lake
 from .sources.tables import query
 from .streaming import keyed, windows
 
 
-BODIES = ROSTER | RESEARCH | INFERENCE
+BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS
 
 
 def _text(name: str) -> str:
@@ -33,5 +34,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | selection.QUERIES | chain.QUERIES | lake.QUERIES | windows.QUERIES | keyed.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in BODIES} | folds.QUERIES | selection.QUERIES | chain.QUERIES | lake.QUERIES | regression.QUERIES | windows.QUERIES | keyed.QUERIES
 ORACLE_SQL: dict[str, str] = {name: duck(_text(name)) for name in BODIES} | folds.ORACLE_SQL | chain.ORACLE_SQL | lake.ORACLE_SQL | windows.ORACLE_SQL | keyed.ORACLE_SQL
