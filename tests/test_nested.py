@@ -15,7 +15,7 @@ def test_screener_at_any_depth(spark, tmp_path):
         "240": {"deep": [{"x": {"ticker": "etha", "Shares Outstanding": "1,234.5", "netAssets": "$10", "nav": "-"}}], "localExchangeTicker": "OTHER"},
         "241": {"ticker": "NONE", "sharesOutstanding": 5},
     }
-    (tmp_path / "a.json").write_text(json.dumps({"meta": [1, 2, [3]], "funds": funds, "again": {"ticker": "IBIT", "sharesOutstanding": 7}}))
+    (tmp_path / "a.json").write_text(json.dumps({"meta": [1, 2, [3]], "funds": funds, "again": {"ticker": "IBIT", "sharesOutstanding": 7}}, indent=1))
     (tmp_path / "b.json").write_text(json.dumps([{"ticker": "IBIT", "sharesOutstanding": {"raw": "2,000"}, "totalNetAssets": None}, {"ticker": "IBIT", "sharesOutstanding": 1}]))
     (tmp_path / "c.json").write_text("<html>not this</html>")
     got = {(r.file, r.ticker): (r.shares_outstanding, r.total_net_assets, r.nav, r.shares_basis) for r in nested.fund_screener(spark, str(tmp_path), ["IBIT", "ETHA"]).collect()}

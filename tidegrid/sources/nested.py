@@ -62,7 +62,7 @@ def fund_screener(spark: SparkSession, path: str, tickers: list[str]) -> DataFra
 
     A record is an object, at whatever depth, that holds a wanted ticker as a text value; the first of a document
     counts. A missing share count is net assets over NAV (`derived`). Files that are no JSON give no rows."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("doc"), F.try_parse_json("value").alias("v"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.try_parse_json("value").alias("v"))
     wanted = [t.upper() for t in tickers]
     cells = walked(texts).where("key IS NOT NULL").withColumn("name", F.regexp_replace(F.lower("key"), " ", ""))
     upper = F.upper(_text(F.col("v")))
@@ -82,7 +82,7 @@ def fund_workbook(spark: SparkSession, path: str, sheet: str = "Historical") ->
 
     Rows without a date or a number are left out. flow_usd is the change in shares since the row before at the day's
     NAV, null for the first. Columns are found by their headings."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value").where(F.col("value").contains("<ss:Workbook"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").where(F.col("value").contains("<ss:Workbook"))
     body = F.substring_index(F.expr(f"substring(value, locate('Name=\"{sheet}\"', value))"), "</ss:Worksheet>", 1)
     rows = F.regexp_extract_all(body, F.lit(r"(?s)<ss:Row[^>]*>(.*?)</ss:Row>"), F.lit(1))
     found = text.where(F.col("value").contains(f'Name="{sheet}"')).select("file", F.transform(rows, lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?s)<ss:Data[^>]*>(.*?)</ss:Data>"), F.lit(1)), lambda c: F.trim(c))).alias("rows"))

@@ -128,7 +128,7 @@ def open_interest(spark: SparkSession, path: str) -> DataFrame:
 def eod_bars(spark: SparkSession, path: str, adjusted: bool = True) -> DataFrame:
     """Daily bars from JSON rows, a symbol a file. Adjusted prices, the raw ones where an adjustment is missing;
     volume is stated in the frame's price space, quote_volume is what changed hands."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("symbol"), F.posexplode(F.from_json("value", EOD)).alias("_at", "x"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("symbol"), F.posexplode(F.from_json("value", EOD)).alias("_at", "x"))
     x = F.col("x")
     price = {n: F.coalesce(x["adj" + n.capitalize()], x[n]) if adjusted else x[n] for n in ("open", "high", "low", "close")}
     ratio = F.when((price["close"] > 0) & (x["close"] > 0), x["close"] / price["close"]).otherwise(1.0)
@@ -148,7 +148,7 @@ def rate_series(spark: SparkSession, path: str) -> DataFrame:
 def daily_arrays(spark: SparkSession, path: str) -> DataFrame:
     """day, open, high, low, close from a JSON array of [t_ms, o, h, l, c]; the first row of a day stays."""
     x = F.col("x")
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<array<double>>")).alias("at", "x"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<double>>")).alias("at", "x"))
     rows = rows.select(F.to_date(F.timestamp_millis(x[0].cast("bigint"))).alias("day"), *(x[i].alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)), (-F.col("at")).alias("_at"))
     return keep_last(rows, "day")
 
@@ -156,7 +156,7 @@ def daily_arrays(spark: SparkSession, path: str) -> DataFrame:
 def daily_index(spark: SparkSession, path: str) -> DataFrame:
     """day, value, class from API JSON whose data rows hold text cells and epoch seconds."""
     x = F.col("x")
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json(F.get_json_object("value", "$.data"), "array<struct<timestamp string, value string, value_classification string>>")).alias("_at", "x"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json(F.get_json_object("value", "$.data"), "array<struct<timestamp string, value string, value_classification string>>")).alias("_at", "x"))
     return keep_last(rows.select(F.to_date(F.timestamp_seconds(number(x["timestamp"], "bigint"))).alias("day"), number(x["value"]).alias("value"), x["value_classification"].alias("class"), "_at"), "day")
 
 
