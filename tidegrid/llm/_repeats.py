@@ -34,8 +34,24 @@ from . import _kernel as K
 Symbols = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
-def source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def source(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, text and, if keyed, key: it names the row's doc_id and text."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc.alias("doc_id"), text.alias("text"), *([F.xxhash64(doc, text).alias("key")] if keyed else []))
+
+
+def mixed(docs: DataFrame) -> bool:
+    """Whether a doc_id has rows with different texts; a row's marks then go by (doc_id, text), else by doc_id alone."""
+    rows = source(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    return not rows.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
+
+
+def _key(keyed: bool) -> str:
+    return "key" if keyed else "doc_id"
+
+
+def _with_key(fields: list[pa.Array], names: list[str], batch: pa.RecordBatch, row: np.ndarray, keyed: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*fields, batch.column("key").take(pa.array(row))] if keyed else fields, [*names, "key"] if keyed else names)
 
 
 def _ordinals(rows: np.ndarray) -> np.ndarray:
@@ -68,7 +84,7 @@ def _own_keys(keys: np.ndarray, decided: np.ndarray, docs: np.ndarray, ordinals:
     return np.where(decided, alone, keys), np.where(decided, -1 - ordinals, ordinals).astype(np.int32)
 
 
-def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK) -> DataFrame:
+def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK, keyed: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
             hashes, firsts = symbols(batch)
@@ -76,22 +92,22 @@ def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int
             whole = K.hash_spans(hashes, lo, hi + length) + K.mix((at - lo).astype(np.uint64), 5)
             doc, known = _rows(batch, row)
             ordinal = _ordinals(row)
-            anchor, whole, doc, ordinal = anchor[known], whole[known], doc[known], ordinal[known]
+            anchor, whole, doc, ordinal, row = anchor[known], whole[known], doc[known], ordinal[known], row[known]
             key, ordinal = _own_keys(anchor, _decided(anchor ^ K.mix(whole, 6), doc), doc, ordinal)
-            yield pa.RecordBatch.from_arrays([K.as_long(key), K.as_long(whole), pa.array(doc), pa.array(ordinal)], ["anchor", "path", "doc_id", "ordinal"])
+            yield _with_key([K.as_long(key), K.as_long(whole), pa.array(doc), pa.array(ordinal)], ["anchor", "path", "doc_id", "ordinal"], batch, row, keyed)
 
-    return source(docs).mapInArrow(run, "anchor long, path long, doc_id long, ordinal int")
+    return source(docs, keyed).mapInArrow(run, "anchor long, path long, doc_id long, ordinal int" + ", key long" * keyed)
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """doc_id, marks: 2 * ordinal of every path that goes, 2 * ordinal + 1 of every path to be opened."""
+def repeated(found: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id (or key), marks: 2 * ordinal of every path that goes, 2 * ordinal + 1 of every path to be opened."""
     alike, near = Window.partitionBy("anchor", "path"), Window.partitionBy("anchor")
     seen = found.repartition("anchor").withColumn("least", F.min("doc_id").over(alike))
     for name, value in (("lo", F.min("doc_id")), ("hi", F.max("doc_id")), ("p", F.min("path")), ("q", F.max("path"))):
         seen = seen.withColumn(name, value.over(near))
     o = F.col("ordinal")
     mark = F.when(o < 0, (-1 - o) * 2).when(F.col("doc_id") > F.col("least"), o * 2).when((F.col("p") != F.col("q")) & (F.col("lo") < F.col("hi")), o * 2 + 1)
-    return seen.select("doc_id", mark.alias("mark")).where("mark is not null").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    return seen.select(_key(keyed), mark.alias("mark")).where("mark is not null").groupBy(_key(keyed)).agg(F.collect_list("mark").alias("marks"))
 
 
 def _marked(batch: pa.RecordBatch, symbols: Symbols, gram: int, length: int) -> tuple:
@@ -108,8 +124,8 @@ def _marked(batch: pa.RecordBatch, symbols: Symbols, gram: int, length: int) ->
     return hashes, firsts, lo, hi, row, mark
 
 
-def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK) -> DataFrame:
-    """doc_id, at: starts (in the document) of the windows of branching paths that a smaller document has too."""
+def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK, keyed: bool = False) -> DataFrame:
+    """doc_id (or key), starts: starts (in the document) of the windows of branching paths that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
@@ -123,16 +139,16 @@ def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, leng
             doc, _ = _rows(batch, owner)
             key, place = _own_keys(one, _decided(one ^ K.mix(two, 6), doc), doc, at - firsts[owner])
             rest = pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([K.as_long(key), rest, pa.array(doc), pa.array(place)], ["h1", "h2", "doc_id", "at"])
+            yield _with_key([K.as_long(key), rest, pa.array(doc), pa.array(place)], ["h1", "h2", "doc_id", "at"], batch, owner, keyed)
 
     some = marks.where(F.exists("marks", lambda m: m % 2 == 1))
-    opened = source(docs).join(some, "doc_id").mapInArrow(run, "h1 long, h2 int, doc_id long, at int")
+    opened = source(docs, keyed).join(some, _key(keyed)).mapInArrow(run, "h1 long, h2 int, doc_id long, at int" + ", key long" * keyed)
     seen = opened.repartition("h1").withColumn("lo", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
-    gone = seen.select("doc_id", F.when(F.col("at") < 0, -1 - F.col("at")).when(F.col("doc_id") > F.col("lo"), F.col("at")).alias("at"))
-    return gone.where("at is not null").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    gone = seen.select(_key(keyed), F.when(F.col("at") < 0, -1 - F.col("at")).when(F.col("doc_id") > F.col("lo"), F.col("at")).alias("at"))
+    return gone.where("at is not null").groupBy(_key(keyed)).agg(F.collect_list("at").alias("starts"))
 
 
-def apply(docs: DataFrame, marks: DataFrame, starts: DataFrame, symbols: Symbols, gram: int, length: int, finish: Callable, schema: str, limit: int = K.CHUNK) -> DataFrame:
+def apply(docs: DataFrame, marks: DataFrame, starts: DataFrame, symbols: Symbols, gram: int, length: int, finish: Callable, schema: str, limit: int = K.CHUNK, keyed: bool = False) -> DataFrame:
     """finish(batch, firsts, gone) for batches of documents: gone marks the symbols that removed windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,5 +165,8 @@ def apply(docs: DataFrame, marks: DataFrame, starts: DataFrame, symbols: Symbols
             np.add.at(edge, at + length, -1)
             yield finish(batch, firsts, np.cumsum(edge[:-1]) > 0)
 
-    held = source(docs).join(marks, "doc_id", "left").join(starts, "doc_id", "left")
+    held = source(docs, keyed)
+    if keyed:  # a null doc_id has a key too, but no marks
+        held = held.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
+    held = held.join(marks, _key(keyed), "left").join(starts, _key(keyed), "left")
     return held.mapInArrow(run, schema)

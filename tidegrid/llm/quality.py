@@ -14,7 +14,8 @@ whatever their number. Scoring covers every document and its whole text. Only th
 an input of a score.
 
 Defined results: null and empty texts get the score of a difference of 0; labels
-that are null, or contradict each other for one doc_id, are not learned from; where
+that are null, or contradict each other for one doc_id, are not learned from; of a doc_id
+with several texts the one of least MD5 may be; where
 one class has no example every score is the smoothed share of good labels (0.5
 without labels). Columns with clashing names play no part.
 """
@@ -97,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: int | None = FOLD, per_clas
     stands = {r.quality: r["count"] / drawn[r.quality] for r in known.groupBy("quality").count().collect()}  # labels a sampled one stands for
     ids = spark.createDataFrame(picked, "sample_id long, quality int")  # at most 2 * per_class rows
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, longest))
-    rows = own.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).dropDuplicates(["doc_id"]).select("text", "quality", order.alias("o")).collect()
+    met = own.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id"))
+    rows = met.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")).select("text", "quality", order.alias("o")).collect()  # a repeated doc_id: one of its texts, whatever the order of rows
     rows = sorted(rows, key=lambda r: (r.o, r.text))
     by = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, by.values())) < 2:

@@ -10,8 +10,9 @@ Each byte is removed that a 50-byte string covers which also starts in a documen
 with a smaller doc_id, judged on the input; matches never cross documents.
 
 Defined results: null text is empty; texts shorter than a window lose nothing;
-repeats inside one document (and rows that repeat one doc_id with one text) are not
-removed; a null doc_id loses nothing and takes nothing from others; an empty table
+repeats inside one document (and among rows of one doc_id, whatever their texts) are
+not removed; rows that repeat a doc_id with different texts are each judged by their own
+text; a null doc_id loses nothing and takes nothing from others; an empty table
 gives no rows; other columns play no part.
 """
 
@@ -55,10 +56,11 @@ def _finish(batch: pa.RecordBatch, firsts: np.ndarray, gone: np.ndarray) -> pa.R
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, qgram: int = QGRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    found = R.paths(docs, byte_symbols, qgram, length, LIMIT)
-    marks = written(R.repeated(found), "marks")
-    starts = written(R.windows(docs, marks, byte_symbols, qgram, length, LIMIT), "starts")
-    return R.apply(docs, marks, starts, byte_symbols, qgram, length, _finish, SCHEMA, LIMIT)
+    keyed = R.mixed(docs)
+    found = R.paths(docs, byte_symbols, qgram, length, LIMIT, keyed)
+    marks = written(R.repeated(found, keyed), "marks")
+    starts = written(R.windows(docs, marks, byte_symbols, qgram, length, LIMIT, keyed), "starts")
+    return R.apply(docs, marks, starts, byte_symbols, qgram, length, _finish, SCHEMA, LIMIT, keyed)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
