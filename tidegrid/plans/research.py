@@ -111,7 +111,7 @@ RESEARCH: dict[str, str | tuple[str, dict[str, str]]] = {
     # aggregations
     "agg_realised_var": f"SELECT symbol, day, {r('sum(x * x)', 'rv')}, CAST(count(x) AS BIGINT) AS n FROM (SELECT symbol, CAST(t AS DATE) AS day, ln(usd / before) AS x FROM flow_ WHERE usd > 0 AND before > 0) GROUP BY symbol, day",
     "agg_flow_diff": f"SELECT symbol, t, {r('(usd - before) * peak', 'flow')} FROM (SELECT symbol, t, usd, peak, lag(usd) OVER (PARTITION BY symbol ORDER BY t) AS before FROM ev_1h)",
-    "agg_calls_by_strike": (f"SELECT ticker, expiration, strike, {r('volume', 'volume')}, {r('oi', 'oi')}, {r('volume / sum(volume) OVER (PARTITION BY ticker)', 'share')} FROM (SELECT ticker, expiration, strike, sum(volume) AS volume, sum(oi) AS oi FROM chain_ WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY ticker, expiration, strike)", CHAIN),
+    "agg_calls_by_strike": (f"SELECT ticker, expiration, strike, {r('volume', 'volume')}, {r('oi', 'oi')}, {r('volume / sum(volume) OVER (PARTITION BY ticker)', 'share')} FROM (SELECT ticker, expiration, strike, sum(volume) AS volume, sum(oi) AS oi FROM chain_ GROUP BY ticker, expiration, strike)", CHAIN),
     "agg_option_baseline": (f"SELECT ticker, day, {r('avg(volume) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)', 'baseline')} FROM (SELECT ticker, day, sum(volume) AS volume FROM chain_ GROUP BY ticker, day)", CHAIN),
     "agg_gross_open": (f"SELECT account, {r("sum(CASE WHEN status = 'O' THEN notional ELSE 0 END)", 'reserved')}, {r("sum(CASE WHEN status <> 'O' THEN abs(notional) ELSE 0 END)", 'open_usd')} FROM intent_ GROUP BY account", ORDERED),
     "agg_per_trade": engine(f"SELECT t, {r('x', 'net_4')} FROM (SELECT t, sum(net) OVER (ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS x, count(*) OVER (ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS n FROM net_) WHERE n = 4"),
@@ -122,7 +122,7 @@ RESEARCH: dict[str, str | tuple[str, dict[str, str]]] = {
     # windows
     "win_every_n": "SELECT t, (row_number() OVER (ORDER BY t) - 1) % 4 = 0 AS mark FROM (SELECT DISTINCT t FROM bars_1w)",
     "win_round_trips": engine("SELECT symbol, CAST(sum(opens) AS BIGINT) AS round_trips FROM live_ GROUP BY symbol", TRADES),
-    "win_pct_rank_trailing": f"SELECT a.symbol, a.t, {r('100.0 * sum(CASE WHEN b.close <= a.close THEN 1 ELSE 0 END) / 26', 'pct')} FROM (SELECT symbol, t, close, i FROM (SELECT symbol, t, close, row_number() OVER ({W}) AS i FROM bars_1w)) a JOIN (SELECT symbol, close, i + k AS i FROM (SELECT symbol, close, row_number() OVER ({W}) AS i FROM bars_1w) CROSS JOIN (SELECT CAST(id AS INT) AS k FROM range(26) q(id))) b ON a.symbol = b.symbol AND a.i = b.i GROUP BY a.symbol, a.t, a.i HAVING count(*) = 26",
+    "win_pct_rank_trailing": f"SELECT symbol, t, {r('100.0 * count_le(closes, close) / 26', 'pct')} FROM (SELECT symbol, t, close, collect_list(close) OVER ({W} ROWS BETWEEN 25 PRECEDING AND CURRENT ROW) AS closes, count(close) OVER ({W} ROWS BETWEEN 25 PRECEDING AND CURRENT ROW) AS n FROM bars_1w) WHERE n = 26",
     "win_returns_multi": "SELECT symbol, t, " + ", ".join(r(f"CASE WHEN count(x) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} THEN sum(x) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END", f"log_{k}") for k in (1, 2, 4, 12)) + f", {r(roll('stddev_samp', 'x', 12, 6), 'vol_12')} FROM (SELECT symbol, t, CASE WHEN r > -1 THEN ln(1 + r) END AS x FROM ret_1w)",
     "win_as_feature": f"SELECT symbol, t, {r('lag(v, 1) OVER (PARTITION BY symbol ORDER BY t)', 'feature')} FROM (SELECT symbol, t, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM panel_1w)",
     "win_drawdown_product": engine(f"SELECT t, {r('q', 'equity')}, {r('q / max(q) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 'drawdown')} FROM (SELECT t, exp(sum(ln(greatest(1 + net, 1e-9))) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM net_)"),
@@ -141,13 +141,11 @@ RESEARCH: dict[str, str | tuple[str, dict[str, str]]] = {
     "bt_net_over_gross": engine(f"SELECT {r(f"CASE WHEN {SHARPE.format('gross')} >= sqrt(52.0 / count(*)) THEN sum(net) / nullif(sum(gross), 0) END", 'ratio')} FROM net_"),
     "bt_legs": engine(f"SELECT symbol, t, leg, {r('w', 'weight')} FROM (SELECT symbol, t, 'long' AS leg, greatest(h, 0.0) AS w FROM held_ UNION ALL SELECT symbol, t, 'short', greatest(-h, 0.0) FROM held_) WHERE w > 0"),
     "bt_trades": engine(f"SELECT symbol, opened, closed, CAST(bars AS BIGINT) AS bars, {r('pnl', 'pnl')} FROM trades_", TRADES),
-    "bt_drop_best_trades": engine(f"SELECT {r('sum(pnl)', 'pnl')}, {r('sum(CASE WHEN k > 5 THEN pnl ELSE 0.0 END)', 'without_best')} FROM (SELECT pnl, row_number() OVER (ORDER BY round(pnl, 9) DESC, symbol, opened) AS k FROM trades_)", TRADES),
+    "bt_drop_best_trades": engine(f"SELECT {r('a.pnl', 'pnl')}, {r('a.pnl - b.best', 'without_best')} FROM (SELECT sum(pnl) AS pnl FROM trades_) a CROSS JOIN (SELECT sum(pnl) AS best FROM (SELECT pnl FROM trades_ ORDER BY round(pnl, 9) DESC, symbol, opened LIMIT 5)) b", TRADES),
     "cost_commission": engine(f"SELECT t, {r('sum(CASE WHEN s > 0 THEN least(greatest(0.0035 * s, 0.35), 0.01 * s * close) ELSE 0.0 END) / 10', 'commission_bps')} FROM (SELECT t, close, floor(round(abs(h - prior) * 100000 / close, 6)) AS s FROM drift_ WHERE close > 0) GROUP BY t"),
     "cost_components": engine(f"SELECT t, {r('commission', 'commission')}, {r('spread', 'spread')}, {r('impact', 'impact')}, {r('borrow', 'borrow')}, {r('commission + spread + impact + borrow', 'total')}, {r('2 * (commission + spread + impact + borrow)', 'stressed')} FROM parts_", PARTS),
-    "cost_presets": "SELECT tier, maker, taker, round(maker * 0.75, 6) + 0.0 AS maker_discounted, round(taker * 0.75, 6) + 0.0 AS taker_discounted FROM (" + " UNION ALL ".join(f"SELECT {k} AS tier, {m:.1f} AS maker, {t:.1f} AS taker" for k, (m, t) in enumerate(((10, 10), (9, 10), (8, 10), (7, 9), (7, 9), (6, 8), (5, 7), (4, 6), (2, 4), (2, 4)))) + ")",
     "sweep_run": (f"SELECT look, CAST(n AS BIGINT) AS n, {r('sharpe', 'sharpe')} FROM board_", SWEEP),
     "sweep_best": (f"SELECT b.look, {r('b.sharpe', 'sharpe')}, {r('sum(CASE WHEN o.sharpe >= 0.5 * b.sharpe THEN 1.0 ELSE 0.0 END) / count(*)', 'retention')} FROM (SELECT look, sharpe FROM (SELECT *, row_number() OVER (ORDER BY round(sharpe, 9) DESC, look) AS k FROM board_) WHERE k = 1) b CROSS JOIN board_ o GROUP BY b.look, b.sharpe", SWEEP),
-    "sweep_neighbours": ("SELECT a.look, b.look AS near FROM grid_ a JOIN grid_ b ON a.look <> b.look AND abs(b.look - a.look) <= 0.5 * a.look", SWEEP),
     "size_sweep": engine(f"SELECT equity, {r('sum(d * greatest(coalesce(vol * sqrt(d * equity / nullif(adv, 0)), 0.0) / 0.0001 - 2.0, 0.0)) / 10000', 'impact')} FROM costed_ CROSS JOIN (SELECT 1000.0 AS equity UNION ALL SELECT 100000.0 UNION ALL SELECT 10000000.0) GROUP BY equity", PARTS),
     "kill_test": engine(f"SELECT {r('avg(gross) / nullif(avg(cost), 0)', 'edge_over_cost')}, {r('avg(gross) / nullif(stddev_samp(gross), 0) * sqrt(count(*))', 't')}, CASE WHEN avg(gross) <= 0 THEN 'no edge' WHEN avg(gross) < 2 * avg(cost) THEN 'below cost' ELSE 'alive' END AS verdict FROM net_"),
     # statistics
@@ -163,7 +161,7 @@ RESEARCH: dict[str, str | tuple[str, dict[str, str]]] = {
     "st_shuffles": "SELECT symbol, t, CAST(row_number() OVER (PARTITION BY symbol, date_trunc('month', t) ORDER BY sha2(concat('7:', symbol, ':', CAST(t AS VARCHAR(20))), 256)) AS BIGINT) AS place FROM bars_1w",
     "st_touch_prob": f"SELECT symbol, t, round({phi('z')}, 5) + 0.0 AS terminal, round(least(2 * {phi('z')}, 1.0), 5) + 0.0 AS touch FROM (SELECT symbol, t, -abs(ln(close / (close * 1.1))) / nullif(s * 2.0, 0) AS z FROM (SELECT symbol, t, close, {roll('stddev_samp', 'r', 30, 10)} AS s FROM ret_1w)) WHERE z IS NOT NULL",
     # signals
-    "sig_random_entry": f"SELECT symbol, t FROM (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY sha2(concat('7:', CAST(block AS VARCHAR(20)), ':', symbol), 256)) AS k FROM (SELECT symbol, t, CAST((dense_rank() OVER (ORDER BY t) - 1) // 8 AS BIGINT) AS block FROM panel_1w)) WHERE k <= 5",
+    "sig_random_entry": "SELECT symbol, t FROM (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY sha2(concat('7:', CAST(block AS VARCHAR(20)), ':', symbol), 256)) AS k FROM (SELECT p.symbol, p.t, b.block FROM panel_1w p JOIN (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 8 AS BIGINT) AS block FROM (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS t FROM prints)) b ON b.t = p.t)) WHERE k <= 5",
     "sig_etf_flow": (f"SELECT symbol, t, least(greatest(sum(CASE WHEN abs(z) >= 1.5 THEN sign(z) ELSE 0.0 END) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), -1.0), 1.0) + 0.0 AS w FROM (SELECT symbol, t, usd / nullif(avg(abs(usd)) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 0) AS z FROM ev_1h)"),
     "sig_auction_fade": "SELECT symbol, t FROM (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY gap, symbol) AS k FROM (SELECT symbol, t, round(close / nullif(open, 0) - 1, 9) AS gap, quote_volume FROM bars_1w) WHERE gap <= -0.05 AND quote_volume >= 100000) WHERE k <= 5",
     "sig_late_day": "SELECT symbol, t, CASE WHEN close / nullif(open, 0) - 1 >= 0.05 THEN 1 ELSE 0 END AS w FROM bars_1w",

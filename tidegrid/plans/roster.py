@@ -85,7 +85,14 @@ ROSTER: dict[str, str | tuple[str, dict[str, str]]] = {
     "manifest_rows": f"SELECT symbol, CAST(count(*) AS BIGINT) AS bars, min(t) AS first_ts, max(t) AS last_ts, {r('sum(close)', 'check_close')} FROM bars_1d GROUP BY symbol",
     "manifest_hash": "SELECT symbol, CAST(count(*) AS BIGINT) AS bars, sha2(array_join(array_sort(collect_list(concat(CAST(t AS VARCHAR(10)), '|', CAST(trades AS VARCHAR(20))))), ','), 256) AS content FROM bars_1d GROUP BY symbol",
     # joins
-    "join_asof_backward": f"SELECT filing, owner, bar_day, {r('close', 'close')} FROM (SELECT filing, owner, tag, max(CASE WHEN tag = 0 THEN day END) OVER w AS bar_day, last_value(close IGNORE NULLS) OVER w AS close FROM (SELECT CAST(NULL AS BIGINT) AS filing, CAST(NULL AS BIGINT) AS owner, 'Brand#13' AS symbol, t AS day, 0 AS tag, close FROM bars_1d WHERE symbol = 'Brand#13' UNION ALL SELECT filing, owner, 'Brand#13', published, 1, CAST(NULL AS DOUBLE) FROM filings) WINDOW w AS (PARTITION BY symbol ORDER BY day, tag, filing ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE tag = 1",
+    "join_asof_backward": (
+        f"SELECT f.filing, f.owner, f.symbol, p.bar_day, {r('p.close', 'close')} FROM filed_ f JOIN known_ p ON p.symbol = f.symbol AND p.day = f.published",
+        {
+            "filed_": "SELECT filing, owner, concat('Brand#', CAST(owner % 25 + 1 AS VARCHAR(4))) AS symbol, published FROM filings",
+            "asked_": "SELECT DISTINCT symbol, published AS day FROM filed_",  # a symbol's days, however many filings
+            "known_": "SELECT symbol, day, bar_day, close FROM (SELECT symbol, day, tag, max(CASE WHEN tag = 0 THEN day END) OVER w AS bar_day, last_value(close IGNORE NULLS) OVER w AS close FROM (SELECT symbol, t AS day, 0 AS tag, close FROM bars_1d UNION ALL SELECT symbol, day, 1, CAST(NULL AS DOUBLE) FROM asked_) WINDOW w AS (PARTITION BY symbol ORDER BY day, tag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE tag = 1 AND bar_day IS NOT NULL",
+        },
+    ),
     "join_asof_pit": "SELECT owner, d AS asof, filing, value FROM (SELECT f.owner, d.d, f.filing, f.value, row_number() OVER (PARTITION BY f.owner, d.d ORDER BY f.event_day DESC, f.published DESC, f.filing DESC) AS k FROM filings f JOIN (SELECT DATE '1997-06-30' AS d UNION ALL SELECT DATE '1998-06-30') d ON f.published <= d.d) WHERE k = 1",
     "join_interval_sum": f"SELECT f.filing, {r('coalesce(sum(CASE WHEN f.k > 0 THEN b.quote_volume END), 0)', 'volume')}, CAST(count(CASE WHEN f.k > 0 THEN b.t END) AS BIGINT) AS bars FROM (SELECT filing, k, date_add(event_day, CAST(k AS INT)) AS day FROM filings CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) d WHERE k <= datediff(DAY, event_day, published)) f LEFT JOIN (SELECT t, quote_volume FROM bars_1d WHERE symbol = 'Brand#21') b ON b.t = f.day GROUP BY f.filing",
     "join_next_match": "SELECT f.filing, n.next_day FROM filings f JOIN (SELECT owner, published, lead(published) OVER (PARTITION BY owner ORDER BY published) AS next_day FROM (SELECT DISTINCT owner, published FROM filings)) n ON n.owner = f.owner AND n.published = f.published",
