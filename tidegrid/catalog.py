@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import chain, folds, regression, selection
+from .plans.gauntlet import GAUNTLET
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
 from .plans.roster import ROSTER
@@ -17,7 +18,7 @@ from .sources.tables import query
 from .streaming import keyed, windows
 
 
-BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS
+BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS | GAUNTLET
 
 
 def _text(name: str) -> str:
