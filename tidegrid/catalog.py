@@ -11,6 +11,7 @@ from .plans.gauntlet import GAUNTLET
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
 from .plans.roster import ROSTER
+from .plans.sessions import SESSIONS
 from .plans.spreads import SPREADS
 from .plans.views import compose, duck, spark as spark_text
 from .sinks import lake
@@ -18,7 +19,7 @@ from .sources.tables import query
 from .streaming import keyed, windows
 
 
-BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS | GAUNTLET
+BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS | GAUNTLET | SESSIONS
 
 
 def _text(name: str) -> str:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.roster import MOM, RANKED, book
@@ -63,15 +63,44 @@ def _ema(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"symbol": g.symbol, "t": g.t, "ema": np.round(ewm(g.close.to_numpy(float), 2 / 11), 6)})
 
 
-def _rsi(g: pd.DataFrame) -> pd.DataFrame:
+def _rsi(g: pd.DataFrame, period: int = 14) -> pd.DataFrame:
     g = _present(g)
     change = np.diff(g.close.to_numpy(float), prepend=np.nan)
-    up, down = wilder(np.clip(change, 0, None), 14), wilder(np.clip(-change, 0, None), 14)
+    up, down = wilder(np.clip(change, 0, None), period), wilder(np.clip(-change, 0, None), period)
     with np.errstate(divide="ignore", invalid="ignore"):
         rsi = np.where(down == 0, np.where(up == 0, 50.0, 100.0), 100 - 100 / (1 + up / down))
     return pd.DataFrame({"symbol": g.symbol, "t": g.t, "rsi": np.round(np.where(np.isnan(up), np.nan, rsi), 6)})
 
 
+def rsi_setup(down_days: int = 3, multiple: float = 1.0, window: int = 20, period: int = 14, most: float = 30.0, hold: int = 5) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """fired: so many lower closes in a row, each on more than `multiple` of the mean volume before it, with Wilder's RSI below
+    `most`; held: the last `hold` bars fired once at least. Rows without a close are left out."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = _present(g)
+        rsi = _rsi(g, period).rsi.to_numpy(float)
+        usual = g.volume.astype(float).shift(1).rolling(window).mean()
+        both = (g.close.astype(float).diff() < 0) & (g.volume.astype(float) / usual > multiple)
+        fired = (both.astype(float).rolling(down_days).sum() == down_days).to_numpy() & (rsi < most)
+        held = pd.Series(fired.astype(float)).rolling(hold, min_periods=1).max()
+        return pd.DataFrame({"symbol": g.symbol, "t": g.t, "fired": fired, "held": held.to_numpy()})
+
+    return run
+
+
+def fade(k: float = 1.5, h: int = 3) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """side -1 on the h bars from a standardised inflow z of k or more; what fires while one is held is passed over."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        z, side, free = g.z.to_numpy(float), np.zeros(len(g)), 0
+        for i in np.flatnonzero(z >= k):
+            if i >= free:
+                side[i : i + h], free = -1.0, i + h
+        return pd.DataFrame({"symbol": g.symbol, "t": g.t, "side": side})
+
+    return run
+
+
 def _atr(g: pd.DataFrame) -> pd.DataFrame:
     g = _present(g)
     before = g.close.shift(1)
@@ -243,6 +272,16 @@ def spa(returns: DataFrame, draws: int = 200, block: float = 8.0, seed: int = 42
     return null.join(F.broadcast(top)).groupBy("n", "variants", "statistic").agg(share("lower"), share("consistent"), share("upper"))
 
 
+FLOWS = "SELECT symbol, day AS t, (usd - avg(usd) OVER w) / nullif(stddev_samp(usd) OVER w, 0) AS z FROM (SELECT symbol, day, sum(usd) AS usd FROM ev GROUP BY symbol, day) WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+
+
+def _rsi_reversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setup's book: symbols held have equal shares of each bar."""
+    held = per_symbol(rsi_setup(most=45.0), "symbol string, t date, fired boolean, held double", "SELECT symbol, t, close, volume FROM bars_1d")(spark, sf_dir)
+    all_ = F.sum("held").over(Window.partitionBy("t"))
+    return held.select("symbol", "t", "fired", F.when(all_ > 0, F.col("held") / all_).otherwise(0.0).alias("w"))
+
+
 def _spa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spa(view(spark, sf_dir, "SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i FROM ret_1w"))
 
@@ -252,6 +291,8 @@ LEDGER = book(f"SELECT *, CASE WHEN top <= 5 THEN 1.0 ELSE 0.0 END AS raw FROM (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "win_ema": per_symbol(_ema, "symbol string, t date, ema double"),
     "win_rsi": per_symbol(_rsi, "symbol string, t date, rsi double"),
+    "sig_rsi_reversal": _rsi_reversal,
+    "sig_inflow_fade": per_symbol(fade(), "symbol string, t date, side double", FLOWS),
     "win_atr": per_symbol(_atr, "symbol string, t date, atr double"),
     "win_split_adjust": per_symbol(_split_adjust, "symbol string, t date, adjusted double"),
     "sig_carry_hysteresis": per_symbol(_hysteresis, "symbol string, t date, held double"),

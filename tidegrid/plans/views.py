@@ -62,6 +62,7 @@ def compose(body: str, extra: dict[str, str] | None = None) -> str:
 
 _DUCK = (
     (r"\bcount_le\((\w+), (\w+)\)", r"len(list_filter(\1, lambda x: x <= \2))"),
+    (r"\bcount_lt\((\w+), (\w+)\)", r"len(list_filter(\1, lambda x: x < \2))"),
     (r"\bhex_long\((\w+), (\d+), (\d+)\)", r"CAST(concat('0x', substr(\1, \2, \3)) AS BIGINT)"),
     (r"\bpercentile\(", "quantile_cont("), (r"\bget_json_object\(", "json_extract_string("), (r"\bcollect_list\(", "list("), (r"\bsha2\(", "sha256("), (r", 256\)", ")"),
     (r"\bdate_add\(([^()]*(?:\([^()]*\)[^()]*)*), (CAST\([^()]*\)|\d+)\)", r"(\1 + \2)"), (r"\bdatediff\(DAY, ", "datediff('day', "), (r"\bdayofweek_iso\(", "isodow("), (r"\barray_join\(", "array_to_string("),
@@ -80,5 +81,6 @@ def spark(sql: str) -> str:
     for found, instead in ((" // ", " div "), ("last_value(", "last("), ("first_value(", "first("), (" IGNORE NULLS)", ", true)")):
         sql = sql.replace(found, instead)
     sql = re.sub(_DUCK[0][0], r"size(filter(\1, x -> x <= \2))", sql)
-    sql = re.sub(_DUCK[1][0], r"CAST(conv(substr(\1, \2, \3), 16, 10) AS BIGINT)", sql)
+    sql = re.sub(_DUCK[1][0], r"size(filter(\1, x -> x < \2))", sql)
+    sql = re.sub(_DUCK[2][0], r"CAST(conv(substr(\1, \2, \3), 16, 10) AS BIGINT)", sql)
     return re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w.])", r"\1D", sql)

@@ -139,6 +139,24 @@ def eod_bars(spark: SparkSession, path: str, adjusted: bool = True) -> DataFrame
     return keep_last(rows, "symbol", "day")
 
 
+def ohlcv_csv(spark: SparkSession, path: str) -> DataFrame:
+    """symbol (a file's name), day, open, high, low, close, volume of CSV files whose first column is a date.
+
+    Columns are found by their headings, whatever their case and order; without a close, the adjusted one serves. The
+    last row of a day stays; rows without a close go. A file that lacks a column is an error."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("symbol"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    cut = lambda line: F.transform(F.split(line, ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    files = text.select("symbol", F.transform(cut(F.col("lines")[0]), lambda c: F.lower(c)).alias("head"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("_at", "line"))
+    place = {n: F.array_position("head", n) for n in ("open", "high", "low", "close", "volume")}
+    place["close"] = F.when(place["close"] > 0, place["close"]).otherwise(F.array_position("head", "adj close"))
+    missing = F.concat_ws(", ", *(F.when(p == 0, F.lit(n)) for n, p in place.items()))
+    row = cut(F.col("line"))
+    cells = files.where(F.trim("line") != "").withColumn("row", F.when(missing == "", row).otherwise(F.raise_error(F.concat(F.lit("columns missing in "), "symbol", F.lit(": "), missing))))
+    day = F.to_date(F.substring(F.get("row", F.lit(0)), 1, 10).try_cast("date"))
+    out = cells.select("symbol", day.alias("day"), *(F.get("row", (p - 1).cast("int")).try_cast("double").alias(n) for n, p in place.items()), "_at").where("day is not null")
+    return keep_last(out, "symbol", "day").where("close is not null and not isnan(close)")
+
+
 def rate_series(spark: SparkSession, path: str) -> DataFrame:
     """series, day, rate: `observation_date,SERIES` files in percent; a blank or `.` is null."""
     rows = delimited(any_lines(spark, path), ("day", "rate")).withColumn("day", F.to_date(F.try_to_timestamp("day", F.lit("yyyy-MM-dd")))).where("day is not null")
