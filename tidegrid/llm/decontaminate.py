@@ -120,7 +120,7 @@ def _shares(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> list:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, spans (word ranges that windows cover; they may overlap), items (ids with hits): a row for each document."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_scan(_shares(docs, benchmark, n, block)), HITS)
+    return source.mapInArrow(K.lean(_scan(_shares(docs, benchmark, n, block))), HITS)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,4 +193,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, block: int = BL
             out = pa.RecordBatch.from_arrays(cols, names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(cut, kinds)
+    return docs.mapInArrow(K.lean(cut), kinds)

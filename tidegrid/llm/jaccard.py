@@ -281,6 +281,8 @@ def _blocks(num: int, den: int, all_of_them: bool):
         sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
         a, b, sure = block_pairs(nodes, labels, table.column("left").to_numpy(), sizes, sketches, num, den, all_of_them)
         sig = pa.array(np.repeat(table.column("sig").to_numpy()[:1], len(a)), pa.int64())
+        if len(nodes) > 256:
+            K.give_back()
         return pa.table({"sig": sig, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
     return run

@@ -40,7 +40,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, key and more (which name doc_id, text and source), size (words) of each document."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return keyed(source, "key", "more", "source").mapInArrow(_sizes, "doc_id long, source string, key long, more int, size long")
+    return keyed(source, "key", "more", "source").mapInArrow(K.lean(_sizes), "doc_id long, source string, key long, more int, size long")
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     planned = planned.withColumn(copies, F.when(some, F.floor(F.col(taken) / F.greatest(F.col(size), F.lit(1)))).otherwise(1).cast("int"))
     planned = planned.withColumn(part, F.when(some, F.col(taken) % F.col(size)).otherwise(0).cast("int"))
     whole = planned.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
-    partial = planned.where(F.col(part) > 0).select(*docs.columns, part).mapInArrow(_prefixes(part), docs.schema)
+    partial = planned.where(F.col(part) > 0).select(*docs.columns, part).mapInArrow(K.lean(_prefixes(part)), docs.schema)
     return whole.unionByName(partial)
 
 

@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str | None = None,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = source.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    return sorted(ordered.mapInArrow(_write(folder, vocabulary or tokenizer_path(), end), MANIFEST).collect())
+    return sorted(ordered.mapInArrow(K.lean(_write(folder, vocabulary or tokenizer_path(), end)), MANIFEST).collect())
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def read_documents(spark, manifest: list) -> DataFrame:
         rows.append((shard, path, base))
         base += n_tokens
     listed = spark.createDataFrame(rows, "shard int, path string, base long").repartition(max(1, len(rows)), "shard")
-    return listed.select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.select("path", "base").mapInArrow(K.lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
