@@ -93,7 +93,8 @@ def bar_permutation_test(draws: int, **how: object) -> tuple[str, dict[str, str]
 
 
 def panel_rows(draws: int, **how: object) -> tuple[str, dict[str, str]]:
-    fields = ", ".join(r(f, f) for f in ("close", *FIELDS, "volume", "funding"))
+    # a rebuilt price may be of any size: its logarithm and the other fields' ratios to it are what engines agree on
+    fields = ", ".join((r("ln(close)", "log_close"), *(r(f"{f} / close", f"{f}_ratio") for f in FIELDS), r("volume", "volume"), r("funding", "funding")))
     return f"SELECT CAST(draw AS BIGINT) AS draw, symbol, t, {fields}, CAST(trades AS BIGINT) AS trades FROM permuted_ WHERE close IS NOT NULL", permuted(draws, **how)
 
 
