@@ -139,3 +139,16 @@ def test_rules(spark):
         assert "".join(str(k) for k in range(1, 6) if not row[f"r{k}"]) == failed, name
         assert row.shares == (None if shares is None else shares) and row.verdict == ("ABORT" if failed else "TAKE"), name
     assert math.floor(10_000 * 0.01 / 5) == 20
+
+
+def test_equal_but_for_rounding(spark):
+    """A sum of hundredths that equals its mean is not above it, whichever way the two were added up; nor is a close below its own."""
+    from tidegrid.catalog import SPARK_VIEWS
+
+    up, down = 0.1 + 0.2, 0.3
+    setup = f"SELECT name AS symbol, DATE '2024-01-01' AS t, 0.5 AS close, 0.6 AS high, 0.4 AS low, CAST(NULL AS DOUBLE) AS r, volume, funding, 2 AS trades, mean, usual, 1.0 AS adv, CAST(NULL AS DOUBLE) AS top, CAST(NULL AS DOUBLE) AS bottom, paid FROM VALUES ('tie', {up!r}, {up!r}, {down!r}, {down!r}, {0.5 + 1e-15!r}), ('above', 0.31D, 0.31D, {down!r}, {down!r}, 0.49D) AS v(name, volume, funding, usual, paid, mean)"
+    views = {"setup_": setup} | G.CANDIDATES | SPARK_VIEWS["rule_five"] | {"setup_": setup}
+    assert up > down
+    got = {(r.symbol, r.category) for r in view(spark, "", "SELECT d.symbol, s.category FROM reason_ s JOIN drawn_ d ON d.id = s.id", views).collect()}
+    assert got == {("above", "flow"), ("above", "fundamental")}
+    assert {r.direction for r in view(spark, "", "SELECT direction FROM drawn_", views).collect()} == {"long"}

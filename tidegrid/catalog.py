@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import chain, folds, regression, selection
+from .plans import gauntlet
 from .plans.gauntlet import GAUNTLET
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
@@ -20,15 +21,17 @@ from .streaming import keyed, windows
 
 
 BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS | GAUNTLET | SESSIONS
+#: Views that Spark runs in another form than the SQL has, by query
+SPARK_VIEWS = gauntlet.SPARK_VIEWS
 
 
-def _text(name: str) -> str:
+def _text(name: str, instead: dict[str, str] | None = None) -> str:
     body, extra = BODIES[name] if isinstance(BODIES[name], tuple) else (BODIES[name], None)
-    return compose(body, extra)
+    return compose(body, (extra or {}) | (instead or {}))
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    text = spark_text(_text(name))
+    text = spark_text(_text(name, SPARK_VIEWS.get(name)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(spark, sf_dir, text)
