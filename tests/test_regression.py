@@ -194,3 +194,18 @@ def test_iv_curve_against_a_loop(spark):
             else:
                 want = math.sqrt(np.interp(tau, [p for p, _ in points], [p * v * v for p, v in points]) / tau)
             assert np.isclose(got[s, tenor], want), (s, tenor)
+
+
+def test_iv_curve_reads_quotes_once(spark):
+    from conftest import DATA
+    from tidegrid.catalog import QUERIES
+
+    plan = QUERIES["st_iv_curve"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3  # lineitem, part, orders
+    t0, rng = pd.Timestamp("2024-01-01").date(), np.random.default_rng(6)
+    quotes = [(s if s is None else str(s), t0, t0 + pd.Timedelta(days=int(d)), float(k), float(v)) for s, d, k, v in zip(rng.choice(["a", "b", None], 300), rng.integers(-20, 90, 300), rng.integers(80, 120, 300), rng.uniform(-0.1, 0.9, 300), strict=True)]
+    quotes += [("a", t0, t0 + pd.Timedelta(days=9), None, 0.5), ("c", t0, t0 - pd.Timedelta(days=1), 1.0, 0.5)]
+    spark.createDataFrame(quotes, "symbol string, t date, expiry date, strike double, iv double").createOrReplaceTempView("test_many_quotes")
+    own = {"quotes_": "SELECT * FROM test_many_quotes", "spot_": spreads.CHAIN["spot_"]} | spreads.iv_curve((7, 30))
+    one, two = ({(r.symbol, r.tenor): r.sigma for r in view(spark, "", "SELECT * FROM curve_", v).collect()} for v in (own, own | spreads.iv_curve_once((7, 30))))
+    assert one.keys() == two.keys() == {(s, d) for s in "ab" for d in (7, 30)} and all(np.isclose(one[k], two[k]) for k in one)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import chain, folds, regression, selection
-from .plans import gauntlet
+from .plans import gauntlet, spreads
 from .plans.gauntlet import GAUNTLET
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
@@ -21,13 +21,14 @@ from .streaming import keyed, windows
 
 
 BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS | GAUNTLET | SESSIONS
-#: Views that Spark runs in another form than the SQL has, by query
-SPARK_VIEWS = gauntlet.SPARK_VIEWS
+#: What Spark runs in another form than the SQL has, by query: views, and the statement itself as "body"
+SPARK_VIEWS = gauntlet.SPARK_VIEWS | spreads.SPARK_VIEWS
 
 
 def _text(name: str, instead: dict[str, str] | None = None) -> str:
     body, extra = BODIES[name] if isinstance(BODIES[name], tuple) else (BODIES[name], None)
-    return compose(body, (extra or {}) | (instead or {}))
+    views = (extra or {}) | (instead or {})
+    return compose(views.pop("body", body), views)
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
