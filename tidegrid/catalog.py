@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import chain, folds, regression, selection
-from .plans import gauntlet, spreads
+from .plans import gauntlet, research, spreads
 from .plans.gauntlet import GAUNTLET
 from .plans.inference import INFERENCE
 from .plans.research import RESEARCH
@@ -22,7 +22,7 @@ from .streaming import keyed, windows
 
 BODIES = ROSTER | RESEARCH | INFERENCE | SPREADS | GAUNTLET | SESSIONS
 #: What Spark runs in another form than the SQL has, by query: views, and the statement itself as "body"
-SPARK_VIEWS = gauntlet.SPARK_VIEWS | spreads.SPARK_VIEWS
+SPARK_VIEWS = gauntlet.SPARK_VIEWS | research.SPARK_VIEWS | spreads.SPARK_VIEWS
 
 
 def _text(name: str, instead: dict[str, str] | None = None) -> str:

@@ -197,3 +197,13 @@ RESEARCH: dict[str, str | tuple[str, dict[str, str]]] = {
     "str_heartbeat": f"SELECT symbol, max(ts) AS last_seen, {r(f"max(max({SECONDS.format('ts')})) OVER () - max({SECONDS.format('ts')})", 'age')} FROM ev GROUP BY symbol",
 }
 RESEARCH["agg_realised_var"] = (RESEARCH["agg_realised_var"], FLOW)
+
+#: What Spark runs instead. Executions are summed before the join, whose order the window's is, so a task sorts them once.
+#: Where an order's id has m rows, the j-th stands for the j-th copy of each execution in the order that the join would make.
+SPARK_VIEWS: dict[str, dict[str, str]] = {
+    "jr_execution": {
+        "body": f"SELECT id, seq, {r('done', 'done')}, done > notional AS overfill FROM (SELECT e.id, e.seq, i.notional, CASE WHEN i.m = 1 THEN e.done ELSE i.m * (e.done - e.usd) + i.j * e.usd END AS done FROM filled_ e JOIN numbered_ i ON i.id = e.id)",
+        "filled_": "SELECT id, seq, usd, sum(usd) OVER (PARTITION BY id ORDER BY seq, usd, qty, day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done FROM exec_",
+        "numbered_": "SELECT id, notional, count(*) OVER (PARTITION BY id ORDER BY notional ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS m, row_number() OVER (PARTITION BY id ORDER BY notional) AS j FROM intent_",
+    }
+}
