@@ -86,3 +86,32 @@ def test_too_late_events_are_dropped(spark, tmp_path):
     got = keyed.replayed(keyed.events(spark, str(tmp_path), files=1), lambda s: keyed.once(s, "5 days").select("event_id", "symbol"), "late").collect()
     assert [r.event_id for r in keyed.replayed(keyed.events(spark, str(tmp_path), files=1), lambda s: keyed.changes(s.withWatermark("ts", "5 days")), "late").collect()] == [1]
     assert sorted(r.event_id for r in got) == [1, 2, 4, 5]
+
+
+def test_changes_keep_no_events_in_python():
+    """A key's state is one value; arrays of a slice pass through while the slices are read, in whatever order."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+    from tidegrid.streaming import keyed
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    value, step, read = Value(), keyed.Changes(), []
+    step.init(SimpleNamespace(getValueState=lambda *a: value))  # there is no list of events
+
+    def slices():
+        for start, event_id, first, last, inner in ((60, 20, 4, 4, []), (0, 10, 1, 3, [11, 12]), (120, 30, 5, 5, [])):
+            read.append(start)
+            yield Row(start=start, event_id=event_id, first=first, last=last, inner=inner)
+
+    out = step.handleInputRows(("x",), slices(), None)
+    assert next(out).event_ids == [11, 12] and read == [60, 0]
+    assert [r.event_ids for r in out] == [[10], [20], [30]] and value.held == (5,)
+    assert [r.event_ids for r in step.handleInputRows(("x",), iter([Row(start=180, event_id=40, first=5, last=6, inner=[41])]), None)] == [[41]] and value.held == (6,)
