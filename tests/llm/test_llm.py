@@ -406,3 +406,27 @@ def test_jaccard_of_a_large_group_near_the_threshold(spark, monkeypatch):
                 least = [a if x == b else x for x in least]
     got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=5, num=85).collect()}
     assert got == dict(enumerate(least)) and len(set(least)) > 1
+
+
+def test_matrix_products_keep_to_one_thread():
+    """The network's products take no more CPU than time, though the library may use four threads."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import time
+import numpy as np
+from tidegrid.llm import lm
+from tidegrid.llm import _kernel as K
+vocabulary = lm.Vocabulary(np.arange(500, dtype=np.uint64), np.ones(500), np.ones(lm.SHARED))
+class share: value = (vocabulary, lm.initial(vocabulary))
+import pyarrow as pa
+hashes, ids = np.arange(500, dtype=np.uint64), np.random.default_rng(1).integers(0, 500, 300_000).astype(np.uint32)
+table = pa.table({"trainer": [0], "chunk": [0], "sizes": [[len(ids)]], "ids": [ids.tobytes()], "hashes": [hashes.tobytes()]})
+cpu, wall = time.process_time(), time.time()
+lm._train(share)((pa.scalar(0),), table)
+print((time.process_time() - cpu) / (time.time() - wall))
+"""
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "4", "OPENBLAS_NUM_THREADS": "4"}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 1.3

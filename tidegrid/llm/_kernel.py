@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def one_thread() -> None:
+    """numpy's matrix products keep to the task's own thread: on small blocks the others mostly wait, which costs CPU. Where its library is another one, nothing changes."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(str(path)).scipy_openblas_set_num_threads64_(1)
+
+
 def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """step, whose worker gives freed memory back to the system when it ends: workers outlive their steps."""
 

@@ -359,6 +359,7 @@ def vocabulary_of(chunks: DataFrame) -> Vocabulary:
 
 def _train(share):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        K.one_thread()
         vocabulary, start = share.value
         trainer, part = Trainer(start), key[0].as_py()
         for row in sorted(table.to_pylist(), key=lambda r: r["chunk"]):
@@ -452,6 +453,7 @@ def _pieces(share, bits: int, turn: int, counted: bool, asks: bool):
 
 def _score(share, own: int):
     def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        K.one_thread()
         vocabulary, weights = share.value
         totals = [unpack(r["counts"], r["n"]) for r in sorted(replies.to_pylist(), key=lambda r: r["shard"])]
         out = []
