@@ -51,3 +51,21 @@ def test_quality_fit_does_not_depend_on_the_order_of_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
     fits = [quality.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 3))]
     assert [fits[0].score(t) for _, t in rows] == [fits[1].score(t) for _, t in rows]
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_byte_dedup_shuffles_in_turns(spark, keyed):
+    """Every path is in one turn, with all others of its anchor, and the turns together remove what one shuffle does."""
+    from tidegrid.llm import _repeats as R
+
+    rng = np.random.default_rng(4)
+    parts = ["".join(rng.choice(list("abcé "), rng.integers(5, 90))) for _ in range(9)]
+    rows = [(k // 2 if keyed else k, "".join(parts[i] for i in rng.integers(0, 9, rng.integers(0, 12)))) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    turns = [R.paths(table, suffix_dedup.byte_symbols, 20, 50, keyed=keyed, turn=k, turns=3).collect() for k in range(3)]
+    whole = R.paths(table, suffix_dedup.byte_symbols, 20, 50, keyed=keyed).collect()
+    assert all(len(t) < len(whole) / 2 for t in turns) and sorted(r for t in turns for r in t) == sorted(whole)
+    want = sorted(plain(rows, 50), key=order)
+    assert any(r[2] for r in want)
+    for n in (1, 3):
+        assert sorted(map(tuple, suffix_dedup.dedup(table, turns=n).collect()), key=order) == want

@@ -12,7 +12,9 @@ windows that share an anchor is a path, described by the hash of all its symbols
 3. `windows`: the marked paths are opened into single windows, named by 96 bits; a
    window goes where a smaller document has it too.
 
-Both 2 and 3 take one shuffle and one sort. Before it every batch of documents is
+Both 2 and 3 take one shuffle and one sort, in turns: each turn has the anchors or windows of
+one residue of their hashes, whole, so only its share of the rows is on disk at a time.
+Before it every batch of documents is
 combined: an occurrence that a smaller document of the batch repeats is decided
 there, and travels under a key of its own (its ordinal made negative), so a passage
 that a third of all documents share meets as one row a batch. The marks of a
@@ -22,6 +24,7 @@ document are as long as the document at most.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,15 +87,18 @@ def _own_keys(keys: np.ndarray, decided: np.ndarray, docs: np.ndarray, ordinals:
     return np.where(decided, alone, keys), np.where(decided, -1 - ordinals, ordinals).astype(np.int32)
 
 
-def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK, keyed: bool = False) -> DataFrame:
+def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK, keyed: bool = False, turn: int = 0, turns: int = 1) -> DataFrame:
+    """The paths whose anchor has the residue `turn`; ordinals count all paths."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
             hashes, firsts = symbols(batch)
             anchor, at, lo, hi, row = K.anchors(hashes, firsts, gram, length)
-            whole = K.hash_spans(hashes, lo, hi + length) + K.mix((at - lo).astype(np.uint64), 5)
             doc, known = _rows(batch, row)
             ordinal = _ordinals(row)
-            anchor, whole, doc, ordinal, row = anchor[known], whole[known], doc[known], ordinal[known], row[known]
+            some = known & (anchor % np.uint64(turns) == turn)
+            anchor, at, lo, hi, doc, ordinal, row = (x[some] for x in (anchor, at, lo, hi, doc, ordinal, row))
+            whole = K.hash_spans(hashes, lo, hi + length) + K.mix((at - lo).astype(np.uint64), 5)
             key, ordinal = _own_keys(anchor, _decided(anchor ^ K.mix(whole, 6), doc), doc, ordinal)
             yield _with_key([K.as_long(key), K.as_long(whole), pa.array(doc), pa.array(ordinal)], ["anchor", "path", "doc_id", "ordinal"], batch, row, keyed)
 
@@ -124,8 +130,8 @@ def _marked(batch: pa.RecordBatch, symbols: Symbols, gram: int, length: int) ->
     return hashes, firsts, lo, hi, row, mark
 
 
-def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK, keyed: bool = False) -> DataFrame:
-    """doc_id (or key), starts: starts (in the document) of the windows of branching paths that a smaller document has too."""
+def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, length: int, limit: int = K.CHUNK, keyed: bool = False, turn: int = 0, turns: int = 1) -> DataFrame:
+    """doc_id (or key), starts: starts (in the document) of the windows of branching paths that a smaller document has too, of those whose hash has the residue `turn`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
@@ -135,6 +141,8 @@ def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, leng
             at = K.ranges(lo[open_], counts)
             owner = np.repeat(row[open_], counts)
             one = K.hash_spans(hashes, at, at + length)
+            some = one % np.uint64(turns) == turn
+            one, at, owner = one[some], at[some], owner[some]
             two = K.hash_spans(K.mix(hashes, 77), at, at + length)
             doc, _ = _rows(batch, owner)
             key, place = _own_keys(one, _decided(one ^ K.mix(two, 6), doc), doc, at - firsts[owner])
@@ -148,6 +156,13 @@ def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, leng
     return gone.where("at is not null").groupBy(_key(keyed)).agg(F.collect_list("at").alias("starts"))
 
 
+def together(parts: list[DataFrame], name: str, keyed: bool = False) -> DataFrame:
+    """One row a document, with the values of the turns' lists."""
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(_key(keyed)).agg(F.flatten(F.collect_list(name)).alias(name))
+
+
 def apply(docs: DataFrame, marks: DataFrame, starts: DataFrame, symbols: Symbols, gram: int, length: int, finish: Callable, schema: str, limit: int = K.CHUNK, keyed: bool = False) -> DataFrame:
     """finish(batch, firsts, gone) for batches of documents: gone marks the symbols that removed windows cover."""
 

@@ -28,7 +28,7 @@ from . import _kernel as K
 from . import _repeats as R
 from ._session import written
 
-LENGTH, QGRAM, LIMIT = 50, 20, 1 << 20
+LENGTH, QGRAM, LIMIT, TURNS = 50, 20, 1 << 20, 2
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -54,12 +54,12 @@ def _finish(batch: pa.RecordBatch, firsts: np.ndarray, gone: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(total[firsts[1:]] - total[firsts[:-1]]), pa.array(spans[firsts[1:]] - spans[firsts[:-1]]), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, qgram: int = QGRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def dedup(docs: DataFrame, *, length: int = LENGTH, qgram: int = QGRAM, turns: int = TURNS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. turns: shuffles of paths, and of windows, one after the other; the result does not depend on it."""
     keyed = R.mixed(docs)
-    found = R.paths(docs, byte_symbols, qgram, length, LIMIT, keyed)
-    marks = written(R.repeated(found, keyed), "marks")
-    starts = written(R.windows(docs, marks, byte_symbols, qgram, length, LIMIT, keyed), "starts")
+    marks = R.together([written(R.repeated(R.paths(docs, byte_symbols, qgram, length, LIMIT, keyed, k, turns), keyed), "marks") for k in range(turns)], "marks", keyed)
+    marks = written(marks, "marks") if turns > 1 else marks
+    starts = R.together([written(R.windows(docs, marks, byte_symbols, qgram, length, LIMIT, keyed, k, turns), "starts") for k in range(turns)], "starts", keyed)
     return R.apply(docs, marks, starts, byte_symbols, qgram, length, _finish, SCHEMA, LIMIT, keyed)
 
 
