@@ -69,3 +69,26 @@ def test_byte_dedup_shuffles_in_turns(spark, keyed):
     assert any(r[2] for r in want)
     for n in (1, 3):
         assert sorted(map(tuple, suffix_dedup.dedup(table, turns=n).collect()), key=order) == want
+
+
+def test_byte_dedup_hashes_blocks_and_combines_batches(spark):
+    """Arrays of symbols have about a block's size; a passage that all documents share still meets as one row a batch."""
+    from tidegrid.llm import _repeats as R
+
+    def symbols(batch):
+        hashes, firsts = suffix_dedup.byte_symbols(batch)
+        if len(hashes) > 1 << 17 and batch.num_rows > 1:
+            raise ValueError(f"{len(hashes)} symbols at once")
+        return hashes, firsts
+
+    rng = np.random.default_rng(6)
+    said = "".join(rng.choice(list("abcdefgh "), 200))
+    rows = [(k, "".join(rng.choice(list("abcdefgh "), 2000)) + said) for k in range(180)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = R.paths(table, symbols, 20, 50, suffix_dedup.LIMIT).collect()
+    first = {r.path for r in found if r.doc_id == 0}
+    shared = [r for r in found if r.doc_id == 179 and r.path in first]
+    assert len(shared) > 5 and all(r.ordinal < 0 for r in shared)  # decided in the batch, though in another block
+    marks = R.repeated(R.paths(table, symbols, 20, 50, suffix_dedup.LIMIT))
+    R.windows(table, marks, symbols, 20, 50, suffix_dedup.LIMIT).collect()
+    assert sorted(map(tuple, suffix_dedup.dedup(table).collect())) == plain(rows, 50)

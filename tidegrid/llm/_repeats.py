@@ -28,11 +28,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
 
+#: Bytes of text that are hashed at a time, so that the arrays stay in the cache; what a batch combines is not cut by it
+BLOCK = 1 << 17
 #: Symbols of a batch of documents: their hashes, and each document's first (rows + 1 values)
 Symbols = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
@@ -63,6 +66,23 @@ def _ordinals(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of about `BLOCK` bytes of text, and the rows before each."""
+    before = 0
+    for block in K.pieces([batch], BLOCK):
+        yield block, before
+        before += block.num_rows
+
+
+def _joined(found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The length of each row's list (null: 0), and all values."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _decided(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """True where a smaller document of the batch has the same key."""
     order = np.lexsort((docs, keys))
@@ -92,13 +112,17 @@ def paths(docs: DataFrame, symbols: Symbols, gram: int, length: int, limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
-            hashes, firsts = symbols(batch)
-            anchor, at, lo, hi, row = K.anchors(hashes, firsts, gram, length)
-            doc, known = _rows(batch, row)
-            ordinal = _ordinals(row)
-            some = known & (anchor % np.uint64(turns) == turn)
-            anchor, at, lo, hi, doc, ordinal, row = (x[some] for x in (anchor, at, lo, hi, doc, ordinal, row))
-            whole = K.hash_spans(hashes, lo, hi + length) + K.mix((at - lo).astype(np.uint64), 5)
+            found = []
+            for block, before in _blocks(batch):
+                hashes, firsts = symbols(block)
+                anchor, at, lo, hi, row = K.anchors(hashes, firsts, gram, length)
+                doc, known = _rows(block, row)
+                ordinal = _ordinals(row)
+                some = known & (anchor % np.uint64(turns) == turn)
+                anchor, at, lo, hi, doc, ordinal, row = (x[some] for x in (anchor, at, lo, hi, doc, ordinal, row))
+                whole = K.hash_spans(hashes, lo, hi + length) + K.mix((at - lo).astype(np.uint64), 5)
+                found.append((anchor, whole, doc, ordinal, row + before))
+            anchor, whole, doc, ordinal, row = _joined(found)
             key, ordinal = _own_keys(anchor, _decided(anchor ^ K.mix(whole, 6), doc), doc, ordinal)
             yield _with_key([K.as_long(key), K.as_long(whole), pa.array(doc), pa.array(ordinal)], ["anchor", "path", "doc_id", "ordinal"], batch, row, keyed)
 
@@ -122,9 +146,7 @@ def _marked(batch: pa.RecordBatch, symbols: Symbols, gram: int, length: int) ->
     _, _, lo, hi, row = K.anchors(hashes, firsts, gram, length)
     mark = np.full(len(lo), -1, np.int8)
     begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
-    column = batch.column("marks")
-    sizes = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes, values = _lists(batch.column("marks"))
     at = np.repeat(begin[:-1], sizes) + (values >> 1)
     mark[at] = values & 1
     return hashes, firsts, lo, hi, row, mark
@@ -135,17 +157,20 @@ def windows(docs: DataFrame, marks: DataFrame, symbols: Symbols, gram: int, leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
-            hashes, firsts, lo, hi, row, mark = _marked(batch, symbols, gram, length)
-            open_ = np.flatnonzero(mark == 1)
-            counts = hi[open_] - lo[open_] + 1
-            at = K.ranges(lo[open_], counts)
-            owner = np.repeat(row[open_], counts)
-            one = K.hash_spans(hashes, at, at + length)
-            some = one % np.uint64(turns) == turn
-            one, at, owner = one[some], at[some], owner[some]
-            two = K.hash_spans(K.mix(hashes, 77), at, at + length)
-            doc, _ = _rows(batch, owner)
-            key, place = _own_keys(one, _decided(one ^ K.mix(two, 6), doc), doc, at - firsts[owner])
+            found = []
+            for block, before in _blocks(batch):
+                hashes, firsts, lo, hi, row, mark = _marked(block, symbols, gram, length)
+                open_ = np.flatnonzero(mark == 1)
+                counts = hi[open_] - lo[open_] + 1
+                at = K.ranges(lo[open_], counts)
+                owner = np.repeat(row[open_], counts)
+                one = K.hash_spans(hashes, at, at + length)
+                some = one % np.uint64(turns) == turn
+                one, at, owner = one[some], at[some], owner[some]
+                two = K.hash_spans(K.mix(hashes, 77), at, at + length)
+                found.append((one, two, _rows(block, owner)[0], at - firsts[owner], owner + before))
+            one, two, doc, place, owner = _joined(found)
+            key, place = _own_keys(one, _decided(one ^ K.mix(two, 6), doc), doc, place)
             rest = pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield _with_key([K.as_long(key), rest, pa.array(doc), pa.array(place)], ["h1", "h2", "doc_id", "at"], batch, owner, keyed)
 
@@ -167,15 +192,14 @@ def apply(docs: DataFrame, marks: DataFrame, starts: DataFrame, symbols: Symbols
     """finish(batch, firsts, gone) for batches of documents: gone marks the symbols that removed windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.pieces(batches, limit):
+        for batch in K.pieces(batches, min(limit, BLOCK)):
             hashes, firsts, lo, hi, row, mark = _marked(batch, symbols, gram, length)
             edge = np.zeros(len(hashes) + 1, np.int64)
             whole = np.flatnonzero(mark == 0)
             np.add.at(edge, lo[whole], 1)
             np.add.at(edge, hi[whole] + length, -1)
-            column = batch.column("starts")
-            sizes = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
-            at = np.repeat(firsts[:-1], sizes) + column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes, values = _lists(batch.column("starts"))
+            at = np.repeat(firsts[:-1], sizes) + values
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
             yield finish(batch, firsts, np.cumsum(edge[:-1]) > 0)
