@@ -430,3 +430,42 @@ print((time.process_time() - cpu) / (time.time() - wall))
 """
     out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "4", "OPENBLAS_NUM_THREADS": "4"}, capture_output=True, text=True, check=True)
     assert float(out.stdout) < 1.3
+
+
+def test_lm_steps_keep_memory_between_arrays():
+    """A step's arrays take the memory of those before them, and the worker gives it back at the end."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from tidegrid.llm import lm
+from tidegrid.llm import _kernel as K
+rng = np.random.default_rng(1)
+said = [" ".join(map(str, rng.integers(0, 50000, 400))) for _ in range(3000)]
+docs = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": said, "trainer": [0] * 3000})
+vocabulary = lm.Vocabulary(np.arange(500, dtype=np.uint64), np.ones(500), np.ones(lm.SHARED))
+class share: value = (vocabulary, None)
+chunks = list(lm._cut(iter([docs])))
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+a = faults()
+cut = len(list(lm._cut(iter([docs]))))
+b = faults()
+keys = sum(x.num_rows for x in lm._pieces(share, 9, 1, True, True)(iter(chunks)))
+c = faults()
+held = int(open("/proc/self/statm").read().split()[1])
+K.give_back()
+print(cut, keys, (b - a) / cut, (c - b) / cut, held - int(open("/proc/self/statm").read().split()[1]))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    cut, keys, cutting, naming, given = map(float, done.stdout.split())
+    assert cut > 4 and keys > 500 and cutting < 2500 and naming < 1200 and given > 0
+
+
+def test_lm_tallies_keys():
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 60, 500).astype(np.uint64), np.zeros(0, np.uint64), np.array([7, 1 << 63, 7], np.uint64)):
+        want = np.unique(keys, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip(lm.tallied(keys), want, strict=True))

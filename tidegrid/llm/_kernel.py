@@ -32,6 +32,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def hold() -> None:
+    """Up to 64 MB of what arrays free stay with the worker until give_back(), so that the next arrays need not be mapped anew."""
+    with contextlib.suppress(OSError, AttributeError):
+        for option, size in ((-3, 32 << 20), (-1, 64 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            ctypes.CDLL(None).mallopt(option, size)
+
+
 def one_thread() -> None:
     """numpy's matrix products keep to the task's own thread: on small blocks the others mostly wait, which costs CPU. Where its library is another one, nothing changes."""
     for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):

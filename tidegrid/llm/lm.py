@@ -141,6 +141,15 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[starts], at, np.diff(np.append(starts, len(keys)))
 
 
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(new)
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
 CHUNKS = "chunk long, doc_id array<long>, sizes array<long>, ids binary, hashes binary, tokens long"
 #: A chunk's number is its trainer's times 2**NUMBER, plus its place there
 NUMBER = 32
@@ -150,6 +159,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk: its documents, its distinct tokens in order of their hashes, and their places among them.
 
     Rows come in order of their trainer; a chunk ends with it, or with the document that fills CHUNK bytes."""
+    K.hold()
     trainer, number = None, 0
     docs, found, sizes, held = [], [], [], 0
 
@@ -442,10 +452,11 @@ def within(vocabulary: Vocabulary, cls: np.ndarray, totals: np.ndarray, at: np.n
 
 def _pieces(share, bits: int, turn: int, counted: bool, asks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.hold()
         for batch in batches:
             for row in batch.to_pylist():
                 found = np.concatenate(occurrences(share.value[0], *_read(row))[0])
-                keys, _, counts = distinct(found[(found >> np.uint64(64 - bits)) % np.uint64(ROUNDS) == turn])
+                keys, counts = tallied(found[K.modulo(found >> np.uint64(64 - bits), ROUNDS) == turn])
                 yield pieces_of(keys, counts, row["chunk"], bits, counted, asks)
 
     return run
@@ -454,6 +465,7 @@ def _pieces(share, bits: int, turn: int, counted: bool, asks: bool):
 def _score(share, own: int):
     def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
         K.one_thread()
+        K.hold()
         vocabulary, weights = share.value
         totals = [unpack(r["counts"], r["n"]) for r in sorted(replies.to_pylist(), key=lambda r: r["shard"])]
         out = []
