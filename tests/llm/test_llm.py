@@ -469,3 +469,30 @@ def test_lm_tallies_keys():
     for keys in (rng.integers(0, 60, 500).astype(np.uint64), np.zeros(0, np.uint64), np.array([7, 1 << 63, 7], np.uint64)):
         want = np.unique(keys, return_counts=True)
         assert all(np.array_equal(a, b) for a, b in zip(lm.tallied(keys), want, strict=True))
+
+
+def test_groups_may_keep_some_memory():
+    """Between groups a worker keeps what it is told to, so the next group's arrays need not be mapped anew; else nothing."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from tidegrid.llm import _kernel as K
+K.hold()
+def step(table):
+    return sum(float((np.ones(1 << 18) * k).sum()) for k in range(4))
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for but in (0, K.HELD):
+    run = K.lean_group(step, but)
+    run(None)
+    a = faults()
+    for _ in range(10):
+        run(None)
+    print((faults() - a) / 10)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    anew, kept = map(float, done.stdout.split())
+    assert anew > 400 and kept < 100  # an array has 512 pages

@@ -25,17 +25,21 @@ SPAN = CHUNK + (CHUNK >> 2)
 U = np.uint64
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system."""
+#: Bytes that a worker may keep between arrays, or between groups
+HELD = 64 << 20
+
+
+def give_back(but: int = 0) -> None:
+    """Freed memory goes back to the system, all but so many bytes of it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+        ctypes.CDLL(None).malloc_trim(but)
 
 
 def hold() -> None:
-    """Up to 64 MB of what arrays free stay with the worker until give_back(), so that the next arrays need not be mapped anew."""
+    """Up to HELD bytes of what arrays free stay with the worker until give_back(), so that the next arrays need not be mapped anew."""
     with contextlib.suppress(OSError, AttributeError):
-        for option, size in ((-3, 32 << 20), (-1, 64 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        for option, size in ((-3, HELD // 2), (-1, HELD)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
             ctypes.CDLL(None).mallopt(option, size)
 
 
@@ -58,20 +62,20 @@ def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
-def lean_group(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
-    """step on one group (one or two arguments, which Spark counts), with memory given back before the next group."""
+def lean_group(step: Callable[..., pa.Table], but: int = 0) -> Callable[..., pa.Table]:
+    """step on one group (one or two arguments, which Spark counts), with memory, all but so many bytes, given back before the next group."""
 
     def alone(table):  # Spark would read annotations
         try:
             return step(table)
         finally:
-            give_back()
+            give_back(but)
 
     def both(first, second):
         try:
             return step(first, second)
         finally:
-            give_back()
+            give_back(but)
 
     return alone if step.__code__.co_argcount == 1 else both
 

@@ -511,7 +511,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scored = None
     for turn in range(TURNS):  # every chunk is in one turn; only one turn's shuffle files are on disk at a time
         mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn
-        some = chunks.where(mine).groupBy("chunk").cogroup(replies.where(mine).groupBy("chunk")).applyInArrow(K.lean_group(_score(share, int(own))), SCORES)
+        some = chunks.where(mine).groupBy("chunk").cogroup(replies.where(mine).groupBy("chunk")).applyInArrow(K.lean_group(_score(share, int(own)), K.HELD), SCORES)
         some = written(some, "lm-scores", FEW)
         scored = some if scored is None else scored.unionByName(some)
     return scored
