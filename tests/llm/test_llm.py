@@ -496,3 +496,53 @@ for but in (0, K.HELD):
     assert done.returncode == 0, done.stderr
     anew, kept = map(float, done.stdout.split())
     assert anew > 400 and kept < 100  # an array has 512 pages
+
+
+def test_lm_chunks_name_tokens_in_two_bytes():
+    """Four bytes only where a chunk has more than 65,536 distinct tokens; both are read back."""
+    import pyarrow as pa
+
+    for n, size in ((65_536, 2), (65_537, 4)):
+        text = " ".join(f"{i:x}" for i in [*range(n), 7])
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text], "trainer": pa.array([0], pa.int32())})
+        (row,) = next(lm._cut(iter([batch]))).to_pylist()
+        assert row["tokens"] == n + 1 and len(row["ids"]) == size * (n + 1)
+        hashes, ids, firsts = lm._read(row)
+        assert np.array_equal(hashes[ids], lm.words(batch)[0]) and list(firsts) == [0, n + 1]
+
+
+def test_lm_tally_leaves_out_what_cannot_be_frequent(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    rng = np.random.default_rng(3)
+    shards = [(np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64)), rng.integers(1, 400, 300)) for _ in range(40)]
+    run, found = lm._tally(), []
+    for h, n in shards:
+        halves = [(h[::2], n[::2]), (h, n)]
+        table = pa.table({"n": [len(i) for i, _ in halves], "names": [i.tobytes() for i, _ in halves], "counts": [lm.pack(c) for _, c in halves]})
+        found += [(-r["n"], np.int64(r["hash"]).view(np.uint64)) for r in run(table).to_pylist() if r["hash"] is not None]
+    want = sorted((-int(c * (2 - i % 2)), x) for h, n in shards for i, (x, c) in enumerate(zip(h, n, strict=True)))
+    assert sorted(found)[:50] == [(float(n), x) for n, x in want[:50]] and len(found) < 40 * 50 / 4
+
+
+def test_lm_packs_many_at_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    counts = rng.choice([0, 1, 2, 254, 255, 256, 1 << 40], 1000)
+    ends = np.array([0, 3, 3, 400, 999, 1000])
+    each = [lm.pack(counts[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert lm.packs(counts, ends) == each
+    assert np.array_equal(lm.unpacks(each, list(np.diff([0, *ends]))), counts)
+    keys = [np.sort(K.mix(rng.integers(0, 3000, 900).astype(np.uint64))) for _ in range(4)]
+    keys = [np.unique(k) for k in keys]
+    table = pa.Table.from_batches([lm.pieces_of(k.copy(), np.full(len(k), 100 + i), i, 0, i != 2, i != 3) for i, k in enumerate(keys)])
+    totals = {}
+    for i, k in enumerate(keys):
+        for x in k.tolist():
+            totals[x] = totals.get(x, 0) + (100 + i) * (i != 2)
+    for bits in (40, 64):  # sorted with their places in one number, and apart
+        monkeypatch.setattr(lm, "NAME", bits)
+        got = {r["chunk"]: list(lm.unpack(r["counts"], r["n"])) for r in lm._add_up(table).to_pylist()}
+        assert got == {i: [totals[x] for x in keys[i].tolist()] for i in range(3)}

@@ -48,6 +48,8 @@ from ._session import written
 
 OWN, CLASSES, INPUTS, WIDTH, SIDE, STEP, RATE, FAN, BLOCK = 96, 128, 2048, 16, 2, 4096, 0.15, 64, 8192
 CHUNK, SHARE, SHARD, LEAST, MOST, ROUNDS = 1 << 20, 1 << 24, 1 << 20, 9, 24, 4
+#: Keys of one round have the first bits in common
+TURN = np.uint64(64 - (ROUNDS.bit_length() - 1))
 #: Chunks are scored in so many turns
 TURNS = 5
 #: Chunks in one Arrow batch
@@ -165,7 +167,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         hashes, ids, _ = distinct(np.concatenate(found))
-        values = [[trainer << NUMBER | number], [pa.concat_arrays(docs).to_pylist()], [np.concatenate(sizes)], [ids.astype(np.uint32).tobytes()], [hashes.tobytes()], [len(ids)]]
+        values = [[trainer << NUMBER | number], [pa.concat_arrays(docs).to_pylist()], [np.concatenate(sizes)], [ids.astype(np.uint16 if len(hashes) <= 1 << 16 else np.uint32).tobytes()], [hashes.tobytes()], [len(ids)]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["chunk", "doc_id", "sizes", "ids", "hashes", "tokens"])
 
@@ -201,10 +203,15 @@ def chunked(docs: DataFrame) -> DataFrame:
     return written(ordered.select("doc_id", "text", "trainer").mapInArrow(K.lean(_cut), CHUNKS), "lm-chunks", 1000)
 
 
+def _places(raw: bytes, n: int) -> np.ndarray:
+    """The n tokens' places, of two bytes or four each."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+
+
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's distinct hashes, its tokens' places among them, and each document's first token."""
     firsts = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
-    return np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["ids"], np.uint32).astype(np.int64), firsts
+    return np.frombuffer(row["hashes"], np.uint64), _places(row["ids"], int(firsts[-1])), firsts
 
 
 def pack(counts: np.ndarray) -> bytes:
@@ -218,6 +225,28 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def packs(counts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """pack() of the counts up to each end, from the one before."""
+    great = np.flatnonzero(counts >= 255)
+    low, full = np.minimum(counts, 255).astype(np.uint8), counts[great].astype(np.int64)
+    more, out, at, before = np.searchsorted(great, ends).tolist(), [], 0, 0
+    for end, upto in zip(ends.tolist(), more, strict=True):
+        out.append(low[at:end].tobytes() + full[before:upto].tobytes() if upto > before else low[at:end].tobytes())
+        at, before = end, upto
+    return out
+
+
+def unpacks(raws: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The counts of many packs, one after the other."""
+    counts = np.concatenate([np.frombuffer(r, np.uint8, n) for r, n in zip(raws, sizes, strict=True)]).astype(np.int64)
+    full = [np.frombuffer(r[n:], np.int64) for r, n in zip(raws, sizes, strict=True) if len(r) > n]
+    if full:
+        counts[counts == 255] = np.concatenate(full)
+    return counts
+
+
+#: Bits of a name
+NAME = 40
 PIECES = "shard int, chunk long, n long, counted boolean, asks boolean, names binary, counts binary"
 
 
@@ -233,13 +262,18 @@ def pieces_of(keys: np.ndarray, counts: np.ndarray, chunk: int, bits: int, count
     full = np.flatnonzero(np.diff(edges))
     spans = [slice(edges[k], edges[k + 1]) for k in full]
     n = len(full)
-    cols = [pa.array(full, pa.int32()), pa.array(np.full(n, chunk)), pa.array(np.diff(edges)[full], pa.int64()), pa.array(np.full(n, counted)), pa.array(np.full(n, asks)), pa.array([low[i].tobytes() + high[i].tobytes() for i in spans], pa.binary()), pa.array([pack(counts[i]) for i in spans], pa.binary())]
+    cols = [pa.array(full, pa.int32()), pa.array(np.full(n, chunk)), pa.array(np.diff(edges)[full], pa.int64()), pa.array(np.full(n, counted)), pa.array(np.full(n, asks)), pa.array([low[i].tobytes() + high[i].tobytes() for i in spans], pa.binary()), pa.array(packs(counts, edges[1:][full]), pa.binary())]
     return pa.RecordBatch.from_arrays(cols, ["shard", "chunk", "n", "counted", "asks", "names", "counts"])
 
 
-def _names(row: dict) -> np.ndarray:
-    n = row["n"]
-    return np.cumsum(np.frombuffer(row["names"], np.uint32, n).astype(np.uint64) | np.frombuffer(row["names"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+def _names(raws: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The names of many pieces, one after the other."""
+    low = np.concatenate([np.frombuffer(r, np.uint32, n) for r, n in zip(raws, sizes, strict=True)])
+    high = np.concatenate([np.frombuffer(r, np.uint8, n, 4 * n) for r, n in zip(raws, sizes, strict=True)])
+    names = np.cumsum(low | high.astype(np.uint64) << np.uint64(32))
+    before = names[np.cumsum(sizes)[:-1] - 1]
+    names[sizes[0] :] -= np.repeat(before, sizes[1:])
+    return names
 
 
 REPLIES = "chunk long, shard int, n long, counts binary"
@@ -247,13 +281,26 @@ REPLIES = "chunk long, shard int, n long, counts binary"
 
 def _add_up(table: pa.Table) -> pa.Table:
     """The totals, over all counted pieces of a shard, of the keys of each piece that asks."""
-    rows = table.to_pylist()
-    _, at, _ = distinct(np.concatenate([_names(r) for r in rows]) << np.uint64(24))
-    counts = np.concatenate([unpack(r["counts"], r["n"]) * r["counted"] for r in rows])
-    total = np.bincount(at, weights=counts).astype(np.int64)
-    ends = np.cumsum([r["n"] for r in rows])
-    asks = [(r, pack(total[at[e - r["n"] : e]])) for r, e in zip(rows, ends, strict=True) if r["asks"]]
-    return pa.table({"chunk": pa.array([r["chunk"] for r, _ in asks], pa.int64()), "shard": pa.array([r["shard"] for r, _ in asks], pa.int32()), "n": pa.array([r["n"] for r, _ in asks], pa.int64()), "counts": pa.array([c for _, c in asks], pa.binary())})
+    K.hold()
+    sizes, raws = table["n"].to_pylist(), table["counts"].to_pylist()
+    counts = unpacks(raws, sizes) * np.repeat(np.asarray(table["counted"]).astype(np.int64), sizes)
+    low = np.uint64(len(counts).bit_length())
+    names = _names(table["names"].to_pylist(), sizes)
+    if int(low) + NAME > 64:
+        _, at, _ = distinct(names << np.uint64(24))
+        total = np.bincount(at, weights=counts).astype(np.int64)[at]
+    else:
+        names <<= low
+        names |= np.arange(len(names), dtype=np.uint64)
+        names.sort()
+        order = (names & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        names >>= low
+        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        total = np.empty(len(names), np.int64)
+        total[order] = np.repeat(np.add.reduceat(counts[order], starts), np.diff(np.append(starts, len(names))))
+    asks = np.flatnonzero(np.asarray(table["asks"]))
+    packed = packs(total, np.cumsum(sizes))
+    return table.select(["chunk", "shard", "n"]).take(asks).append_column("counts", pa.array([packed[k] for k in asks], pa.binary()))
 
 
 def shard_bits(chunks: DataFrame) -> int:
@@ -265,25 +312,34 @@ def shard_bits(chunks: DataFrame) -> int:
 def _tokens(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            hashes, ids, _ = _read(row | {"sizes": []})
+            hashes, ids = np.frombuffer(row["hashes"], np.uint64), _places(row["ids"], row["tokens"])
             edges = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(hashes))
             full, counts = np.flatnonzero(np.diff(edges)), np.bincount(ids, minlength=len(hashes))
             spans = [slice(edges[k], edges[k + 1]) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.diff(edges)[full], pa.int64()), pa.array([hashes[i].tobytes() for i in spans], pa.binary()), pa.array([pack(counts[i]) for i in spans], pa.binary())], ["shard", "n", "names", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.diff(edges)[full], pa.int64()), pa.array([hashes[i].tobytes() for i in spans], pa.binary()), pa.array(packs(counts, edges[1:][full]), pa.binary())], ["shard", "n", "names", "counts"])
 
 
 TALLY = "hash long, n double, shared int"
 
 
-def _tally(table: pa.Table) -> pa.Table:
-    """A shard's FREQUENT most frequent tokens, and the sums of counts + 0.5 of its tokens by hash % SHARED."""
-    rows = table.to_pylist()
-    hashes, at, _ = distinct(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]))
-    total = np.bincount(at, weights=np.concatenate([unpack(r["counts"], r["n"]) for r in rows]))
-    top = np.lexsort((hashes, -total))[:FREQUENT]
-    sums = np.bincount((hashes % np.uint64(SHARED)).astype(np.int64), weights=total + 0.5, minlength=SHARED)
-    none = pa.nulls(len(top), pa.int32())
-    return pa.table({"hash": pa.concat_arrays([K.as_long(hashes[top]), pa.nulls(SHARED, pa.int64())]), "n": pa.array(np.concatenate((total[top], sums))), "shared": pa.concat_arrays([none, pa.array(np.arange(SHARED), pa.int32())])})
+def _tally():
+    best = np.zeros(0)  # the FREQUENT greatest counts of this task so far
+
+    def run(table: pa.Table) -> pa.Table:
+        """A shard's tokens that may be among the FREQUENT most frequent of all, and the sums of counts + 0.5 of its tokens by hash % SHARED."""
+        nonlocal best
+        K.hold()
+        rows = table.to_pylist()
+        hashes, at, _ = distinct(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]))
+        total = np.bincount(at, weights=unpacks([r["counts"] for r in rows], [r["n"] for r in rows]))
+        best = np.sort(np.concatenate((best, total)))[-FREQUENT:]
+        top = np.flatnonzero(total >= best[0]) if len(best) == FREQUENT else np.arange(len(total))
+        top = top[np.lexsort((hashes[top], -total[top]))[:FREQUENT]]
+        sums = np.bincount((hashes % np.uint64(SHARED)).astype(np.int64), weights=total + 0.5, minlength=SHARED)
+        none = pa.nulls(len(top), pa.int32())
+        return pa.table({"hash": pa.concat_arrays([K.as_long(hashes[top]), pa.nulls(SHARED, pa.int64())]), "n": pa.array(np.concatenate((total[top], sums))), "shared": pa.concat_arrays([none, pa.array(np.arange(SHARED), pa.int32())])})
+
+    return run
 
 
 def contexts(inputs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -295,29 +351,41 @@ def contexts(inputs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + o] for o in OFFSETS], 1)
 
 
-def hidden_of(weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
-    hidden = np.take(weights[0][0], around[:, 0], 0)
+def sides_of(around: np.ndarray) -> np.ndarray:
+    """sides x tokens, in the form that numpy takes places in."""
+    return np.ascontiguousarray(around.T, np.intp)
+
+
+def hidden_of(weights: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
+    hidden = weights[0][0].take(sides[0], 0)
     for k in range(1, len(OFFSETS)):
-        hidden += np.take(weights[0][k], around[:, k], 0)
+        hidden += weights[0][k].take(sides[k], 0)
     return np.tanh(hidden, out=hidden)
 
 
-def logits(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
-    """Of all classes, up to a constant of each row; small enough for exp()."""
+def factors(weights: list[np.ndarray]) -> np.ndarray | None:
+    """exp() of what each class has in every row; None where exp() of a whole logit may not be a normal number."""
+    return np.exp(weights[2]) if (np.abs(weights[1]).sum(0) + np.abs(weights[2])).max() <= SAFE else None  # a hidden value is 1 at most
+
+
+def logits(weights: list[np.ndarray], hidden: np.ndarray, scale: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of all classes, up to a constant of each row and the logarithms of the factors, which come second: products take them in."""
     z = hidden @ weights[1]
-    z += weights[2]
-    if (np.abs(weights[1]).sum(0) + np.abs(weights[2])).max() > SAFE:  # a hidden value is 1 at most
+    if scale is None:
+        z += weights[2]
         z -= z.max(1, keepdims=True)
-    return z
+        scale = np.ones(CLASSES, np.float32)
+    return z, scale
 
 
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of each row's target class."""
-    out, ones = np.empty(len(target), np.float32), np.ones(CLASSES, np.float32)
+    out, known = np.empty(len(target), np.float32), factors(weights)
     for i in range(0, len(target), ROWS):
-        z = logits(weights, hidden_of(weights, around[i : i + ROWS]))
-        mine = z[np.arange(len(z)), target[i : i + ROWS]]
-        out[i : i + ROWS] = mine - np.log(np.exp(z, out=z) @ ones)
+        mine = target[i : i + ROWS]
+        z, scale = logits(weights, hidden_of(weights, sides_of(around[i : i + ROWS])), known)
+        of = z[np.arange(len(z)), mine] + np.log(scale)[mine]
+        out[i : i + ROWS] = of - np.log(np.exp(z, out=z) @ scale)
     return out
 
 
@@ -331,35 +399,41 @@ class Trainer:
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean of -log P(target)."""
-        n, ones = len(target), np.ones(CLASSES, np.float32)
-        back, out, bias = np.empty((WIDTH, n)), np.zeros(SHAPES[1], np.float32), np.zeros(SHAPES[2], np.float32)
+        n, sides, known = len(target), sides_of(around), factors(self.weights)
+        back, out, bias = np.empty((n, WIDTH)), np.zeros(SHAPES[1], np.float32), np.zeros(SHAPES[2], np.float32)
         for i in range(0, n, ROWS):
-            hidden = hidden_of(self.weights, around[i : i + ROWS])
-            slope = logits(self.weights, hidden)
+            hidden, mine = hidden_of(self.weights, sides[:, i : i + ROWS]), target[i : i + ROWS]
+            slope, scale = logits(self.weights, hidden, known)
             np.exp(slope, out=slope)
-            slope *= (1 / n / (slope @ ones)).astype(np.float32)[:, None]
-            slope[np.arange(len(slope)), target[i : i + ROWS]] -= np.float32(1 / n)
-            back[:, i : i + ROWS] = ((slope @ self.weights[1].T) * (1 - hidden * hidden)).T
-            out += hidden.T @ slope
-            bias += slope.sum(0)
-        table = np.empty(SHAPES[0], np.float32)
-        for k in range(len(OFFSETS)):
-            at = around[:, k].astype(np.intp)
-            for j in range(WIDTH):
-                table[k, :, j] = np.bincount(at, weights=back[j], minlength=INPUTS)
+            total = slope @ scale
+            slope[np.arange(len(slope)), mine] -= total / scale[mine]
+            each = 1 / n / total  # a row's factor, as scale has the columns': the products are multiplied, not all slopes
+            np.multiply((slope @ (self.weights[1] * scale).T) * (1 - hidden * hidden), each[:, None], out=back[i : i + ROWS])
+            out += (hidden * each[:, None]).T @ slope
+            bias += each @ slope
+        out, bias = out * scale, bias * scale
+        table, pairs = np.empty(SHAPES[0], np.float32), np.arange(WIDTH // 2)
+        for k in range(len(OFFSETS)):  # a row's values are added by twos, as complex numbers
+            sums = np.zeros(INPUTS * WIDTH // 2, np.complex128)
+            np.add.at(sums, (sides[k][:, None] * len(pairs) + pairs).ravel(), back.view(np.complex128).ravel())
+            table[k] = sums.view(np.float64).reshape(INPUTS, WIDTH)
         return [table, out, bias]
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         for w, s, g in zip(self.weights, self.square, self.gradients(around, target), strict=True):
-            s += g * g
-            w -= RATE * g / np.sqrt(s)
+            held = g * g
+            s += held
+            np.sqrt(s, out=held)
+            g *= RATE
+            g /= held
+            w -= g
         self.tokens += len(target)
 
 
 def vocabulary_of(chunks: DataFrame) -> Vocabulary:
     bits = shard_bits(chunks)
-    pieces = chunks.select("chunk", "ids", "hashes").mapInArrow(K.lean(lambda batches: _tokens(batches, bits)), "shard int, n long, names binary, counts binary")
-    tally = written(pieces.groupBy("shard").applyInArrow(K.lean_group(_tally), TALLY), "lm-tally", FEW)
+    pieces = chunks.select("tokens", "ids", "hashes").mapInArrow(K.lean(lambda batches: _tokens(batches, bits)), "shard int, n long, names binary, counts binary")
+    tally = written(pieces.groupBy("shard").applyInArrow(K.lean_group(_tally(), K.HELD), TALLY), "lm-tally", FEW)
     top = tally.where("hash is not null").orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
     sums = np.zeros(SHARED)
     for row in tally.where("shared is not null").groupBy("shared").agg(F.sum("n").alias("n")).collect():
@@ -417,11 +491,11 @@ def fit(docs: DataFrame) -> Model:
     return Model(docs, chunks, vocabulary, unflatten(flat))
 
 
-def occurrences(vocabulary: Vocabulary, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The keys of every rare token (one of a shared class) of a chunk: itself, the pairs rare tokens are in, its class
-    after its left and before its right neighbour; and its places among the pairs, as the second and the first."""
+def occurrences(kinds: np.ndarray, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What is counted at every rare token (one of a shared class) of a chunk: itself, the pairs rare tokens are in, its class
+    after its left and before its right neighbour, as numbers that key() takes; and its places among the pairs, as the second and the first. kinds: the tokens' classes."""
     sizes = np.diff(firsts)
-    cls = vocabulary.places(hashes)[0][ids]
+    cls = kinds[ids]
     at = np.arange(len(ids)) + 1 + np.repeat(np.arange(len(sizes)), sizes)
     near = np.full(len(ids) + len(sizes) + 1, EDGE)
     near[at] = hashes[ids]
@@ -432,15 +506,25 @@ def occurrences(vocabulary: Vocabulary, hashes: np.ndarray, ids: np.ndarray, fir
     place = np.cumsum(paired) - 1
     with np.errstate(over="ignore"):
         up = near * np.uint64(K.BASE)
-        return [K.mix(near[at]), K.mix((up[:-1] + near[1:])[paired], 1), K.mix(up[at - 1] + cls, 2), K.mix(up[at + 1] + cls, 3)], place[at - 1], place[at]
+        return [near[at], (up[:-1] + near[1:])[paired], up[at - 1] + cls, up[at + 1] + cls], place[at - 1], place[at]
+
+
+def key(numbers: np.ndarray, kind: int) -> np.ndarray:
+    """The key of each number, one of the ROUNDS that its first bits name (they are those of a hash) and mixed below."""
+    return (numbers >> TURN << TURN) | (K.mix(numbers, kind) >> (np.uint64(64) - TURN))
 
 
 def keys_of(vocabulary: Vocabulary, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What is counted of a chunk: its sorted keys, how often it has each, and the places of the five keys of every rare token."""
-    parts, second, first = occurrences(vocabulary, hashes, ids, firsts)
-    keys, found, counts = distinct(np.concatenate(parts))
+    kinds = vocabulary.places(hashes)[0]
+    parts, second, first = occurrences(kinds, hashes, ids, firsts)
+    rare = kinds >= OWN
+    which = (np.cumsum(rare) - 1)[ids[rare[ids]]]
+    parts[0] = hashes[rare]  # each once
+    keys, found, counts = distinct(np.concatenate([key(p, k) for k, p in enumerate(parts)]))
     alone, pairs, left, right = np.split(found, np.cumsum([len(p) for p in parts[:-1]]))
-    return keys, counts, np.stack([alone, pairs[second], pairs[first], left, right])
+    np.add.at(counts, alone, np.bincount(which, minlength=len(alone)) - 1)
+    return keys, counts, np.stack([alone[which], pairs[second], pairs[first], left, right])
 
 
 def within(vocabulary: Vocabulary, cls: np.ndarray, totals: np.ndarray, at: np.ndarray, own: int) -> np.ndarray:
@@ -455,8 +539,9 @@ def _pieces(share, bits: int, turn: int, counted: bool, asks: bool):
         K.hold()
         for batch in batches:
             for row in batch.to_pylist():
-                found = np.concatenate(occurrences(share.value[0], *_read(row))[0])
-                keys, counts = tallied(found[K.modulo(found >> np.uint64(64 - bits), ROUNDS) == turn])
+                hashes, ids, firsts = _read(row)
+                found = occurrences(share.value[0].places(hashes)[0], hashes, ids, firsts)[0]
+                keys, counts = tallied(np.concatenate([key(p[p >> TURN == turn], k) for k, p in enumerate(found)]))
                 yield pieces_of(keys, counts, row["chunk"], bits, counted, asks)
 
     return run
@@ -467,7 +552,8 @@ def _score(share, own: int):
         K.one_thread()
         K.hold()
         vocabulary, weights = share.value
-        totals = [unpack(r["counts"], r["n"]) for r in sorted(replies.to_pylist(), key=lambda r: r["shard"])]
+        replies = replies.sort_by("shard")
+        totals = unpacks(replies["counts"].to_pylist(), replies["n"].to_pylist()) if len(replies) else np.zeros(0, np.int64)
         out = []
         for row in chunks.to_pylist():
             hashes, ids, firsts = _read(row)
@@ -477,7 +563,7 @@ def _score(share, own: int):
             logs[1:] = log_probabilities(weights, around, target)
             rare = np.flatnonzero(target >= OWN)
             if len(rare):
-                logs[1 + rare] += within(vocabulary, target[rare], np.concatenate(totals), keys_of(vocabulary, hashes, ids, firsts)[2], own)
+                logs[1 + rare] += within(vocabulary, target[rare], totals, keys_of(vocabulary, hashes, ids, firsts)[2], own)
             logs, n = np.cumsum(logs), np.diff(firsts)
             total = np.where(n > 0, logs[firsts[1:]] - logs[firsts[:-1]], 0.0)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
@@ -488,12 +574,12 @@ def _score(share, own: int):
 
 
 def _replies(chunks: DataFrame, model: Model, share, own: bool, turn: int) -> DataFrame:
-    """The totals of every chunk's keys in each ROUNDS-th shard, kept so that the shuffle of the keys can go."""
+    """The totals of every chunk's keys in one of the ROUNDS parts of the shards, kept so that the shuffle of the keys can go."""
     bits, names = shard_bits(model.chunks), ["chunk", "sizes", "ids", "hashes"]
     pieces = chunks.select(names).mapInArrow(K.lean(_pieces(share, bits, turn, own, True)), PIECES)
     if not own:
         pieces = pieces.unionByName(model.chunks.select(names).mapInArrow(K.lean(_pieces(share, bits, turn, True, False)), PIECES))
-    return written(pieces.groupBy("shard").applyInArrow(K.lean_group(_add_up), REPLIES), "lm-counts", FEW)
+    return written(pieces.groupBy("shard").applyInArrow(K.lean_group(_add_up, K.HELD), REPLIES), "lm-counts", FEW)
 
 
 SCORES = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
@@ -508,9 +594,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     for turn in range(ROUNDS):
         some = _replies(chunks, model, share, own, turn)
         replies = some if replies is None else replies.unionByName(some)
-    scored = None
+    scored, trainers = None, ((chunks.agg(F.max("chunk")).first()[0] or 0) >> NUMBER) + 1
     for turn in range(TURNS):  # every chunk is in one turn; only one turn's shuffle files are on disk at a time
-        mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn
+        first, end = (k * trainers // TURNS << NUMBER for k in (turn, turn + 1))
+        mine = (F.col("chunk") >= first) & (F.col("chunk") < end)  # whole files: the others' statistics rule them out
         some = chunks.where(mine).groupBy("chunk").cogroup(replies.where(mine).groupBy("chunk")).applyInArrow(K.lean_group(_score(share, int(own)), K.HELD), SCORES)
         some = written(some, "lm-scores", FEW)
         scored = some if scored is None else scored.unionByName(some)
