@@ -153,6 +153,48 @@ def test_word_dedup_on_random_graphs(spark, seed):
     order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, de_bruijn.dedup(table, length=length).collect()), key=order) == sorted(want, key=order)
 
+
+@pytest.mark.parametrize("limit", [200, de_bruijn.LIMIT])
+def test_segments_hold_what_documents_share(spark, limit):
+    """Every window that two documents have lies in a segment, no word lies in two, and text that no other document has is left out before single windows are shuffled."""
+    rng, length = np.random.default_rng(7), 50
+    passage, loop = [f"p{i}" for i in range(60)], ["a", "b"] * 80
+    words = {d: [f"w{i}" for i in rng.integers(0, 10**6, 1000)] for d in range(30)}
+    for d in range(0, 30, 3):
+        words[d][100:160] = passage
+        words[d][170 : 170 + 60] = passage  # near the first, so that both are one segment
+    words[1][:160] = words[2][-160:] = loop
+    words[4][500:600] = words[4][:100]  # repeats in one document only
+    rows = [(d, "\t\u3000 \n".join(w) if d % 2 else " ".join(w)) for d, w in words.items()] + [(None, " ".join(passage)), (31, None), (32, " "), (33, " ".join(passage))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    said = {d: (t or "").encode().split() for d, t in rows if d is not None}
+    kept, taken = {}, {d: np.zeros(len(w), int) for d, w in said.items()}
+    for r in de_bruijn.segments(table, de_bruijn.shared(table, length, limit), length, limit).collect():
+        own = r.text.encode().split()
+        assert own == said[r.doc_id][r.base : r.base + len(own)]
+        taken[r.doc_id][r.base : r.base + len(own)] += 1
+        kept.setdefault(r.doc_id, set()).update(range(r.base, r.base + len(own) - length + 1))
+    assert max(t.max(initial=0) for t in taken.values()) == 1
+    holders = {}
+    for d, w in said.items():
+        for i in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[i : i + length]), set()).add(d)
+    for d, w in said.items():
+        assert {i for i in range(len(w) - length + 1) if len(holders[tuple(w[i : i + length])]) > 1} <= kept.get(d, set())
+    assert sum(t.sum() for t in taken.values()) < sum(len(w) for w in said.values()) / 8
+    gone = removed(said)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in de_bruijn.dedup(table.where("doc_id is not null")).collect()}
+    assert got == {d: (len(w), int(gone[d].sum()), b" ".join(x for x, g in zip(w, gone[d]) if not g).decode()) for d, w in said.items()}
+
+
+def test_minimizers_do_not_depend_on_the_batch():
+    symbols = K.mix(np.random.default_rng(6).integers(0, 3, 400).astype(np.uint64))
+    more = np.concatenate((symbols, K.mix(np.arange(70_000, dtype=np.uint64))))
+    one, two = (K.anchors(x, np.array([0, 400, len(x)]), 20, 50, 32) for x in (symbols, more))
+    n = int((two[4] == 0).sum())
+    assert n == len(one[0]) and all((a == b[:n]).all() for a, b in zip(one, two, strict=True))
+
+
 def test_byte_dedup(docs):
     seqs = {k: t.encode() for k, t in texts().items()}
     gone = removed(seqs)

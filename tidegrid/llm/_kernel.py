@@ -238,18 +238,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(symbols: np.ndarray, firsts: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, ...]:
+def anchors(symbols: np.ndarray, firsts: np.ndarray, gram: int, window: int, bits: int = 0) -> tuple[np.ndarray, ...]:
     """Content-defined anchors: each window of `window` symbols of one document picks the first of
     its `gram`-symbol grams with the least hash, so equal windows pick the same gram at the same place.
 
     Returns, one value for each maximal run of window starts with one anchor: the gram's hash, its
-    position, the first and last window start, and the document's row.
+    position, the first and last window start, and the document's row. bits: so many low bits of a hash
+    are not compared, whatever the number of symbols (fewer than 2**bits); 0: as few as their number needs.
     """
     empty = np.zeros(0, np.int64)
     if len(symbols) < window:
         return empty.astype(np.uint64), empty, empty, empty, empty
     grams = mix(hash_windows(symbols, gram))
-    bits = U(max(1, int(len(grams)).bit_length()))
+    bits = U(bits or max(1, int(len(grams)).bit_length()))
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_min(packed, window - gram + 1)
     starts = np.flatnonzero(room(firsts)[: len(least)] >= window)

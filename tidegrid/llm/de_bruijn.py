@@ -1,15 +1,20 @@
 """Substring dedup over words: a de Bruijn graph of token k-mers, compacted.
 
-1. `edges`: each k-mer of `LENGTH` consecutive words is an edge between the nodes of its
+0. `shared`, `segments`: each k-mer has a minimizer, its `LENGTH * 2 // 5`-word gram of least
+   hash, so equal k-mers have equal ones. Runs of k-mers with one minimizer are shuffled as
+   one row; those whose minimizer only one document has cannot repeat in another, and their
+   words are left out. What is left of each text is written as segments. It holds every
+   occurrence of every k-mer that two documents have.
+1. `edges`: each k-mer of `LENGTH` consecutive words of a segment is an edge between the nodes of its
    first and last `LENGTH - 1` words. Edges are named by 64-bit hashes and aggregated:
-   the least and greatest document, one source coordinate (document, position), and
+   the least and greatest document, one source coordinate (segment, position), and
    sums over all occurrences' coordinates, and over the coordinates one word on. Edges
    of one document only are dropped.
 2. `paths`: an edge goes on to the next edge of its coordinate without a branch if the
    first one's sums of next coordinates are the second one's sums of coordinates: then
    every occurrence of either is an occurrence of both. Runs of such edges are compacted
    to one row, named by the first edge, with their number of edges.
-3. `occurrences`: a join of all documents' edges with the first edges of paths gives
+3. `occurrences`: a join of all segments' edges with the first edges of paths gives
    each path's occurrences, one row each, whatever the path's length.
 4. `verified`: the words at each occurrence's source coordinates are read and named by
    SHA-256; of each path and name the least document keeps its words, all greater ones
@@ -18,8 +23,8 @@
 
 Each word is removed that a window covers whose words also start in a document with
 a smaller doc_id, judged on the input. Aggregates combine before the shuffle (every
-batch, too, gives an edge once), so an edge that a third of all documents share is
-some rows a task; the joins are on keys that one side holds once, so adaptive
+batch, too, gives an edge once, and a minimizer that it finds in two documents once), so
+an edge that a third of all documents share is some rows a task; the joins are on keys that one side holds once, so adaptive
 execution may split the other side's hot partitions where they are large enough; no
 join is salted, so a hot passage's occurrences below that size are one task's.
 
@@ -38,6 +43,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +52,8 @@ from ._session import scratch, written
 
 #: The shuffles of single edges go in TURNS parts of the names, one after the other, so that fewer of their files are on disk at a time
 LENGTH, LIMIT, TURNS = 50, 2 << 20, 2
+#: Bytes of text whose minimizers are found at a time, so that the arrays stay in the cache
+BLOCK = 1 << 17
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 #: Sums over the occurrences of an edge in one batch; null where it occurs once
 MANY = ("hi", "here_a", "here_b", "next_a", "next_b")
@@ -64,6 +72,66 @@ def word_symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_spans(data, starts, ends), firsts
 
 
+def _minimizers(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """Name, row, first k-mer (in its text) and number of k-mers of each run of k-mers with one minimizer, of rows with a doc_id."""
+    known, before, found = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False), 0, []
+    for block in K.pieces([batch], BLOCK):
+        symbols, firsts = word_symbols(block)
+        name, _, lo, hi, row = K.anchors(symbols, firsts, max(1, length * 2 // 5), length, 32)
+        new = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (lo[1:] != hi[:-1] + 1)))[: len(name)])  # a gram that returns within its k-mers is one run
+        name, lo, row, hi = name[new], lo[new], row[new], hi[np.append(new[1:], len(name)) - 1] if len(name) else hi
+        some = known[row + before]
+        found.append((name[some], row[some] + before, (lo - firsts[row])[some], (hi - lo + 1)[some]))
+        before += block.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def shared(docs: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+    """doc_id, key, spans (at, n: first k-mer and number of k-mers) of the runs whose minimizer several documents have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.pieces(batches, limit):
+            name, row, at, n = _minimizers(batch, length)
+            doc, key = batch.column("doc_id").fill_null(0).to_numpy()[row], batch.column("key").to_numpy()[row]
+            order = np.argsort(name, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1]))[: len(name)])
+            sure = np.zeros(len(name), bool)
+            if len(name):
+                met = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+                sure[order] = np.repeat(met, np.diff(np.append(first, len(name))))
+            alone = sure.copy()  # decided here: one row of the batch tells the others, the rest go by names of their own
+            alone[order[first]] = False
+            own = K.mix(key.view(np.uint64) * np.uint64(K.BASE) + at.astype(np.uint64), 31)
+            yield pa.RecordBatch.from_arrays([K.as_long(np.where(alone, own, name)), pa.array(sure), pa.array(doc), pa.array(key), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["name", "sure", "doc_id", "key", "at", "n"])
+
+    near = Window.partitionBy("name")
+    rows = source(docs).mapInArrow(K.lean(run), "name long, sure boolean, doc_id long, key long, at int, n int").repartition("name")
+    seen = rows.select("doc_id", "key", "at", "n", F.min("doc_id").over(near).alias("lo"), F.max("doc_id").over(near).alias("hi"), F.max("sure").over(near).alias("sure"))
+    return _lists(seen.where("sure or lo < hi"), "at", "n")
+
+
+def segments(docs: DataFrame, spans: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+    """doc_id, key (names the segment), text, own (the row's key), base (words before it) of the words that spans cover. No two segments share a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.pieces(batches, limit):
+            data, offsets = K.text_buffers(batch.column("text"))
+            starts, ends, firsts = K.find_words(data, offsets, K.SPACES)
+            row, (at, n) = _flat(batch.column("spans"), "at", "n")
+            lo = firsts[row] + at
+            order = np.argsort(lo, kind="stable")
+            lo, row, hi = lo[order], row[order], (lo + n - 1)[order]
+            new = np.flatnonzero(np.concatenate(([True], lo[1:] - hi[:-1] >= length))[: len(lo)])
+            last = hi[np.append(new[1:], len(lo)) - 1] if len(lo) else hi
+            lo, row, raw = lo[new], row[new], data.tobytes()
+            said = [raw[a:b] for a, b in zip(starts[lo].tolist(), ends[last + length - 1].tolist(), strict=True)]
+            at, rows = (lo - firsts[row]).astype(np.int32), pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(said, pa.string()), batch.column("key").take(rows), pa.array(at)], ["doc_id", "text", "own", "base"])
+
+    held = source(docs).join(spans, ["doc_id", "key"]).mapInArrow(K.lean(run), "doc_id long, text string, own long, base int")
+    return held.select("doc_id", F.xxhash64("doc_id", "own", "base").alias("key"), "text", "own", "base")
+
+
 def _found(batch: pa.RecordBatch, length: int, turn: int) -> tuple[np.ndarray, ...]:
     """Name, doc_id, key and position of each edge of a batch whose name falls to the turn."""
     symbols, firsts = word_symbols(batch)
@@ -94,7 +162,7 @@ def coordinate(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return seed
 
 
-def edges(docs: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
+def edges(held: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
     """edge, key, at (one source coordinate), here_a, here_b, next_a, next_b of each edge of several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +191,7 @@ def edges(docs: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFr
             yield rows.take(pa.array(np.argsort(order[first])))  # in the order of the text, whose ids and positions compress
 
     fields = ", ".join(f"{x}: long" for x in MANY)
-    rows = source(docs).mapInArrow(K.lean(run), f"lo long, key long, many struct<{fields}>, edge long, at int").repartition("edge")
+    rows = held.select("doc_id", "key", "text").mapInArrow(K.lean(run), f"lo long, key long, many struct<{fields}>, edge long, at int").repartition("edge")
     here, on = F.xxhash64("key", F.col("at").cast("long")), F.xxhash64("key", F.col("at").cast("long") + 1)
     single = {"hi": F.col("lo"), "here_a": here.bitwiseAND(LOW), "here_b": F.shiftrightunsigned(here, 32), "next_a": on.bitwiseAND(LOW), "next_b": F.shiftrightunsigned(on, 32)}
     wide = rows.select("edge", "lo", "key", "at", *(F.coalesce(f"many.{c}", v).alias(c) for c, v in single.items()))
@@ -140,7 +208,7 @@ def paths(found: DataFrame) -> DataFrame:
     return runs.groupBy("key", "run").agg(F.min_by("edge", "at").alias("edge"), F.count(F.lit(1)).cast("int").alias("n_edges")).select("edge", "n_edges")
 
 
-def occurrences(docs: DataFrame, compact: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
+def occurrences(held: DataFrame, compact: DataFrame, length: int, turn: int, limit: int = LIMIT) -> DataFrame:
     """edge, n_edges, doc_id, key, at of every occurrence of a path. Paths grow with the corpus, so they are merged at every size, never broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,30 +216,51 @@ def occurrences(docs: DataFrame, compact: DataFrame, length: int, turn: int, lim
             name, doc, key, at = _found(batch, length, turn)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), K.as_long(name), pa.array(at)], ["doc_id", "key", "edge", "at"])
 
-    return source(docs).mapInArrow(K.lean(run), "doc_id long, key long, edge long, at int").join(compact.hint("merge"), "edge")
+    return held.select("doc_id", "key", "text").mapInArrow(K.lean(run), "doc_id long, key long, edge long, at int").join(compact.hint("merge"), "edge")
 
 
 def _lists(rows: DataFrame, *fields: str) -> DataFrame:
     return rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*fields)).alias("spans"))
 
 
-def verified(docs: DataFrame, met: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
-    """edge, words (SHA-256 of the words at the coordinates), doc_id, key, at, n_edges."""
+def _flat(column: pa.ListArray, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each span of a column of lists of spans (null: none), and the spans' fields."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    spans = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), [spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields]
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words, each with a space behind it."""
+    if not len(starts):
+        return b""
+    last = np.cumsum(ends - starts + 1) - 1
+    step = np.ones(last[-1] + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    step[0] = starts[0]
+    step[last[:-1] + 1] = starts[1:] - ends[:-1]
+    out = np.append(data, np.uint8(32))[np.cumsum(step, dtype=step.dtype)]  # with the byte behind each word, whatever it is
+    out[last] = 32
+    return out.tobytes()
+
+
+def verified(held: DataFrame, met: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
+    """edge, words (SHA-256 of the words at the coordinates), doc_id, key (the document's), at (in the document), n_edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
-            columns = {c: [] for c in ("edge", "words", "doc_id", "key", "at", "n_edges")}
-            for doc, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "spans")), strict=True):
-                words = text.encode().split()
-                for s in spans:
-                    said = hashlib.sha256(b" ".join(words[s["at"] : s["at"] + s["n_edges"] + length - 1])).digest()
-                    for c, v in zip(columns, (s["edge"], said, doc, key, s["at"], s["n_edges"]), strict=True):
-                        columns[c].append(v)
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types, strict=True)], list(columns))
+            data, offsets = K.text_buffers(batch.column("text"))
+            starts, ends, firsts = K.find_words(data, offsets, K.SPACES)
+            row, (edge, at, n) = _flat(batch.column("spans"), "edge", "at", "n_edges")
+            joined = _joined(data, starts, ends)
+            upto = np.concatenate(([0], np.cumsum(ends - starts + 1)))  # where each word begins: words end in a space
+            lo = firsts[row] + at
+            said = [hashlib.sha256(joined[a:b]).digest() for a, b in zip(upto[lo].tolist(), (upto[lo + n + length - 1] - 1).tolist(), strict=True)]
+            rows, base = pa.array(row), batch.column("base").to_numpy()[row]
+            columns = {"edge": pa.array(edge), "words": pa.array(said, pa.binary()), "doc_id": batch.column("doc_id").take(rows), "key": batch.column("own").take(rows), "at": pa.array((base + at).astype(np.int32)), "n_edges": pa.array(n.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    held = source(docs).join(_lists(met, "edge", "at", "n_edges"), ["doc_id", "key"])
-    return held.mapInArrow(K.lean(run), "edge long, words binary, doc_id long, key long, at int, n_edges int")
+    both = held.join(_lists(met, "edge", "at", "n_edges"), ["doc_id", "key"])
+    return both.mapInArrow(K.lean(run), "edge long, words binary, doc_id long, key long, at int, n_edges int")
 
 
 def repeats(said: DataFrame) -> DataFrame:
@@ -183,20 +272,19 @@ def repeats(said: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame, gone: DataFrame, length: int, digest: bool, limit: int = LIMIT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, limit):
-            n_words, removed, kept = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.array([s["at"] for s in spans])
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + np.array([s["n_edges"] for s in spans]) + length - 1, -1)
-                    words = [w for w, out in zip(words, (np.cumsum(edge[:-1]) > 0).tolist(), strict=True) if not out]
-                removed.append(n_words[-1] - len(words))
-                joined = b" ".join(words)
-                kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            data, offsets = K.text_buffers(batch.column("text"))
+            starts, ends, firsts = K.find_words(data, offsets, K.SPACES)
+            row, (at, n) = _flat(batch.column("spans"), "at", "n_edges")
+            edge, lo = np.zeros(len(starts) + 1, np.int64), firsts[row] + at
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, lo + n + length - 1, -1)
+            left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+            heads = np.searchsorted(left, firsts)
+            joined = _joined(data, starts[left], ends[left])
+            upto = np.concatenate(([0], np.cumsum(ends[left] - starts[left] + 1)))[heads].tolist()
+            texts = [joined[a : max(a, b - 1)] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+            kept = pa.array([hashlib.sha256(t).hexdigest() for t in texts] if digest else texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(np.diff(firsts) - np.diff(heads)), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
     return source(docs).join(gone, ["doc_id", "key"], "left").mapInArrow(K.lean(run), SCHEMA)
 
@@ -204,10 +292,11 @@ def _cut(docs: DataFrame, gone: DataFrame, length: int, digest: bool, limit: int
 def dedup(docs: DataFrame, *, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space; with digest, their SHA-256) of every document."""
     with scratch() as keep:
-        found = [written(edges(docs, length, turn), "edges") for turn in range(TURNS)]
+        held = written(segments(docs, shared(docs, length), length), "segments")
+        found = [written(edges(held, length, turn), "edges") for turn in range(TURNS)]
         compact = written(paths(reduce(DataFrame.unionByName, found)), "paths")
-        met = reduce(DataFrame.unionByName, [written(occurrences(docs, compact, length, turn), "occurrences") for turn in range(TURNS)])
-        gone = keep(repeats(written(verified(docs, met, length), "verified")), "repeats")
+        met = reduce(DataFrame.unionByName, [written(occurrences(held, compact, length, turn), "occurrences") for turn in range(TURNS)])
+        gone = keep(repeats(written(verified(held, met, length), "verified")), "repeats")
     return _cut(docs, gone, length, digest)
 
 
