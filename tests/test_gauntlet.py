@@ -152,3 +152,20 @@ def test_equal_but_for_rounding(spark):
     got = {(r.symbol, r.category) for r in view(spark, "", "SELECT d.symbol, s.category FROM reason_ s JOIN drawn_ d ON d.id = s.id", views).collect()}
     assert got == {("above", "flow"), ("above", "fundamental")}
     assert {r.direction for r in view(spark, "", "SELECT direction FROM drawn_", views).collect()} == {"long"}
+
+
+def test_margin_follows_the_scale(spark):
+    """Small prices and sums are told apart, large sums still tie; what is infinite is not above itself, nor below."""
+    from tidegrid.catalog import SPARK_VIEWS
+
+    cases = {  # close, mean, volume, usual, funding, paid
+        "small above": (3e-10, 2e-10, 3e-10, 2e-10, 3e-10, 2e-10), "small below": (1e-10, 2e-10, 1e-10, 2e-10, 1e-10, 2e-10),
+        "large tie": (1e6 - 1e-7, 1e6, 1e6 + 1e-7, 1e6, 1e6 + 1e-7, 1e6), "large above": (1e6 + 0.01, 1e6, 1e6 + 0.01, 1e6, 1e6 + 0.01, 1e6), "infinite": (math.inf,) * 6,
+    }
+    values = ", ".join(f"('{name}', " + ", ".join(f"CAST('{v!r}' AS DOUBLE)" for v in case) + ")" for name, case in cases.items())
+    setup = f"SELECT name AS symbol, DATE '2024-01-01' AS t, close, 0.6 AS high, 0.4 AS low, CAST(NULL AS DOUBLE) AS r, volume, funding, 2 AS trades, mean, usual, 1.0 AS adv, CAST(NULL AS DOUBLE) AS top, CAST(NULL AS DOUBLE) AS bottom, paid FROM VALUES {values} AS v(name, close, mean, volume, usual, funding, paid)"
+    views = G.CANDIDATES | SPARK_VIEWS["rule_five"] | {"setup_": setup}
+    got = {(r.symbol, r.category) for r in view(spark, "", "SELECT d.symbol, s.category FROM reason_ s JOIN drawn_ d ON d.id = s.id", views).collect()}
+    assert got == {(name, kind) for name in ("small above", "large above") for kind in ("flow", "fundamental")}
+    got = {r.symbol: (r.direction, r.catalyst) for r in view(spark, "", "SELECT d.symbol, c.direction, c.catalyst FROM candidate_ c JOIN drawn_ d ON d.id = c.id", views).collect()}
+    assert got == {"small above": ("long", "volume"), "small below": ("short", " "), "large tie": ("long", "volume"), "large above": ("long", "volume"), "infinite": ("long", " ")}
